@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyfold.operators.skew import join_hot
+
 #: Printed forms of keys: kind -> (pattern with one group of digits, prefix)
 KEY_FORMS = {
     "PO": r"\APO-(\d{11})\z",
@@ -123,30 +125,18 @@ def beyond_run_end(refs: DataFrame, runs: DataFrame, bucket: int = RUN_BUCKET) -
 def find_orphans(refs: DataFrame, there: DataFrame, *, hot_rows: int = 200_000, hot_share: int = 1_000) -> DataFrame:
     """(ref_table, row_id, kind, key, at, reason) of every reference without a record.
 
-    reason is ``missing``, ``late`` (first ingested after the row) or ``deleted`` (at or
-    before the row). A key is hot when it has more than ``hot_rows`` references and more
-    than one in ``hot_share`` of all; so there are fewer than ``hot_share`` hot keys, and
-    only their list is broadcast.
+    reason is ``missing``, ``late`` (first ingested after the row) or ``deleted`` (at or before the row).
     """
     counted = refs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("refs"))
     state = beyond_run_end(counted, key_runs(there)).join(there, ["kind", "key"], "left")
     total = counted.agg(F.sum("refs")).first()[0] or 0
-    limit = max(hot_rows, total // hot_share)
-    salts = F.ceil(F.col("refs") / F.lit(limit)).cast("int")
-    if total > hot_rows:
-        hot = counted.where(F.col("refs") > limit).select("kind", "key", salts.alias("salts"))
-        refs = refs.join(F.broadcast(hot), ["kind", "key"], "left")
-        refs = refs.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("ref_table", "row_id"), F.col("salts")).cast("int"))).drop("salts")
-        state = state.withColumn("salt", F.explode(F.when(F.col("refs") > limit, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
-        on = ["kind", "key", "salt"]
-    else:
-        on = ["kind", "key"]
+    joined = join_hot(refs, state, ["kind", "key"], count="refs", total=total, spread_by=["ref_table", "row_id"], hot_rows=hot_rows, hot_share=hot_share)
     reason = (
         F.when(F.col("missing"), F.lit("missing"))
         .when(F.col("first_at") > F.col("at"), F.lit("late"))
         .when(F.col("deleted_at") <= F.col("at"), F.lit("deleted"))
     )
-    return refs.join(state, on).withColumn("reason", reason).where("reason is not null").select("ref_table", "row_id", "kind", "key", "at", "reason")
+    return joined.withColumn("reason", reason).where("reason is not null").select("ref_table", "row_id", "kind", "key", "at", "reason")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
