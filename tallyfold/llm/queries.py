@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, packing
+from tallyfold.llm import bpe, canonical, packing
 from tallyfold.sources.tables import spread, table
 
 
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    invoices, orders = table(spark, d, "invoices"), table(spark, d, "purchase_orders")
+    return canonical.match_references(
+        invoices.select("row_id", "po_reference", F.col("seller.name").alias("seller_name")),
+        orders.select("document_id", F.col("vendor.name").alias("vendor_name")),
+        row_id="row_id", value="po_reference", name="seller_name", key="document_id", owner="vendor_name",
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).select("row_id", F.coalesce("key", F.lit(canonical.UNMATCHED)).alias("po_id"))
+
+
+def p1_misses(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.misses(_matched(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return bpe.encode(docs, bpe.vocabulary(spark))
@@ -26,5 +44,8 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(_placed(spark, d))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers, "p7_summary": p7_summary}
+QUERIES = {
+    "p1_found": p1_found, "p1_misses": p1_misses,
+    "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_summary": p7_summary,
+}
 ORACLE: dict[str, str] = {}
