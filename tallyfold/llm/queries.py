@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, canonical, packing
+from tallyfold.llm import bpe, canonical, linkage, packing
 from tallyfold.sources.tables import spread, table
 
 
@@ -26,6 +26,19 @@ def p1_misses(spark: SparkSession, d: str) -> DataFrame:
     return canonical.misses(_matched(spark, d))
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    has_contract = F.col("contract_reference").rlike(r"\ACTR-[0-9]{6}\z")
+    return linkage.link(table(spark, d, "purchase_orders"), table(spark, d, "contracts"), has_contract)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d).drop("confidence")
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d).withColumn("confidence", F.round("confidence", 4))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return bpe.encode(docs, bpe.vocabulary(spark))
@@ -46,6 +59,7 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_misses": p1_misses,
+    "p4_found": p4_found, "p4_matches": p4_matches,
     "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_summary": p7_summary,
 }
 ORACLE: dict[str, str] = {}
