@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, canonical, linkage, packing
+from tallyfold.llm import bpe, canonical, linkage, packing, pii
 from tallyfold.sources.tables import spread, table
 
 
@@ -57,9 +57,20 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(_placed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return pii.find(docs, pii.model_of(table(spark, d, "given_names")))
+
+
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return pii.mask(docs, pii.model_of(table(spark, d, "given_names")))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_misses": p1_misses,
     "p4_found": p4_found, "p4_matches": p4_matches,
     "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_summary": p7_summary,
+    "p8_found": p8_found, "p8_masked": p8_masked,
 }
 ORACLE: dict[str, str] = {}
