@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import quality
+from tallyfold.plans import arithmetic, quality
 
-FLAGSHIP = "p2_found"
-QUERIES = dict(quality.QUERIES)
-ORACLE = dict(quality.ORACLE)
+FLAGSHIP = "sum_report"
+MODULES = (arithmetic, quality)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
