@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import arithmetic, quality
+from tallyfold.plans import arithmetic, quality, reading
 
 FLAGSHIP = "sum_report"
-MODULES = (arithmetic, quality)
+MODULES = (arithmetic, reading, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
