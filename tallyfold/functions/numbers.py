@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Currencies that may stand before a figure, and the form of a figure.
 CURRENCIES = ("EUR", "USD", "GBP", "SEK", "NOK", "DKK", "CHF", "INR", "€", r"\$", "£", "₹")
-FIGURE = r"^-?[\d,]+\.?\d*$"
+FIGURE = r"\A-?[\d,]+\.?\d*\z"
 
 MONEY = "decimal(18,6)"
 CENTS = "decimal(18,2)"

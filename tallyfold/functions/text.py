@@ -46,4 +46,5 @@ def valid_path(path: Column) -> Column:
 
 def described_position(page: Column, x0: Column, y0: Column) -> Column:
     """A position for readers: pages count from 1 there."""
-    return F.format_string("p%d [%d,%d]", page + 1, F.bround(x0, 0).cast("bigint"), F.bround(y0, 0).cast("bigint"))
+    whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
+    return F.concat(F.lit("p"), (page + 1).cast("string"), F.lit(" ["), whole(x0), F.lit(","), whole(y0), F.lit("]"))

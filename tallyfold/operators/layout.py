@@ -67,18 +67,17 @@ def rows(pages_of_rows: DataFrame) -> DataFrame:
     return one.select("doc_id", "page", "page_row_no", row_text(F.col("words")).alias("text"), F.col("words")[0]["y0"].alias("y0"), "words")
 
 
-def document_rows(pages_of_rows: DataFrame, heights: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_count, furniture, rows): all rows of a document in page order, without page furniture.
+def document_rows(pages_of_rows: DataFrame, heights: DataFrame | float) -> DataFrame:
+    """(doc_id, page_count, heads, furniture, rows): all rows of a document in page order, without page furniture.
 
-    heights: (doc_id, page_count, height) with the height of the first page; without it
-    nothing is furniture. Rows never run across pages.
+    heights: (doc_id, page_count, height) with the height of the first page, or one height
+    for pages of one size of which the last has words. Rows never run across pages.
     """
     docs = pages_of_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "rows"))).alias("p"))
     flat = F.flatten(F.transform("p", lambda p: F.transform(p["rows"], lambda r: F.struct(p["page"].alias("page"), r.alias("words")))))
-    docs = docs.select("doc_id", flat.cast(f"array<{_ROW}>").alias("rows"), F.transform("p", lambda p: F.left(F.array_join(F.transform(p["rows"], row_text), "\n"), F.lit(HEADER_CHARS))).alias("heads"))
-    if heights is None:
-        return docs.withColumns({"page_count": F.lit(None).cast("int"), "furniture": F.array().cast("array<string>")})
-    docs = docs.join(heights, "doc_id", "left")
+    docs = docs.select("doc_id", flat.cast(f"array<{_ROW}>").alias("rows"), F.transform("p", lambda p: F.left(F.array_join(F.transform(p["rows"], row_text), "\n"), F.lit(HEADER_CHARS))).alias("heads"), (F.array_max("p.page") + 1).alias("page_count"), F.lit(heights if isinstance(heights, float) else None).cast("double").alias("height"))
+    if not isinstance(heights, float):
+        docs = docs.drop("page_count", "height").join(heights, "doc_id", "left")
     return docs.withColumn("f", _furniture(F.col("rows"), F.col("height"), F.col("page_count"))).select("doc_id", "page_count", "heads", F.transform(F.filter("f", lambda r: r["furniture"]), lambda r: r["text"]).alias("furniture"), F.transform(F.filter("f", lambda r: ~r["furniture"]), lambda r: F.struct(r["page"].alias("page"), r["words"].alias("words"))).alias("rows"))
 
 

@@ -127,11 +127,11 @@ def value_beside(hits: DataFrame, words: DataFrame, direction: str = "right") ->
 
 def row_containing(hits: DataFrame, words: DataFrame, pages: DataFrame, hit_id: list[str]) -> DataFrame:
     """Each hit widened to all words at its height: (*hit_id, doc_id, page, text, x0, y0, x1, y1), x clamped to the page."""
-    w = words.select("doc_id", "page", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.col("text").alias("wt"), "word_no")
+    w = words.select("doc_id", "page", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.col("text").alias("wt"), F.col("word_no").alias("wn"))
     near = (F.abs(F.col("wy0") - F.col("y0")) <= ROW_TOLERANCE)
     group = [*dict.fromkeys([*hit_id, "doc_id", "page", "text", "x0", "y0", "x1", "y1"])]
     wide = hits.join(w, ["doc_id", "page"], "left").where(near | F.col("wy0").isNull()).groupBy(*group).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("wt").isNotNull(), F.struct("wx0", "word_no", "wt")))), lambda s: s["wt"]), " ").alias("row_text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("wt").isNotNull(), F.struct("wx0", "wn", "wt")))), lambda s: s["wt"]), " ").alias("row_text"),
         F.min("wx0").alias("l"), F.min("wy0").alias("t"), F.max("wx1").alias("r"), F.max("wy1").alias("b"),
     )
     out = wide.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"], "left")

@@ -32,7 +32,7 @@ def report_json(report: DataFrame) -> DataFrame:
 
 def pack_markdown(packs: DataFrame) -> DataFrame:
     """(pack_id, markdown): a working-paper extract of each pack; the time of preparation is a column of its own."""
-    two = lambda c: F.format_string("%.2f", c.cast("decimal(18,2)"))
+    two = lambda c: c.cast("string").try_cast("decimal(18,2)").cast("string")
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     row = lambda i: F.concat(F.lit("| "), text(i["source_system"]), F.lit(" | "), text(i["document_id"]), F.lit(" | `"), text(i["field_path"]), F.lit("` | "), text(i["value"]), F.lit(" | "), F.coalesce(two(i["confidence"]), F.lit("-")), F.lit(" |"))
     empty = F.array().cast("array<string>")

@@ -17,8 +17,7 @@ def _words(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _documents(words: DataFrame) -> DataFrame:
-    heights = words.groupBy("doc_id").agg((F.max("page") + 1).cast("int").alias("page_count")).withColumn("height", F.lit(W.HEIGHT))
-    return layout.document_rows(layout.page_rows(words), heights)
+    return layout.document_rows(layout.page_rows(words), W.HEIGHT)
 
 
 def read_invoices(spark: SparkSession, d: str) -> DataFrame:
