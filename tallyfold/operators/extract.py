@@ -45,7 +45,7 @@ def _table(rows: Column, header: tuple[str, ...], stop: str) -> Column:
     """struct(head, body): words of the header row and the rows after it up to the stop row."""
     def cut(i: Column) -> Column:
         rest = F.slice(rows, i + 1, F.size(rows))
-        end = F.array_position(F.transform(rest, lambda r: row_text(r["words"]).rlike(stop)), F.lit(True))
+        end = F.array_position(F.transform(rest, lambda r: r["text"].rlike(stop)), F.lit(True))
         return F.struct(F.get(rows, i - 1)["words"].alias("head"), F.slice(rest, F.lit(1), F.when(end > 0, end.cast("int") - 1).otherwise(F.size(rest))).alias("body"))
 
     return let(row_index(rows, *header), lambda i: F.when(i.isNotNull(), cut(i)))
@@ -214,7 +214,7 @@ def purchase_orders(docs: DataFrame) -> DataFrame:
 
 def contracts(docs: DataFrame) -> DataFrame:
     r = F.col("rows")
-    text = F.array_join(F.transform(r, lambda x: row_text(x["words"])), "\n")
+    text = F.array_join(F.transform(r, lambda x: x["text"]), "\n")
     return docs.select(
         "doc_id", "page_count", F.lit("contract").alias("document_type"), F.lit("CLM").alias("source_system"), _field(r, "CONTRACT REFERENCE").alias("document_id"), party(r, "COUNTERPARTY").alias("counterparty"),
         _field(r, "EFFECTIVE DATE").alias("effective_date"), _field(r, "EXPIRY DATE").alias("expiry_date"), _field(r, "GOVERNING LAW").alias("governing_law"), settled_terms(text).alias("payment_terms"), rate_schedule(r).alias("rate_schedule"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import masked_digits
+from tallyfold.sources.tables import by_key
 
 # Tolerances in points, and the markers of the three layouts in order of priority.
 ROW_TOLERANCE = 3.0
@@ -24,7 +25,7 @@ HEADER_CHARS = 400
 MARKERS = (("COMMERCIAL INVOICE", "invoice"), ("PURCHASE ORDER", "purchase_order"), ("MASTER SUPPLY AGREEMENT", "contract"))
 
 _WORD = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
-_ROW = f"struct<page:int,words:array<{_WORD}>>"
+_ROW = f"struct<page:int,words:array<{_WORD}>,text:string,low:string>"
 
 
 def deduplicated(words: DataFrame) -> DataFrame:
@@ -51,8 +52,11 @@ def _rows_of_page(sorted_words: Column) -> Column:
 
 
 def page_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, page, rows): the rows of each page from top to bottom, words of a row from left to right."""
-    gathered = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("y0", 1).alias("top"), "x0", "word_no", "text", "y0", "x1", "y1"))).alias("w"))
+    """(doc_id, page, rows): the rows of each page from top to bottom, words of a row from left to right.
+
+    The words are partitioned by document, so that gathering pages and then documents costs one shuffle.
+    """
+    gathered = by_key(words, "doc_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("y0", 1).alias("top"), "x0", "word_no", "text", "y0", "x1", "y1"))).alias("w"))
     by_x = lambda row: F.array_sort(row, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
     return gathered.select("doc_id", "page", F.transform(_rows_of_page(F.col("w")), by_x).alias("rows"))
 
@@ -74,11 +78,11 @@ def document_rows(pages_of_rows: DataFrame, heights: DataFrame | float) -> DataF
     for pages of one size of which the last has words. Rows never run across pages.
     """
     docs = pages_of_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "rows"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda p: F.transform(p["rows"], lambda r: F.struct(p["page"].alias("page"), r.alias("words")))))
+    flat = F.flatten(F.transform("p", lambda p: F.transform(p["rows"], lambda r: F.struct(p["page"].alias("page"), r.alias("words"), row_text(r).alias("text"), F.lower(row_text(r)).alias("low")))))
     docs = docs.select("doc_id", flat.cast(f"array<{_ROW}>").alias("rows"), F.transform("p", lambda p: F.left(F.array_join(F.transform(p["rows"], row_text), "\n"), F.lit(HEADER_CHARS))).alias("heads"), (F.array_max("p.page") + 1).alias("page_count"), F.lit(heights if isinstance(heights, float) else None).cast("double").alias("height"))
     if not isinstance(heights, float):
         docs = docs.drop("page_count", "height").join(heights, "doc_id", "left")
-    return docs.withColumn("f", _furniture(F.col("rows"), F.col("height"), F.col("page_count"))).select("doc_id", "page_count", "heads", F.transform(F.filter("f", lambda r: r["furniture"]), lambda r: r["text"]).alias("furniture"), F.transform(F.filter("f", lambda r: ~r["furniture"]), lambda r: F.struct(r["page"].alias("page"), r["words"].alias("words"))).alias("rows"))
+    return docs.withColumn("f", _furniture(F.col("rows"), F.col("height"), F.col("page_count"))).select("doc_id", "page_count", "heads", F.transform(F.filter("f", lambda r: r["furniture"]), lambda r: r["text"]).alias("furniture"), F.transform(F.filter("f", lambda r: ~r["furniture"]), lambda r: F.struct(*(r[c].alias(c) for c in ("page", "words", "text", "low")))).alias("rows"))
 
 
 def _furniture(all_rows: Column, height: Column, page_count: Column) -> Column:
@@ -86,11 +90,11 @@ def _furniture(all_rows: Column, height: Column, page_count: Column) -> Column:
     top = lambda r: r["words"][0]["y0"]
     band = height * FURNITURE_BAND
     in_band = lambda r: ~((top(r) > band) & (top(r) < height - band))
-    shape = lambda r: F.concat_ws("|", F.bround(top(r), 0).cast("string"), masked_digits(row_text(r["words"])))
+    shape = lambda r: F.concat_ws("|", F.bround(top(r), 0).cast("string"), masked_digits(r["text"]))
     banded = F.transform(F.filter(all_rows, lambda r: F.coalesce(in_band(r), F.lit(False))), shape)
     repeated = F.filter(F.array_distinct(banded), lambda s: F.size(F.filter(banded, lambda t: t == s)) > 1)
     many = F.coalesce(page_count >= 2, F.lit(False))
-    return F.transform(all_rows, lambda r: F.struct(r["page"].alias("page"), r["words"].alias("words"), row_text(r["words"]).alias("text"), (many & F.coalesce(in_band(r), F.lit(False)) & F.array_contains(repeated, shape(r))).alias("furniture")))
+    return F.transform(all_rows, lambda r: F.struct(*(r[c].alias(c) for c in ("page", "words", "text", "low")), (many & F.coalesce(in_band(r), F.lit(False)) & F.array_contains(repeated, shape(r))).alias("furniture")))
 
 
 def classified(docs: DataFrame) -> DataFrame:

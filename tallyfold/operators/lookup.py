@@ -27,10 +27,9 @@ _WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
 def row_index(rows: Column, *needles: str) -> Column:
     """Position (from 1) of the first row containing all needles, in any order and case; null if none."""
     def hit(r: Column) -> Column:
-        low = F.lower(row_text(r["words"]))
         out = F.lit(True)
         for n in needles:
-            out = out & F.contains(low, F.lit(n.lower()))
+            out = out & F.contains(r["low"], F.lit(n.lower()))
         return out
 
     at = F.array_position(F.transform(rows, hit), F.lit(True))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tallyfold.functions import numbers, text
 from tallyfold.operators import layout, lookup
 from tallyfold.sources import words as W
-from tallyfold.sources.tables import table
+from tallyfold.sources.tables import spread, table
 
 NEEDLE, LABEL, KEY = "credit note of", "waybill", r"^(INV|PO|CTR)-[0-9]"
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def row_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     docs = layout.document_rows(layout.page_rows(_words(spark, d)), W.GRID_HEIGHT)
-    return docs.select("doc_id", "page_count", F.array_join(F.transform("rows", lambda r: layout.row_text(r["words"])), "\n").alias("text"))
+    return docs.select("doc_id", "page_count", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text"))
 
 
 def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:

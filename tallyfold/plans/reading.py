@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import extract, layout
 from tallyfold.sources import words as W
-from tallyfold.sources.tables import table
+from tallyfold.sources.tables import spread, table
 
 _RENDER = {"invoices": W.render_invoices, "purchase_orders": W.render_orders, "contracts": W.render_contracts}
 
 
 def _words(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return _RENDER[name](table(spark, d, name))
+    return _RENDER[name](spread(table(spark, d, name)))
 
 
 def _documents(words: DataFrame) -> DataFrame:

@@ -45,6 +45,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *(F.col(k) for k in keys))
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition once by a key that the next steps group by.
+
+    The number of partitions is the session's, and is kept: rows that are few and small but
+    costly to work on would otherwise be merged into a handful of tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(F.col(k) for k in keys))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where none is set."""
     sc = spark.sparkContext
