@@ -46,9 +46,14 @@ STREETS_ONE = (
 )
 STREETS_FR = "rue|avenue|av|allée|chemin|quai|place|boulevard|bd|impasse|route|cours|passage|sentier|square"
 
+_OPEN = frozenset(OPENERS) | frozenset(TITLES)
+_BLANKS = frozenset((" ", "  ", "   ", "\xa0", " \xa0", "\xa0 "))
+
 _W = r"(?:[^\W\d_]|[\u0300-\u036f])"  # a letter, or the accent of one written apart
 _NT = rf"{_W}+(?:[-'’](?![sS]\b){_W}+)*"
 _TOKEN = re.compile(rf"(?<!\w)(?:{_W}\.(?=[\s,;.)/]|\Z)|{_NT})")
+_TOKEN_PLAIN = re.compile(_TOKEN.pattern.replace(_W, r"[^\W\d_]"))  # the same, faster, for texts without accents written apart
+_ACCENT = re.compile(r"[\u0300-\u036f]")
 _GAP = re.compile(r"(?:[ \xa0]{1,3}|, | ?\r?\n ?)\Z")
 
 _EMAIL = re.compile(
@@ -56,13 +61,16 @@ _EMAIL = re.compile(
     r"[\w\u0300-\u036f-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[\w\u0300-\u036f-]+){0,5}(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[^\W\d_]{2,12}(?![\w@-])",
     re.I,
 )
+_AT = re.compile(r"@|[(\[{]\s?[aä]t\s?[)\]}]|\sat\s", re.I)
+_LOCAL = re.compile(r"(?<![\w.+-])\w(?:[\w\u0300-\u036f.+-]{0,62}[\w\u0300-\u036f])?\s?\Z")
 _PHONE = re.compile(r"(?<![\w.,/+-])\+?\(?\d{1,15}\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])?\(?\d{1,9}\)?){0,7}(?!\w)")
 _DECIMAL, _DOTTED = re.compile(r"\d\.\d{2}(?=[ \n]|\Z)"), re.compile(r"\+?[\d. ]*\d{2}\.\d{2}\.\d{2}\Z")
+_ID_HINT = re.compile(r"\d{3}[- ]\d\d[- ]\d{4}|\d{6}[-+Aa]\d{3}|\d \d\d \d\d \d\d \d{3}|\d{15}|\d{8}-\d{4}|[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Da-d\d]")
 _IDS = tuple(re.compile(p, re.I) for p in (
     r"(?<![\w/-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w/-])",
     r"(?<![\w/-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w/-])",
     r"(?<![\w/-])\d{6}[-+A]\d{3}[0-9A-Z](?![\w/-])",
-    r"(?<![\w/-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w/-])",
+    r"(?<![\w/-])[12](?: \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{14})(?![\w/-])",
     r"(?<![\w/-])[A-Z]{2}\d{7}(?![\w/-])",
     r"(?<![\w/-])\d{8}-\d{4}(?![\w/-])",
 ))
@@ -72,6 +80,14 @@ _TAIL_CODE = rf"(?:,[ \xa0]{{1,2}}|[ \xa0]?\r?\n[ \xa0]?)(?:\d{{5}}|\d{{3}} \d{{
 _TAIL_EN = rf"(?:,[ \xa0]{{1,2}}|[ \xa0]?\r?\n[ \xa0]?){_WORD}(?:[ \xa0]{_WORD})?[ \xa0][A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}(?!\w)"
 _FLAT = r"(?:,?[ ](?:as\.|lgh|apt\.?|suite|unit|flat|whg\.?|wohnung|bât\.?|app\.?|rappu|tr\.?)[ ]?\w{1,4}(?!\w))?"
 _UNIT = r"\d{1,4}(?:[-–/]\d{1,4})?(?:[ ]?[A-Za-z](?![\w'’])(?:[ ]\d{1,3}(?!\w))?)?" + _FLAT
+_HINTS = {
+    "en": re.compile(rf"\d[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?!\w)", re.I),
+    "one": re.compile(r"\.? {1,2}(?=\d)"),  # after a word that ends like a street
+    "am": re.compile(r"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)[ ]", re.I),
+    "fr": re.compile(rf"\d[^\n]{{0,9}}?[ ](?:{STREETS_FR})\.?[ ]", re.I),
+}
+_STREET_ENDS = tuple(STREETS_ONE.split("|"))
+_BACK = {"en": 28, "one": 60, "am": 0, "fr": 6}
 _ADDRESSES = (
     ("en", re.compile(rf"(?<![\w-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d))\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
     ("one", re.compile(rf"(?<![\w-])(?:{_WORD}[ ]{{1,2}}){{0,2}}(?:{_WORD})?(?<=\w)(?:{STREETS_ONE})\.?[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
@@ -105,14 +121,18 @@ class Model:
 
     def __init__(self, given: tuple[str, ...], suffixes: frozenset[str], weights: dict[str, float]) -> None:
         self.given, self.suffixes, self.weights = frozenset(g.lower() for g in given), suffixes, weights
-        firsts = "|".join(sorted((re.escape(g) for g in self.given), key=len, reverse=True)) or r"(?!)"
-        ends = "|".join(sorted(re.escape(s) for s in suffixes)) or r"(?!)"
-        self.anchor = re.compile(rf"(?<![\w@+/])(?:(?:{firsts})|{_W}[\w'’-]*?(?:{ends}))(?![\w@])", re.I)
-        titles = "|".join(TITLES)
-        openers = "|".join(OPENERS)
-        self.opened = re.compile(rf"(?<!\w)(?:(?:{titles})\.?[ \xa0]|(?:{openers})[.:,)]{{0,2}}\s)\s?(?={_W}+[-'’.]?)(?P<name>[A-ZÀ-Þ])", re.I)
+        self.classes: dict[str, str] = {}
 
     def known(self, token: str) -> str:
+        """Class of a token: I initial, p particle, T title, L legal form, O opener, g given name, s like a surname, w other."""
+        c = self.classes.get(token)
+        if c is None:
+            if len(self.classes) > 200_000:
+                self.classes.clear()
+            c = self.classes[token] = self._class(token)
+        return c
+
+    def _class(self, token: str) -> str:
         low = unicodedata.normalize("NFC", token.lower())
         if len(token) == 2 and token[1] == ".":
             return "I"
@@ -129,61 +149,79 @@ class Model:
         last = low.rpartition("-")[2]
         return "s" if last[-4:] in self.suffixes and len(last) > 4 else "w"
 
-    def names(self, text: str, seen: set[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
-        at = {m.start() for m in self.anchor.finditer(text)}
-        at |= {m.start("name") for m in self.opened.finditer(text) if m.group("name").isupper()}
-        for a in sorted(at):
-            left = max(0, a - 48)
-            tokens = [(m.start() + left, m.end() + left, m.group()) for m in _TOKEN.finditer(text[left : a + 64])]
-            here = next((k for k, t in enumerate(tokens) if t[0] <= a < t[1]), None)
-            if here is None:
+    def names(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+        """Runs of up to four tokens around one that is a given name, is like a surname, or is capital and follows an opener or a title."""
+        known = self.known
+        tokens = [(m.start(), m.end(), m.group()) for m in (_TOKEN if _ACCENT.search(text) else _TOKEN_PLAIN).finditer(text)]
+        classes = [known(t[2]) for t in tokens]
+        seen: set[tuple[int, int]] = set()
+        n = len(tokens)
+        for here, c in enumerate(classes):
+            if c == "g" or c == "s":
+                pass
+            elif c in "wI" and 0 < here < n - 1 and tokens[here][2][0].isupper() and (tokens[here + 1][2][0].isupper() or classes[here + 1] == "p"):
+                before = tokens[here - 1][2].lower()
+                if not (before in _OPEN or before == "m.") or tokens[here][0] - tokens[here - 1][1] > 4:
+                    continue
+            else:
                 continue
+            low, high = max(0, here - 3), min(n, here + 4)
             joins = []
-            for x, y in zip(tokens, tokens[1:]):
-                gap = text[x[1] : y[0]]
-                joins.append(("," if "," in gap else "/" if "\n" in gap else " ") if _GAP.match(gap) else None)
-            classes = [self.known(t[2]) for t in tokens]
-            for i in range(max(0, here - 3), here + 1):
-                for j in range(here, min(len(tokens), i + 4)):
-                    between = joins[i:j]
+            for k in range(low, high - 1):
+                gap = text[tokens[k][1] : tokens[k + 1][0]]
+                joins.append(" " if gap == " " else ("," if "," in gap else "/" if "\n" in gap else " ") if len(gap) < 5 and _GAP.match(gap) else None)
+            for i in range(low, here + 1):
+                for j in range(here, min(high, i + 4)):
+                    between = joins[i - low : j - low]
                     if None in between:
                         break
-                    if between.count(",") + between.count("/") > 1 or (tokens[i][0], tokens[j][1]) in seen:
+                    if between.count(",") + between.count("/") > 1 or (i, j) in seen:
                         continue
-                    titled = i > 0 and (classes[i - 1] == "T" or tokens[i - 1][2].lower() == "m.") and re.fullmatch(r"\.?[ \xa0]{1,2}|[ \xa0]?\n", text[tokens[i - 1][1] : tokens[i][0]]) is not None
+                    titled = 0
+                    if i > 0 and (classes[i - 1] == "T" or tokens[i - 1][2].lower() == "m.") and re.fullmatch(r"\.?[ \xa0]{1,2}|[ \xa0]?\n", text[tokens[i - 1][1] : tokens[i][0]]):
+                        titled = 1 if classes[i - 1] == "T" else 2  # M. may be an initial as well
                     inner = classes[i : j + 1]
-                    if "L" in inner or "O" in inner or "T" in inner[:1] or inner[-1] in ("p",) or (i == j and (not titled or inner[0] == "I")):
+                    if "L" in inner or "O" in inner or "T" in inner or inner[-1] == "p" or (i == j and (not titled or inner[0] == "I")):
                         continue
-                    if "I" in inner[-1:] and "," not in between:
+                    if inner[-1] == "I" and "," not in between:
                         continue
-                    seen.add((tokens[i][0], tokens[j][1]))
-                    yield self._name(text, tokens, classes, joins, i, j, titled)
+                    seen.add((i, j))
+                    yield self._name(text, tokens, classes, joins, i, j, titled, low)
 
-    def _name(self, text: str, tokens: list, classes: list[str], joins: list, i: int, j: int, titled: bool) -> tuple[int, int, str, list[str]]:
+    def _name(self, text: str, tokens: list, classes: list[str], joins: list, i: int, j: int, titled: int, low: int) -> tuple[int, int, str, list[str]]:
         start, end = tokens[i][0], tokens[j][1]
-        shape = "".join(c + (s or "") for c, s in zip(classes[i : j + 1], [*joins[i:j], ""])).replace(" ", "")
+        shape = "".join(c + (s or "") for c, s in zip(classes[i : j + 1], [*joins[i - low : j - low], ""])).replace(" ", "")
         cases = "".join("U" if t.isupper() and len(t) > 2 else "C" if t[0].isupper() else "l" for _, _, t in tokens[i : j + 1])
         case = "U" if set(cases) <= {"U"} else "l" if set(cases) == {"l"} else "C" if cases[0] in "CU" and cases[-1] in "CU" else "x"
-        nxt = classes[j + 1] if j + 1 < len(tokens) and joins[j] == " " else "-"
-        nxt2 = classes[j + 2] if j + 2 < len(tokens) and joins[j] == " " and joins[j + 1] == " " else "-"
-        prv = classes[i - 1] if i > 0 and joins[i - 1] == " " else "-"
-        f = [f"name|sh={shape}", f"name|case={case}", f"name|sh={shape}{case}", f"name|nx={nxt}", f"name|nx2={'L' if 'L' in (nxt, nxt2) else '-'}", f"name|pv={prv}", f"name|t={int(titled)}", f"name|t={int(titled)}k={j - i + 1}"]
+        space = lambda k: 0 <= k < len(tokens) - 1 and text[tokens[k][1] : tokens[k + 1][0]] in _BLANKS
+        nxt = classes[j + 1] if space(j) else "-"
+        nxt2 = classes[j + 2] if space(j) and space(j + 1) else "-"
+        prv = classes[i - 1] if space(i - 1) else "-"
+        f = [f"name|sh={shape}", f"name|case={case}", f"name|sh={shape}{case}", f"name|nx={nxt}", f"name|nx2={'L' if 'L' in (nxt, nxt2) else '-'}", f"name|pv={prv}", f"name|t={titled}", f"name|t={titled}k={j - i + 1}"]
         f += [f"name|w={t.lower()}" for (_, _, t), c in zip(tokens[i : j + 1], classes[i : j + 1]) if c == "w"]
-        if j + 1 < len(tokens) and joins[j] == " " and tokens[j + 1][2][0].isupper():
+        if space(j) and tokens[j + 1][2][0].isupper():
             f.append("name|nxC")
         return start, end, "name", f + _around(text, start, end, "name")
 
     def candidates(self, text: str) -> list[tuple[int, int, str, list[str]]]:
         """(start, end, kind, features), in no order."""
         out = []
-        for m in _EMAIL.finditer(text):
-            s, e = m.span()
+        done = -1
+        for a in _AT.finditer(text):
+            local = _LOCAL.search(text, max(0, a.start() - 66), a.start())
+            m = _EMAIL.match(text, local.start()) if local and local.start() >= done else None
+            if m is None:
+                continue
+            s, done = m.span()
+            e = done
             x = m.group().lower()
             how = "plain" if re.fullmatch(r"[^\s()\[\]{}]+@[^\s()\[\]{}]+", x) else "word" if re.search(r"\sat\s", x) else "other"
             f = ["email|b", f"email|{how}", f"email|{how}{int(bool(re.search(r'[._+0-9]', x.split('@')[0].split(' ')[0])))}"]
             out.append((s, e, "email", f + [z for z in _around(text, s, e, "email") if how == "word"]))
         for m in _PHONE.finditer(text):
             run, begin = m.group(), m.start()
+            if len(run) < 6:
+                continue
             if run[0] == "(" and (")" not in run or run.index(")") > 6):  # the bracket around it, not one of its own
                 run, begin = run[1:].partition(")")[0], begin + 1
             starts = [0, *(g.start() for g in re.finditer(r"(?<=[\s])(?:\+|0|\()", run))]
@@ -192,7 +230,7 @@ class Model:
                 for g in re.finditer(r"\d+", x0):
                     x = x0[: g.end()]
                     n = sum(c.isdigit() for c in x)
-                    if n < 6 or x.count("\n") > 1:
+                    if n < 6 or x.count("\n") > 1 or (_DECIMAL.search(x) and not _DOTTED.match(x)):
                         continue
                     if n > 15:
                         break
@@ -203,18 +241,21 @@ class Model:
                     f = ["phone|b", f"phone|sig={sig}", f"phone|{lead}{n}", f"phone|full={full}", f"phone|sig={sig}{full}", f"phone|{x[:3] if x[0] in '+0' else lead}|{sig}", f"phone|o={int(o > 0)}"]
                     if "\n" in x:
                         f.append(f"phone|nl{lead}")
-                    if _DECIMAL.search(x) and not _DOTTED.match(x):
-                        f.append("phone|decimal")
                     out.append((s, e, "phone", f + _around(text, s, e, "phone")))
-        for k, pattern in enumerate(_IDS):
+        for k, pattern in enumerate(_IDS if _ID_HINT.search(text) else ()):
             for m in pattern.finditer(text):
                 s, e = m.span()
                 f = ["id_number|b", f"id_number|f={k}", f"id_number|f={k}{' ' in m.group()}"]
                 out.append((s, e, "id_number", f + _around(text, s, e, "id_number")))
         for which, head, tail in _ADDRESSES:
-            for m in head.finditer(text):
-                out += self._address(text, m, which, tail)
-        out += self.names(text, set())
+            done = -1
+            for h in _HINTS[which].finditer(text):
+                if which == "one" and not text[max(0, h.start() - 12) : h.start()].lower().endswith(_STREET_ENDS):
+                    continue
+                if h.start() >= done and (m := head.search(text, max(done, h.start() - _BACK[which], 0), min(len(text), h.end() + 60))):
+                    done = m.end()
+                    out += self._address(text, m, which, tail)
+        out += self.names(text)
         return [c for c in out if c[1] - c[0] <= MAX_SPAN]
 
     def _address(self, text: str, m: re.Match, which: str, tail: re.Pattern) -> Iterator[tuple[int, int, str, list[str]]]:

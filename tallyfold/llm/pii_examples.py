@@ -245,7 +245,7 @@ COMPANIES = ("Kolvane", "Hollmere", "Trelgaard", "Bergvoll", "Quellstad", "Pilvo
 TRADES = ("Handling", "Trading", "Tooling", "Works", "Technik", "Group Nord", "Flow Systems", "Engineering", "Components", "Materials", "Industrial", "Service")
 FORMS = ("Oy", "Oyj", "AB", "AS", "GmbH", "BV", "SARL", "Ltd")
 TOWNS = ("Marrowfield", "Saltmere", "Brackwell Heath", "Varnstad", "Kieselbruck", "Tuoreniemi", "Norrhamra", "Oldenvik", "Pellworthy", "Helmela", "Greifenau", "Velmont-sur-Orne", "Lumikoski")
-ARTICLES = ("Stud bar KC 817 25 kg", "Cold room wall element, 100kg, PW 698", "Grinding disc DQ-758 30 kW", "JUNCTION BOX GE-508 200 MM", "Rail wagon brake block 400 mm", "Mixer blade, RL-783", "Fire nozzle - MT-308 - 100 l", "Crane rope RE/947 48 bar", "SCREEN CLOTH LZ-880 24 M", "Drain grating BL302 4 M", "Mask filter RZ-319 6000 W", "scanner cradle MZ622 6000 W", "Stretch film 30 l")
+ARTICLES = ("Stud bar KC 817 25 kg", "Cold room wall element, 100kg, PW 698", "Grinding disc DQ-758 30 kW", "JUNCTION BOX GE-508 200 MM", "Rail wagon brake block 400 mm", "Mixer blade, RL-783", "Fire nozzle - MT-308 - 100 l", "Crane rope RE/947 48 bar", "SCREEN CLOTH LZ-880 24 M", "Drain grating BL302 4 M", "Mask filter RZ-319 6000 W", "scanner cradle MZ622 6000 W", "Stretch film 30 l", "Timber dunnage, AR/630", "Pallet racking upright, MN/345, 20 kg", "Wall plug, heavy, NN/486, 250 mm", "Cut resistant glove, KE/767, 30 cm", "Staging rental, KR/665", "Calibration visit, XZ/487, 125 L", "MT/860, Fire nozzle, 125 l", "Load battens, AR-639", "Gully coer - BL 559 - 2 m")
 STREETS_EN = ("Osier", "Marl", "Tallow", "Old Kiln", "Copperfell", "Wether", "Pinder's", "Brindle", "Sallow", "Candlewick", "High", "Mill")
 KINDS_EN = ("Road", "Street", "St", "Lane", "Way", "Close", "Yard", "Ave.", "Avenue", "Rd")
 STREETS_DE = ("Hüttenstraße", "Kranichweg", "Ziegelbrennerstr.", "Alte Zollgasse", "Am Kieselwerk", "Lindthalweg", "An der Alten Mühle", "Gartenallee", "Marktplatz")
@@ -275,7 +275,7 @@ class Sentences:
 
     def first(self) -> str:
         r = self.r
-        return r.choice(self.given) if r.random() < 0.7 else r.choice(UNLISTED) if r.random() < 0.75 else f"{r.choice('ABDEGHJKLMNPRSTUVW')}."
+        return r.choice(self.given) if r.random() < 0.7 else r.choice(UNLISTED) if r.random() < 0.75 else f"{r.choice('ABDEGHJKLMMMMNPRSTUVW')}."
 
     def surname(self) -> str:
         r = self.r
@@ -350,7 +350,7 @@ class Sentences:
         return {
             "company": lambda: self.cased(f"{r.choice(COMPANIES)} {r.choice(TRADES)} {r.choice(FORMS)}", 0.05, 0.08), "town": lambda: r.choice(TOWNS), "article": lambda: self.cased(r.choice(ARTICLES), 0.1, 0.1),
             "key": lambda: self.digits(r.choice(("PO-00#########", "CTR-######", "INV-2025-0000####"))), "lot": self.lot, "n": lambda: str(r.randrange(1, 400)),
-            "date": lambda: self.digits(r.choice(("2025-0#-1#", "1#/#/2025", "1#.#.2025", "2#.#."))), "money": lambda: self.digits(r.choice(("EUR #,###.##", "##.## EUR", "€###.##", "SEK ##,###.##", "### euros"))),
+            "date": lambda: self.digits(r.choice(("2025-0#-1#", "1#/#/2025", "1#/1#/2025", "2#/12/2025", "1#.1#.2025", "1#.#.2025", "2#.#."))), "money": lambda: self.digits(r.choice(("EUR #,###.##", "##.## EUR", "€###.##", "SEK ##,###.##", "### euros"))),
             "title": lambda: r.choice(("Mr", "Mrs", "Ms.", "Dr", "Ms")), "titlede": lambda: r.choice(("Herr", "Frau", "Dr.")), "titlefi": lambda: r.choice(("hra", "rva")),
             "titlesv": lambda: r.choice(("herr", "fru")), "titlefr": lambda: r.choice(("M.", "Mme", "Mlle")),
         }[slot](), None
