@@ -38,7 +38,7 @@ MAX_SPAN = 120
 # Titles, particles of names, words that open a signature or name a person, and kinds of streets.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "hra", "rva", "herra", "rouva", "fru", "mme", "mlle", "monsieur", "madame")
 PARTICLES = ("de", "la", "van", "von", "der", "den", "du", "le", "af", "av", "zu", "di", "da", "ten", "el")
-OPENERS = ("by", "attn", "contact", "sgd", "for", "from", "neighbour", "driver", "sheets", "regards", "cordialement", "grüßen", "hälsningar", "terveisin", "durch", "vertretung", "ansprechpartner", "sijaisena", "on", "allekirjoitti", "hyväksyjä", "kontakta", "chaufför", "contacter", "par", "pour", "av", "och", "of", "to", "and", "was", "ask", "authorised", "call", "per")
+OPENERS = ("by", "attn", "contact", "sgd", "for", "from", "neighbour", "driver", "sheets", "regards", "cordialement", "grüßen", "grüssen", "hälsningar", "terveisin", "durch", "vertretung", "ansprechpartner", "sijaisena", "on", "allekirjoitti", "hyväksyjä", "kontakta", "chaufför", "contacter", "par", "pour", "av", "och", "of", "to", "and", "was", "ask", "authorised", "call", "per")
 STREETS_EN = "road|rd|street|st|lane|ln|way|close|yard|ave|avenue|court|drive|place|square|terrace|row|hill|gardens"
 STREETS_ONE = (
     "straße|strasse|str|weg|gasse|platz|allee|ufer|damm|gatan|gata|vägen|väg|stigen|stig|gränd|gränden|torg|torget|plan|planen|backen|"
@@ -181,7 +181,7 @@ class Model:
                     if i > 0 and (classes[i - 1] == "T" or tokens[i - 1][2].lower() == "m.") and re.fullmatch(r"\.?[ \xa0]{1,2}|[ \xa0]?\n", text[tokens[i - 1][1] : tokens[i][0]]):
                         titled = 1 if classes[i - 1] == "T" else 2  # M. may be an initial as well
                     inner = classes[i : j + 1]
-                    if "L" in inner or "O" in inner or "T" in inner or inner[-1] == "p" or (i == j and (not titled or inner[0] == "I")):
+                    if "L" in inner or "O" in inner or "T" in inner or inner[-1] == "p" or (inner[0] == "p" and not titled) or (i == j and (not titled or inner[0] == "I")):
                         continue
                     if inner[-1] == "I" and "," not in between:
                         continue
