@@ -44,7 +44,7 @@ def text_pages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 # The geometry of printed documents, in points on A4.
 WIDTH, HEIGHT = 595.0, 842.0
-TITLE_Y, LABEL_Y, LABEL2_Y, PARTY_Y, TABLE_Y, NEXT_TABLE_Y, FOOT_Y = 66.0, 100.0, 128.0, 178.0, 256.0, 136.0, 786.0
+TITLE_Y, LABEL_Y, LABEL2_Y, PARTY_Y, TABLE_Y, NEXT_TABLE_Y, FOOT_Y = 66.0, 100.0, 140.0, 178.0, 256.0, 136.0, 786.0
 ROW_PITCH, BODY_BOTTOM, SIZE, NARROW = 18.4, 446.0, 8.0, 2.4
 FIRST_ROWS = int((BODY_BOTTOM - TABLE_Y) / ROW_PITCH)
 NEXT_ROWS = int((BODY_BOTTOM - NEXT_TABLE_Y) / ROW_PITCH)
