@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.numbers import cents, figure, is_figure, money
 from tallyfold.functions.text import after_dot, after_first_word, is_heading, settled_terms
 from tallyfold.operators.layout import ROW_TOLERANCE, row_text
-from tallyfold.operators.lookup import COLUMN_DRIFT, PARTY_COLUMN, below_label, let, row_index
+from tallyfold.operators.lookup import COLUMN_DRIFT, PARTY_COLUMN, below_labels, let, row_index
 
 # Headings of figure columns, where each figure may stand, distances in points, and the words of the layouts.
 FIGURE_HEADINGS = ("QTY", "ORDERED", "UNIT", "PRICE", "NET", "VAT", "LINE", "TOTAL", "UOM")
@@ -182,8 +182,10 @@ def rate_schedule(rows: Column) -> Column:
     return F.coalesce(let(_table(rows, ("ITEM DESCRIPTION", "MAXIMUM"), r"(?i)clause|renewal|synthetic"), lambda t: F.when(t.isNotNull(), read(t))), F.array()).cast(kind)
 
 
-def _field(rows: Column, label: str) -> Column:
-    return below_label(rows, label)["text"]
+def _with_fields(docs: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Adds a column for each labelled field; all labels are looked up in one expression."""
+    found = docs.withColumn("_below", F.transform(below_labels(F.col("rows"), list(labels.values())), lambda v: v["text"]))
+    return found.withColumns({name: F.col("_below")[k] for k, name in enumerate(labels)}).drop("_below")
 
 
 def _unless(value: Column, word: str, whole: bool) -> Column:
@@ -191,31 +193,38 @@ def _unless(value: Column, word: str, whole: bool) -> Column:
     return F.when(~((low == word) if whole else F.contains(low, F.lit(word))), value)
 
 
+def _currency(df: DataFrame) -> DataFrame:
+    """EUR where none is printed, and whether that was so."""
+    return df.withColumns({"currency": F.coalesce("stated_currency", F.lit("EUR")), "currency_defaulted": F.col("stated_currency").isNull()}).drop("stated_currency")
+
+
 def invoices(docs: DataFrame) -> DataFrame:
     r = F.col("rows")
-    read = without_artefacts(table_rows(r, ("LN", "DESCRIPTION", "QTY"), r"(?i)subtotal"))
-    return docs.select(
-        "doc_id", "page_count", F.lit("invoice").alias("document_type"), F.lit("SharePoint").alias("source_system"), _field(r, "INVOICE NUMBER").alias("document_id"),
-        party(r, "SELLER").alias("seller"), party(r, "BILL TO").alias("buyer"), _field(r, "ISSUE DATE").alias("issue_date"), _field(r, "DUE DATE").alias("due_date"),
-        _field(r, "CURRENCY").alias("stated_currency"), _unless(_field(r, "TERMS"), "not stated", True).alias("payment_terms"), _unless(_field(r, "PURCHASE ORDER REFERENCE"), "none", False).alias("po_reference"),
-        read.alias("t"), F.struct(last_figure(r, "subtotal").alias("subtotal"), last_figure(r, "vat total").alias("tax_total"), last_figure(r, "total due").alias("grand_total")).alias("totals"),
-    ).withColumns({"currency": F.coalesce("stated_currency", F.lit("EUR")), "currency_defaulted": F.col("stated_currency").isNull(), "lines": F.col("t.lines"), "removed_duplicates": F.col("t.removed")}).drop("stated_currency", "t")
+    labels = {"document_id": "INVOICE NUMBER", "issue_date": "ISSUE DATE", "due_date": "DUE DATE", "stated_currency": "CURRENCY", "payment_terms": "TERMS", "po_reference": "PURCHASE ORDER REFERENCE"}
+    read = _with_fields(docs, labels).withColumn("t", without_artefacts(table_rows(r, ("LN", "DESCRIPTION", "QTY"), r"(?i)subtotal")))
+    return _currency(read.select(
+        "doc_id", "page_count", F.lit("invoice").alias("document_type"), F.lit("SharePoint").alias("source_system"), "document_id", party(r, "SELLER").alias("seller"), party(r, "BILL TO").alias("buyer"),
+        "issue_date", "due_date", "stated_currency", _unless(F.col("payment_terms"), "not stated", True).alias("payment_terms"), _unless(F.col("po_reference"), "none", False).alias("po_reference"),
+        F.col("t.lines").alias("lines"), F.col("t.removed").alias("removed_duplicates"),
+        F.struct(last_figure(r, "subtotal").alias("subtotal"), last_figure(r, "vat total").alias("tax_total"), last_figure(r, "total due").alias("grand_total")).alias("totals"),
+    ))
 
 
 def purchase_orders(docs: DataFrame) -> DataFrame:
     r = F.col("rows")
-    read = without_artefacts(table_rows(r, ("ITEM", "ORDERED", "NET"), r"(?i)order value"))
-    return docs.select(
-        "doc_id", "page_count", F.lit("purchase_order").alias("document_type"), F.lit("SAP").alias("source_system"), _field(r, "PO NUMBER").alias("document_id"), party(r, "SUPPLIER").alias("vendor"),
-        _field(r, "ORDER DATE").alias("order_date"), _field(r, "DELIVERY BY").alias("delivery_date"), _field(r, "REQUISITION").alias("requisition_number"), _field(r, "CURRENCY").alias("stated_currency"),
-        _field(r, "PAYMENT TERMS").alias("payment_terms"), _unless(_field(r, "CONTRACT REFERENCE"), "none", True).alias("contract_reference"), read.alias("t"), last_figure(r, "order value").alias("order_value"),
-    ).withColumns({"currency": F.coalesce("stated_currency", F.lit("EUR")), "currency_defaulted": F.col("stated_currency").isNull(), "lines": F.col("t.lines"), "removed_duplicates": F.col("t.removed")}).drop("stated_currency", "t")
+    labels = {"document_id": "PO NUMBER", "order_date": "ORDER DATE", "delivery_date": "DELIVERY BY", "requisition_number": "REQUISITION", "stated_currency": "CURRENCY", "payment_terms": "PAYMENT TERMS", "contract_reference": "CONTRACT REFERENCE"}
+    read = _with_fields(docs, labels).withColumn("t", without_artefacts(table_rows(r, ("ITEM", "ORDERED", "NET"), r"(?i)order value")))
+    return _currency(read.select(
+        "doc_id", "page_count", F.lit("purchase_order").alias("document_type"), F.lit("SAP").alias("source_system"), "document_id", party(r, "SUPPLIER").alias("vendor"), "order_date", "delivery_date", "requisition_number",
+        "stated_currency", "payment_terms", _unless(F.col("contract_reference"), "none", True).alias("contract_reference"), F.col("t.lines").alias("lines"), F.col("t.removed").alias("removed_duplicates"), last_figure(r, "order value").alias("order_value"),
+    ))
 
 
 def contracts(docs: DataFrame) -> DataFrame:
     r = F.col("rows")
     text = F.array_join(F.transform(r, lambda x: x["text"]), "\n")
-    return docs.select(
-        "doc_id", "page_count", F.lit("contract").alias("document_type"), F.lit("CLM").alias("source_system"), _field(r, "CONTRACT REFERENCE").alias("document_id"), party(r, "COUNTERPARTY").alias("counterparty"),
-        _field(r, "EFFECTIVE DATE").alias("effective_date"), _field(r, "EXPIRY DATE").alias("expiry_date"), _field(r, "GOVERNING LAW").alias("governing_law"), settled_terms(text).alias("payment_terms"), rate_schedule(r).alias("rate_schedule"),
+    labels = {"document_id": "CONTRACT REFERENCE", "effective_date": "EFFECTIVE DATE", "expiry_date": "EXPIRY DATE", "governing_law": "GOVERNING LAW"}
+    return _with_fields(docs, labels).select(
+        "doc_id", "page_count", F.lit("contract").alias("document_type"), F.lit("CLM").alias("source_system"), "document_id", party(r, "COUNTERPARTY").alias("counterparty"),
+        "effective_date", "expiry_date", "governing_law", settled_terms(text).alias("payment_terms"), rate_schedule(r).alias("rate_schedule"),
     )

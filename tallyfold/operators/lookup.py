@@ -21,6 +21,7 @@ LABEL_CLEARANCE, VALUE_GAP, LABEL_ROWS = 3.0, 12.0, 2
 BESIDE_DX, BESIDE_DY, BESIDE_WIDTH = 26.0, 22.0, 140.0
 ROW_MARGIN, CROP_X, CROP_Y = 8.0, 4.0, 1.5
 
+_NEAR = "struct<y0:double,x0:double,row:array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>"
 _WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
 
 
@@ -41,12 +42,18 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
-def below_label(rows: Column, label: str) -> Column:
-    """struct(text, page, x0, y0, x1, y1) of the value printed beneath a label, left-aligned to it; null if absent."""
-    parts = label.split()
-    first = parts[0].lower()
+def below_labels(rows: Column, labels: list[str]) -> Column:
+    """array of struct(text, page, box): for each label the value printed beneath it, left-aligned to it; null if absent.
+
+    The labels are data of one expression, which is built and planned once for all of them.
+    """
+    asked = F.array(*(F.struct(F.lit(x.split()[0].lower()).alias("first"), F.array(*(F.lit(w.lower()) for w in x.split())).alias("needles")) for x in labels))
+
+    def find(label: Column) -> Column:
+        at = F.array_position(F.transform(rows, lambda r: F.forall(label["needles"], lambda n: F.contains(r["low"], n))), F.lit(True)).cast("int")
+        return let(at, lambda i: F.when(i > 0, at_row(i, label["first"])))
 
-    def at_row(i: Column) -> Column:
+    def at_row(i: Column, first: Column) -> Column:
         head = F.get(rows, i - 1)
         anchor = F.get(F.filter(head["words"], lambda w: F.rtrim(F.lower(w["text"]), F.lit(":")) == first), F.lit(0))["x0"]
         return let(F.struct(head["page"].alias("page"), head["words"][0]["y0"].alias("top"), head["words"][0]["y1"].alias("bottom"), anchor.alias("x"), F.slice(rows, i + 1, LABEL_ROWS).alias("next")), at_label)
@@ -54,11 +61,15 @@ def below_label(rows: Column, label: str) -> Column:
     def at_label(a: Column) -> Column:
         fits = lambda w: (F.abs(w["x0"] - a["x"]) <= COLUMN_DRIFT) & (w["y0"] > a["top"] + LABEL_CLEARANCE) & (w["y0"] - a["bottom"] < LABEL_GAP)
         near = F.flatten(F.transform(F.filter(a["next"], lambda r: r["page"] == a["page"]), lambda r: F.transform(F.filter(r["words"], fits), lambda w: F.struct(w["y0"].alias("y0"), w["x0"].alias("x0"), r["words"].alias("row")))))
-        best = F.array_min(F.transform(near, lambda n: F.struct(n["y0"], n["x0"])))
-        chosen = F.get(F.filter(near, lambda n: (n["y0"] == best["y0"]) & (n["x0"] == best["x0"])), F.lit(0))
-        return F.when(chosen.isNotNull(), let(run_from(chosen["row"], chosen["x0"], chosen["y0"]), lambda g: F.struct(row_text(g).alias("text"), a["page"].alias("page"), box(g).alias("box"))))
+        first = F.reduce(near, F.lit(None).cast(_NEAR), lambda best, n: F.when(best.isNull() | (n["y0"] < best["y0"]) | ((n["y0"] == best["y0"]) & (n["x0"] < best["x0"])), n).otherwise(best))
+        return let(first, lambda c: F.when(c.isNotNull(), let(run_from(c["row"], c["x0"], c["y0"]), lambda g: F.struct(row_text(g).alias("text"), a["page"].alias("page"), box(g).alias("box")))))
 
-    return let(row_index(rows, *parts), lambda i: F.when(i.isNotNull(), at_row(i)))
+    return F.transform(asked, find)
+
+
+def below_label(rows: Column, label: str) -> Column:
+    """struct(text, page, box) of the value printed beneath one label; null if absent."""
+    return below_labels(rows, [label])[0]
 
 
 def run_from(row: Column, x: Column, y: Column) -> Column:
