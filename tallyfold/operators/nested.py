@@ -70,7 +70,8 @@ def _holds_only(value: dict, name: str) -> bool:
 class _Walk:
     """One record: collects (child, parent_ord, ord, path, node_id, parent_id, body) in written order."""
 
-    def __init__(self, root: object, root_id: str) -> None:
+    def __init__(self, root: object, root_id: str, bodies: bool) -> None:
+        self.body = (lambda v: json.dumps(v, ensure_ascii=False)) if bodies else (lambda v: None)
         self.rows: list[tuple] = []
         self.ords = dict.fromkeys(CHILDREN, 0)
         self.root_id = root_id
@@ -118,7 +119,7 @@ class _Walk:
             else:
                 self.ords[name] += 1
                 own, at = identity(value), self.ords[name]
-                self.rows.append((name, 0, at, path, own, self.root_id, json.dumps(value, ensure_ascii=False)))
+                self.rows.append((name, 0, at, path, own, self.root_id, self.body(value)))
                 if name == "lines":
                     self.below(value, [0], at, own, path, depth + 1)
 
@@ -149,10 +150,10 @@ class _Walk:
                         self.grand(v, name, count, parent_ord, parent_id, f"{path}.{k}", depth + 1)
             else:
                 count[0] += 1
-                self.rows.append((name, parent_ord, count[0], path, identity(value), parent_id, json.dumps(value, ensure_ascii=False)))
+                self.rows.append((name, parent_ord, count[0], path, identity(value), parent_id, self.body(value)))
 
 
-def shred_text(raw: str | None) -> tuple[str, str | None, list[tuple]]:
+def shred_text(raw: str | None, bodies: bool = True) -> tuple[str, str | None, list[tuple]]:
     """(status, identity of the record, occurrences of its children) of one text."""
     if raw is None or not (text := raw.strip(MARKS)):
         return "empty", None, []
@@ -168,29 +169,34 @@ def shred_text(raw: str | None) -> tuple[str, str | None, list[tuple]]:
         return "foreign", None, []
     try:
         own = identity(root)
-        return "ok", own, _Walk(root, own).rows
+        return "ok", own, _Walk(root, own, bodies).rows
     except (_TooDeep, RecursionError):
         return "too_deep", None, []
 
 
-def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("record_id", pa.int64()), ("status", pa.string()), ("child", pa.string()), ("parent_ord", pa.int32()), ("ord", pa.int32()),
-        ("path", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("body", pa.string()),
-    ])
-    for batch in batches:
-        out: list[list] = [[] for _ in schema]
-        for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            status, own, rows = shred_text(raw)
-            for row in [(rid, status, None, 0, 0, "$", own, None, None), *((rid, status, *r) for r in rows)]:
-                for column, x in zip(out, row):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-
-def shred(df: DataFrame, record_id: str = "record_id", raw: str = "raw") -> DataFrame:
-    """All occurrences, and one row with a null ``child`` for each record itself."""
-    return df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(raw).cast("string").alias("raw")).mapInArrow(_shred, NODE_SCHEMA)
+_NODES = pa.schema([
+    ("record_id", pa.int64()), ("status", pa.string()), ("child", pa.string()), ("parent_ord", pa.int32()), ("ord", pa.int32()),
+    ("path", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("body", pa.string()),
+])
+
+
+def shred(df: DataFrame, record_id: str = "record_id", raw: str = "raw", bodies: bool = True) -> DataFrame:
+    """All occurrences, and one row with a null ``child`` for each record itself.
+
+    The bridge and the records need no bodies; where nothing else is asked for they are not written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _NODES]
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                status, own, rows = shred_text(text, bodies)
+                for row in [(rid, status, None, 0, 0, "$", own, None, None), *((rid, status, *r) for r in rows)]:
+                    for column, x in zip(out, row):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _NODES)], schema=_NODES)
+
+    return df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(raw).cast("string").alias("raw")).mapInArrow(run, NODE_SCHEMA)
 
 
 def records(nodes: DataFrame) -> DataFrame:
