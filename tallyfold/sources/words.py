@@ -186,3 +186,32 @@ def pdf_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all PDF files below a folder, or one row with the reason where a file gives none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "content").mapInPandas(_decode, PDF_SCHEMA)
+
+
+CROP_SCHEMA = "path string, page int, status string, png binary"
+
+
+def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    try:
+        import pymupdf
+    except ImportError:
+        pymupdf = None
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if pymupdf is None:
+                out.append((r.path, r.page, "NO_DECODER", None))
+                continue
+            try:
+                with pymupdf.open(stream=bytes(r.content), filetype="pdf") as document:
+                    clip = pymupdf.Rect(r.cx0, r.cy0, r.cx1, r.cy1)
+                    out.append((r.path, r.page, "OK", document[int(r.page)].get_pixmap(matrix=pymupdf.Matrix(r.zoom, r.zoom), clip=clip).tobytes("png")))
+            except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
+                out.append((r.path, r.page, f"UNREADABLE: {type(e).__name__}", None))
+        yield pd.DataFrame(out, columns=["path", "page", "status", "png"])
+
+
+def pdf_crops(spark: SparkSession, folder: str, rectangles: DataFrame, zoom: float = 2.5) -> DataFrame:
+    """(path, page, status, png) for rectangles (path, page, cx0, cy0, cx1, cy1); files are only read, never changed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return rectangles.select("path", "page", "cx0", "cy0", "cx1", "cy1").join(files, "path").withColumn("zoom", F.lit(zoom)).mapInPandas(_cut_out, CROP_SCHEMA)

@@ -137,3 +137,6 @@ def test_no_decoder_is_a_row(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 broken")
     got = W.pdf_words(spark, str(tmp_path)).collect()
     assert len(got) == 1 and got[0]["status"] != "OK"
+    asked = spark.createDataFrame([(got[0]["path"], 0, 0.0, 0.0, 10.0, 10.0)], "path string, page int, cx0 double, cy0 double, cx1 double, cy1 double")
+    cut = W.pdf_crops(spark, str(tmp_path), asked).collect()
+    assert len(cut) == 1 and cut[0]["png"] is None and cut[0]["status"] == got[0]["status"]
