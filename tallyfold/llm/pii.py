@@ -32,7 +32,7 @@ from tallyfold.llm.pii_examples import Sentences
 from tallyfold.llm.similarity import LEGAL_FORMS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-SENTENCES, EPOCHS = 9000, 5
+SENTENCES, EPOCHS = 16_000, 5
 MAX_SPAN = 120
 
 # Titles, particles of names, words that open a signature or name a person, and kinds of streets.
@@ -65,6 +65,7 @@ _AT = re.compile(r"@|[(\[{]\s?[aä]t\s?[)\]}]|\sat\s", re.I)
 _LOCAL = re.compile(r"(?<![\w.+-])\w(?:[\w\u0300-\u036f.+-]{0,62}[\w\u0300-\u036f])?\s?\Z")
 _PHONE = re.compile(r"(?<![\w.,/+-])\+?\(?\d{1,15}\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])?\(?\d{1,9}\)?){0,7}(?!\w)")
 _DECIMAL, _DOTTED = re.compile(r"\d\.\d{2}(?=[ \n]|\Z)"), re.compile(r"\+?[\d. ]*\d{2}\.\d{2}\.\d{2}\Z")
+_DATE = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d|(?:19|20)\d\d-\d\d-\d\d)\Z")
 _ID_HINT = re.compile(r"\d{3}[- ]\d\d[- ]\d{4}|\d{6}[-+Aa]\d{3}|\d \d\d \d\d \d\d \d{3}|\d{15}|\d{8}-\d{4}|[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Da-d\d]")
 _IDS = tuple(re.compile(p, re.I) for p in (
     r"(?<![\w/-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w/-])",
@@ -89,14 +90,17 @@ _HINTS = {
 _STREET_ENDS = tuple(STREETS_ONE.split("|"))
 _BACK = {"en": 28, "one": 60, "am": 0, "fr": 6}
 _ADDRESSES = (
-    ("en", re.compile(rf"(?<![\w-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d))\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
+    ("en", re.compile(rf"(?<![\w-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d)|\.\d)\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
     ("one", re.compile(rf"(?<![\w-])(?:{_WORD}[ ]{{1,2}}){{0,2}}(?:{_WORD})?(?<=\w)(?:{STREETS_ONE})\.?[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
     ("am", re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)(?:[ ]{_WORD}){{1,2}}[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
     ("fr", re.compile(rf"(?<![\w-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-D]))?,?[ ]{{1,2}}(?:{STREETS_FR})\.?[ ](?:(?:de la|de l['’]|du|des|de|d['’])[ ]?)?{_WORD}(?:[ ][A-ZÀ-Þ]{_WORD}){{0,2}}", re.I), re.compile(_TAIL_CODE, re.I)),
 )
 
+_NINES = {ord(c): "9" for c in "012345678"}
+
+
 def _low(text: str) -> str:
-    return re.sub(r"\d+", "9", text.lower())
+    return text.lower().translate(_NINES)
 
 
 def _around(text: str, start: int, end: int, kind: str) -> list[str]:
@@ -121,7 +125,9 @@ class Model:
 
     def __init__(self, given: tuple[str, ...], suffixes: frozenset[str], weights: dict[str, float]) -> None:
         self.given, self.suffixes, self.weights = frozenset(g.lower() for g in given), suffixes, weights
+        self.around = None if isinstance(weights, defaultdict) else self._best_around()  # None while training
         self.classes: dict[str, str] = {}
+        self.texts: dict[str, list[tuple[int, int, str]]] = {}
 
     def known(self, token: str) -> str:
         """Class of a token: I initial, p particle, T title, L legal form, O opener, g given name, s like a surname, w other."""
@@ -183,12 +189,13 @@ class Model:
                     inner = classes[i : j + 1]
                     if "L" in inner or "O" in inner or "T" in inner or inner[-1] == "p" or (inner[0] == "p" and not titled) or (i == j and (not titled or inner[0] == "I")):
                         continue
-                    if inner[-1] == "I" and "," not in between:
+                    if inner[-1] == "I" and "," not in between or any(c == "I" and gap == "/" for c, gap in zip(inner, between)):
                         continue
                     seen.add((i, j))
-                    yield self._name(text, tokens, classes, joins, i, j, titled, low)
+                    if (found := self._name(text, tokens, classes, joins, i, j, titled, low)) is not None:
+                        yield found
 
-    def _name(self, text: str, tokens: list, classes: list[str], joins: list, i: int, j: int, titled: int, low: int) -> tuple[int, int, str, list[str]]:
+    def _name(self, text: str, tokens: list, classes: list[str], joins: list, i: int, j: int, titled: int, low: int) -> tuple[int, int, str, list[str]] | None:
         start, end = tokens[i][0], tokens[j][1]
         shape = "".join(c + (s or "") for c, s in zip(classes[i : j + 1], [*joins[i - low : j - low], ""])).replace(" ", "")
         cases = "".join("U" if t.isupper() and len(t) > 2 else "C" if t[0].isupper() else "l" for _, _, t in tokens[i : j + 1])
@@ -201,8 +208,19 @@ class Model:
         f += [f"name|w={t.lower()}" for (_, _, t), c in zip(tokens[i : j + 1], classes[i : j + 1]) if c == "w"]
         if space(j) and tokens[j + 1][2][0].isupper():
             f.append("name|nxC")
+        if self.around is not None and self.score(f) + self.around <= 0:
+            return None  # whatever stands around it
         return start, end, "name", f + _around(text, start, end, "name")
 
+    def _best_around(self) -> float:
+        """The most that what stands around a name can add to its score."""
+        most: dict[str, float] = {}
+        for f, w in self.weights.items():
+            kind, _, rest = f.partition("|")
+            if kind == "name" and (group := next((g for g in ("p1=", "p2=", "l=", "n0=", "n1=", "l0n0=", "l1n0=") if rest.startswith(g)), None)):
+                most[group] = max(most.get(group, 0.0), w)
+        return sum(most.values())
+
     def candidates(self, text: str) -> list[tuple[int, int, str, list[str]]]:
         """(start, end, kind, features), in no order."""
         out = []
@@ -230,7 +248,7 @@ class Model:
                 for g in re.finditer(r"\d+", x0):
                     x = x0[: g.end()]
                     n = sum(c.isdigit() for c in x)
-                    if n < 6 or x.count("\n") > 1 or (_DECIMAL.search(x) and not _DOTTED.match(x)):
+                    if n < 6 or x.count("\n") > 1 or _DATE.match(x) or (_DECIMAL.search(x) and not _DOTTED.match(x)):
                         continue
                     if n > 15:
                         break
@@ -287,7 +305,17 @@ class Model:
         return sum(get(f, 0.0) for f in features)
 
     def segments(self, text: str) -> list[tuple[int, int, str]]:
-        """The best set of segments that don't overlap."""
+        """The best set of segments that don't overlap; that of a text which came before is looked up."""
+        known = self.texts.get(text)
+        if known is None:
+            known = self._segments(text)
+            if len(text) <= 4000:
+                if len(self.texts) >= 10_000:
+                    self.texts.clear()
+                self.texts[text] = known
+        return known
+
+    def _segments(self, text: str) -> list[tuple[int, int, str]]:
         scored = sorted(((e, s, k, x) for s, e, k, f in self.candidates(text) if (x := self.score(f)) > 0), key=lambda c: (c[0], c[1]))
         best: list[tuple[int, float, tuple | None]] = [(0, 0.0, None)]  # end, total, (candidate, index before)
         ends = [0]

@@ -239,13 +239,15 @@ We booked {n} hours against {key}; the sheet for week {n} was never countersigne
 """
 LEADS = ("", "", "", "", "By the way, ", "As agreed: ", "Also: ", "FYI, ", "Update: ", "Internal note: ", "To be clear - ", "From the audit file: ", "Second point. ", "> ", "* ", "- ", "3) ", "Zur Info: ", "Außerdem: ", "Hinweis: ", "Tiedoksi: ", "Huom. ", "Lisäksi: ", "För kännedom: ", "Obs! ", "Pour info : ", "Par ailleurs : ", "As of today: ")
 UNLISTED = ("Quillan", "Xiomel", "Ebruka", "Jia-Wen", "Ikenwe", "Ruvim", "Dziubek", "Thandré", "Zsolka", "Ómarr", "O'Daire", "Yevika", "Abdurrin", "Simja", "Uceja", "Nkemi", "Teodor", "Marisol")
+SYLLABLES = (("Qui", "Xi", "Eb", "Ru", "Dziu", "Than", "Zsol", "Óm", "Yev", "Ab", "Šim", "Łu", "Nke", "Teo", "Mar", "Ike", "Bel", "Cor", "Ha", "Žel", "Øy", "Éli", "An"), ("llan", "omel", "uka", "vim", "bek", "dré", "ka", "arr", "ika", "durrin", "ja", "ceja", "mi", "dor", "isol", "nwe", "en", "la", "in", "do", "vin", "ra"))
 BEGINS = ("Osk", "Zel", "Tjäl", "Tar", "Quer", "Stav", "Bren", "Crow", "Drev", "Gorr", "Häm", "Hark", "Ilm", "Kov", "Lum", "Mol", "Nev", "Pels", "Rauv", "Sölv", "Vel", "Wyn", "Bask", "Fal", "And", "Virt", "Nor", "Lind", "Bau", "Mar")
 ENDS = ("gaard", "quist", "ovsky", "nière", "etti", "eri", "strömer", "lander", "vonen", "kki", "sbury", "wick", "meyer", "holt", "dale", "brask", "ecke", "ovan", "ersson", "anen", "mann", "berg", "ström", "ier", "ez")
 COMPANIES = ("Kolvane", "Hollmere", "Trelgaard", "Bergvoll", "Quellstad", "Pilvora", "Zelkin", "Rauvola & Sons", "Stenmark-Ilo", "Brask", "Istrava", "Fjellmar", "Grauwerk", "Oskalde", "Tamsel", "Norrvane", "Marrowby")
 TRADES = ("Handling", "Trading", "Tooling", "Works", "Technik", "Group Nord", "Flow Systems", "Engineering", "Components", "Materials", "Industrial", "Service")
 FORMS = ("Oy", "Oyj", "AB", "AS", "GmbH", "BV", "SARL", "Ltd")
 TOWNS = ("Marrowfield", "Saltmere", "Brackwell Heath", "Varnstad", "Kieselbruck", "Tuoreniemi", "Norrhamra", "Oldenvik", "Pellworthy", "Helmela", "Greifenau", "Velmont-sur-Orne", "Lumikoski")
-ARTICLES = ("Stud bar KC 817 25 kg", "Cold room wall element, 100kg, PW 698", "Grinding disc DQ-758 30 kW", "JUNCTION BOX GE-508 200 MM", "Rail wagon brake block 400 mm", "Mixer blade, RL-783", "Fire nozzle - MT-308 - 100 l", "Crane rope RE/947 48 bar", "SCREEN CLOTH LZ-880 24 M", "Drain grating BL302 4 M", "Mask filter RZ-319 6000 W", "scanner cradle MZ622 6000 W", "Stretch film 30 l", "Timber dunnage, AR/630", "Pallet racking upright, MN/345, 20 kg", "Wall plug, heavy, NN/486, 250 mm", "Cut resistant glove, KE/767, 30 cm", "Staging rental, KR/665", "Calibration visit, XZ/487, 125 L", "MT/860, Fire nozzle, 125 l", "Load battens, AR-639", "Gully coer - BL 559 - 2 m")
+ARTICLES = ("Stud bar", "Threaded rod", "Cold room wall element", "Grinding disc", "Junction box", "Rail wagon brake block", "Mixer blade", "Fire nozzle", "Crane rope", "Screen cloth", "Drain grating", "Mask filter", "Barcode scanner cradle", "Stretch film", "Timber dunnage", "Pallet racking upright", "Wall plug, heavy", "Cut resistant glove", "Staging rental", "Calibration visit", "Load battens", "Gully coer", "Dock leveller plate", "Guard duty, night", "Waste skip rental", "Welding wire spool", "Idler for belt line", "Boiler service", "Level switch", "Tank float contact")
+MEASURES = ("# kg", "## mm", "### mm", "## cm", "# m", "## l", "### l", "#kW", "## kW", "##000 W", "## bar", "##BAR", "## M", "# L")
 STREETS_EN = ("Osier", "Marl", "Tallow", "Old Kiln", "Copperfell", "Wether", "Pinder's", "Brindle", "Sallow", "Candlewick", "High", "Mill")
 KINDS_EN = ("Road", "Street", "St", "Lane", "Way", "Close", "Yard", "Ave.", "Avenue", "Rd")
 STREETS_DE = ("Hüttenstraße", "Kranichweg", "Ziegelbrennerstr.", "Alte Zollgasse", "Am Kieselwerk", "Lindthalweg", "An der Alten Mühle", "Gartenallee", "Marktplatz")
@@ -275,7 +277,12 @@ class Sentences:
 
     def first(self) -> str:
         r = self.r
-        return r.choice(self.given) if r.random() < 0.7 else r.choice(UNLISTED) if r.random() < 0.75 else f"{r.choice('ABDEGHJKLMMMMNPRSTUVW')}."
+        return r.choice(self.given) if r.random() < 0.6 else self.unlisted() if r.random() < 0.75 else f"{r.choice('ABDEGHJKLMMMMNPRSTUVW')}."
+
+    def unlisted(self) -> str:
+        """A given name that no lexicon has; mostly made up, so that none is learnt by heart."""
+        r = self.r
+        return r.choice(UNLISTED) if r.random() < 0.15 else r.choice(SYLLABLES[0]) + r.choice(SYLLABLES[1])
 
     def surname(self) -> str:
         r = self.r
@@ -288,7 +295,7 @@ class Sentences:
 
     def name(self) -> str:
         r = self.r
-        middle = f"{r.choice('ABCDEFGHJKLMRST')}. " if r.random() < 0.12 else r.choice(("de ", "von ", "van der ", "der ", "la ")) if r.random() < 0.05 else ""
+        middle = f"{r.choice('ABCDEFGHJKLMRST')}. " if r.random() < 0.2 else r.choice(("de ", "von ", "van der ", "der ", "la ")) if r.random() < 0.05 else ""
         gap = "  " if r.random() < 0.06 else "\n" if r.random() < 0.02 else " "
         return self.cased(f"{self.first()}{gap}{middle}{self.surname()}")
 
@@ -333,6 +340,15 @@ class Sentences:
         form = self.digits(r.choice(("666-##-####", "666 ## ####", "QQ######A", "QQ ## ## ## C", "######-9##A", "######A9##N", "######-9###", "1 73 50 99 ### ### ##", "1735099########", "ZZ#######")))
         return form.lower() if r.random() < 0.05 else form
 
+    def article(self) -> str:
+        """A goods description: name, code and measure, of which one may be missing, in any order after the name."""
+        r = self.r
+        code = f"{r.choice('ABDFGHKLMNPRSTWXZ')}{r.choice('CEGJKLMNRTWZ')}{r.choice(('-', '/', ' ', '', '.'))}{self.digits('###')}"
+        parts = [x for x in (code, self.digits(r.choice(MEASURES))) if r.random() < 0.85]
+        r.shuffle(parts)
+        parts.insert(0 if r.random() < 0.9 else len(parts), r.choice(ARTICLES))
+        return self.cased(r.choice((" ", " ", " - ", ", ")).join(parts) + r.choice(("", "", "", "", " *", " new")), 0.1, 0.12)
+
     def lot(self) -> str:
         return self.digits(self.r.choice(("040-####-###", "## ### ####", "##/####-#", "LOT#######")))
 
@@ -348,9 +364,9 @@ class Sentences:
             kind = {"EMAIL": "email", "PHONE": "phone", "ADDRESS": "address", "ID": "id_number"}[slot]
             return {"email": self.email, "phone": self.phone, "address": self.street, "id_number": self.id}[kind](), kind
         return {
-            "company": lambda: self.cased(f"{r.choice(COMPANIES)} {r.choice(TRADES)} {r.choice(FORMS)}", 0.05, 0.08), "town": lambda: r.choice(TOWNS), "article": lambda: self.cased(r.choice(ARTICLES), 0.1, 0.1),
+            "company": lambda: self.cased(f"{r.choice(COMPANIES)} {r.choice(TRADES)} {r.choice(FORMS)}", 0.05, 0.08), "town": lambda: r.choice(TOWNS), "article": self.article,
             "key": lambda: self.digits(r.choice(("PO-00#########", "CTR-######", "INV-2025-0000####"))), "lot": self.lot, "n": lambda: str(r.randrange(1, 400)),
-            "date": lambda: self.digits(r.choice(("2025-0#-1#", "1#/#/2025", "1#/1#/2025", "2#/12/2025", "1#.1#.2025", "1#.#.2025", "2#.#."))), "money": lambda: self.digits(r.choice(("EUR #,###.##", "##.## EUR", "€###.##", "SEK ##,###.##", "### euros"))),
+            "date": lambda: self.digits(r.choice(("2025-0#-1#", "1#/#/2025", "1#/1#/2025", "2#/12/2025", "1#.1#.2025", "1#.#.2025", "#.#.2025", "#/#/2025", "2#.#.", "#.#."))), "money": lambda: self.digits(r.choice(("EUR #,###.##", "##.## EUR", "€###.##", "SEK ##,###.##", "### euros"))),
             "title": lambda: r.choice(("Mr", "Mrs", "Ms.", "Dr", "Ms")), "titlede": lambda: r.choice(("Herr", "Frau", "Dr.")), "titlefi": lambda: r.choice(("hra", "rva")),
             "titlesv": lambda: r.choice(("herr", "fru")), "titlefr": lambda: r.choice(("M.", "Mme", "Mlle")),
         }[slot](), None
