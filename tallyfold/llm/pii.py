@@ -49,6 +49,13 @@ STREETS_FR = "rue|avenue|av|allée|chemin|quai|place|boulevard|bd|impasse|route|
 _OPEN = frozenset(OPENERS) | frozenset(TITLES)
 _BLANKS = frozenset((" ", "  ", "   ", "\xa0", " \xa0", "\xa0 "))
 
+
+
+def _both(pattern: str) -> str:
+    """A pattern in which accents may also be written apart from their letters."""
+    return "".join(c if (d := unicodedata.normalize("NFD", c)) == c else f"(?:{c}|{d})" for c in pattern)
+
+
 _W = r"(?:[^\W\d_]|[\u0300-\u036f])"  # a letter, or the accent of one written apart
 _NT = rf"{_W}+(?:[-'’](?![sS]\b){_W}+)*"
 _TOKEN = re.compile(rf"(?<!\w)(?:{_W}\.(?=[\s,;.)/]|\Z)|{_NT})")
@@ -57,11 +64,11 @@ _ACCENT = re.compile(r"[\u0300-\u036f]")
 _GAP = re.compile(r"(?:[ \xa0]{1,3}|, | ?\r?\n ?)\Z")
 
 _EMAIL = re.compile(
-    r"(?<![\w.+-])\w(?:[\w\u0300-\u036f.+-]{0,62}[\w\u0300-\u036f])?(?:\s?@\s?|\s?[(\[{]\s?[aä]t\s?[)\]}]\s?|\sat\s)"
+    r"(?<![\w.+-])\w(?:[\w\u0300-\u036f.+-]{0,62}[\w\u0300-\u036f])?(?:\s?@\s?|\s?[(\[{]\s?(?:a\u0308|[aä])t\s?[)\]}]\s?|\sat\s)"
     r"[\w\u0300-\u036f-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[\w\u0300-\u036f-]+){0,5}(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[^\W\d_]{2,12}(?![\w@-])",
     re.I,
 )
-_AT = re.compile(r"@|[(\[{]\s?[aä]t\s?[)\]}]|\sat\s", re.I)
+_AT = re.compile(r"@|[(\[{]\s?(?:a\u0308|[aä])t\s?[)\]}]|\sat\s", re.I)
 _LOCAL = re.compile(r"(?<![\w.+-])\w(?:[\w\u0300-\u036f.+-]{0,62}[\w\u0300-\u036f])?\s?\Z")
 _PHONE = re.compile(r"(?<![\w.,/+-])\+?\(?\d{1,15}\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])?\(?\d{1,9}\)?){0,7}(?!\w)")
 _DECIMAL, _DOTTED = re.compile(r"\d\.\d{2}(?=[ \n]|\Z)"), re.compile(r"\+?[\d. ]*\d{2}\.\d{2}\.\d{2}\Z")
@@ -85,15 +92,15 @@ _HINTS = {
     "en": re.compile(rf"\d[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?!\w)", re.I),
     "one": re.compile(r"\.? {1,2}(?=\d)"),  # after a word that ends like a street
     "am": re.compile(r"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)[ ]", re.I),
-    "fr": re.compile(rf"\d[^\n]{{0,9}}?[ ](?:{STREETS_FR})\.?[ ]", re.I),
+    "fr": re.compile(rf"\d[^\n]{{0,9}}?[ ](?:{_both(STREETS_FR)})\.?[ ]", re.I),
 }
-_STREET_ENDS = tuple(STREETS_ONE.split("|"))
+_STREET_ENDS = tuple({f for x in STREETS_ONE.split("|") for f in (x, unicodedata.normalize("NFD", x))})
 _BACK = {"en": 28, "one": 60, "am": 0, "fr": 6}
 _ADDRESSES = (
     ("en", re.compile(rf"(?<![\w-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d)|\.\d)\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
-    ("one", re.compile(rf"(?<![\w-])(?:{_WORD}[ ]{{1,2}}){{0,2}}(?:{_WORD})?(?<=\w)(?:{STREETS_ONE})\.?[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
+    ("one", re.compile(rf"(?<![\w-])(?:{_WORD}[ ]{{1,2}}){{0,2}}(?:{_WORD})?(?<=\w)(?:{_both(STREETS_ONE)})\.?[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
     ("am", re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)(?:[ ]{_WORD}){{1,2}}[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
-    ("fr", re.compile(rf"(?<![\w-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-D]))?,?[ ]{{1,2}}(?:{STREETS_FR})\.?[ ](?:(?:de la|de l['’]|du|des|de|d['’])[ ]?)?{_WORD}(?:[ ][A-ZÀ-Þ]{_WORD}){{0,2}}", re.I), re.compile(_TAIL_CODE, re.I)),
+    ("fr", re.compile(rf"(?<![\w-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-D]))?,?[ ]{{1,2}}(?:{_both(STREETS_FR)})\.?[ ](?:(?:de la|de l['’]|du|des|de|d['’])[ ]?)?{_WORD}(?:[ ][A-ZÀ-Þ]{_WORD}){{0,2}}", re.I), re.compile(_TAIL_CODE, re.I)),
 )
 
 _NINES = {ord(c): "9" for c in "012345678"}
@@ -268,7 +275,7 @@ class Model:
         for which, head, tail in _ADDRESSES:
             done = -1
             for h in _HINTS[which].finditer(text):
-                if which == "one" and not text[max(0, h.start() - 12) : h.start()].lower().endswith(_STREET_ENDS):
+                if which == "one" and not text[max(0, h.start() - 14) : h.start()].lower().endswith(_STREET_ENDS):
                     continue
                 if h.start() >= done and (m := head.search(text, max(done, h.start() - _BACK[which], 0), min(len(text), h.end() + 60))):
                     done = m.end()

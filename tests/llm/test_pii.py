@@ -1,5 +1,6 @@
 import itertools
 import math
+import unicodedata
 
 import pytest
 
@@ -36,6 +37,12 @@ def test_titles_and_accents(model):
     assert ("name", "Hedda Hämgaard") in items(model, "Contact: Hedda Hämgaard")
 
 
+def test_accents_written_apart(model):
+    apart = unicodedata.normalize("NFD", "Leverans till Bruksgränd 123, 281 16 Norrhamra.\nAdresse de livraison : 142, allée Maubrel\nContact hedda98(ät)fjellmar.test.")
+    got = [(k, unicodedata.normalize("NFC", t)) for k, t in items(model, apart)]
+    assert got == [("address", "142, allée Maubrel"), ("address", "Bruksgränd 123, 281 16 Norrhamra"), ("email", "hedda98(ät)fjellmar.test")]
+
+
 def test_held_out_accuracy(model):
     right = wrong = missed = 0
     for text, spans in Sentences(GIVEN, seed=4321)(400):
