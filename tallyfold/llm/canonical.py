@@ -42,16 +42,23 @@ NAME_AGREES = 0.5
 
 
 def codes(value: Column, whole_length: int) -> Column:
-    """Codes a typed value may mean, as an array of strings of digits without leading zeros.
+    """Codes a typed value may mean, as an array of strings of digits, with their leading zeros and without.
 
-    A group of at least ``whole_length`` figures stands for itself even where others follow.
+    Both are needed: zeros are left out at will, but after a slip in the figure that follows
+    them, those behind it would pass for leading ones. A group of at least ``whole_length`` figures stands for itself even where others follow.
     """
     plain = F.regexp_replace(F.lower(F.translate(value, FULL_WIDTH, "0123456789")), r"\.0(?![\d.])", "")
     runs = F.regexp_extract_all(plain, F.lit(_RUN), F.lit(0))
-    digits = lambda x: F.regexp_replace(F.regexp_replace(F.translate(x, LETTERS, FIGURES), r"\D", ""), r"^0+", "")
+    digits = lambda x: F.regexp_replace(F.translate(x, LETTERS, FIGURES), r"\D", "")
     groups = F.regexp_extract_all(plain, F.lit(rf"(?<!{_G}){_G}*\d{_G}*"), F.lit(0))
     long_groups = F.filter(groups, lambda x: F.length(F.regexp_replace(F.translate(x, LETTERS, FIGURES), r"\D", "")) >= whole_length)
-    return F.array_distinct(F.filter(F.transform(F.concat(runs, long_groups), digits), lambda x: F.length(x) > 0))
+    return both_spellings(F.transform(F.concat(runs, long_groups), digits))
+
+
+def both_spellings(digits: Column) -> Column:
+    """An array of strings of digits, each with its leading zeros and without."""
+    plain = F.transform(digits, lambda x: F.regexp_replace(x, r"^0+", ""))
+    return F.filter(F.array_distinct(F.concat(digits, plain)), lambda x: F.length(x) > 0)
 
 
 def deletions(code: Column, edits: int) -> Column:
@@ -94,10 +101,11 @@ def match_references(
     entries = (
         listed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(owner)).alias("owner"))
         .join(values.withColumnRenamed("value", "key"), "key", "left")
-        .select("key", F.regexp_replace(F.regexp_replace("key", r"\D", ""), "^0+", "").alias("code"), F.coalesce("rows", F.lit(0)).alias("uses"), name_bigrams(F.col("owner")).alias("owner"))
+        .select("key", F.coalesce("rows", F.lit(0)).alias("uses"), name_bigrams(F.col("owner")).alias("owner"), F.explode_outer(both_spellings(F.array(F.regexp_replace("key", r"\D", "")))).alias("code"))
     )
-    dirty = values.join(entries.select(F.col("key").alias("value")), "value", "left_anti")
+    dirty = values.join(listed.select(F.col(key).alias("value")).distinct(), "value", "left_anti")
     typed = dirty.select("value", F.explode(codes(F.col("value"), 9)).alias("code"))
+    entries = entries.where("code is not null")
     near = neighbours(typed, entries, max_edits, broadcast_entries)
     meant = (
         typed.join(near, "code").join(entries.withColumnRenamed("code", "entry"), "entry")

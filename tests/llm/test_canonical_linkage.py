@@ -31,6 +31,13 @@ def test_forms(spark):
     assert match(spark, typed, LISTED) == [(k, A) for k in range(len(values))]
 
 
+def test_zeros_behind_a_slip(spark):
+    # the 6 that is left out makes the zeros behind it look like leading ones
+    listed = [("PO-00600069323", "Brask Works AB"), ("PO-00700069999", "Brask Works AB")]
+    typed = [(1, "PO no. 0000069323", "Brask Works"), (2, "600069323", "x"), (3, "0600069323", "x"), (4, "69323", "Brask Works")]
+    assert match(spark, typed, listed) == [(1, "PO-00600069323"), (2, "PO-00600069323"), (3, "PO-00600069323"), (4, None)]
+
+
 def test_misses_and_edges(spark):
     typed = [(1, None, "x"), (2, "", "x"), (3, "  ", None), (4, A, "x"), (5, "PO-", "x"), (6, "BANF 77850", "x"), (7, "po 555555555", "x"), (8, "123456780", "Zelkin Tooling Oy"), (9, "123456780", None), (10, "987654312", "Anyone"), (10, "987654312", "Anyone"), (11, "x" * 5000 + " 123456789", "z")]
     got = match(spark, typed, LISTED)
