@@ -48,16 +48,20 @@ def _item_leaves(kind: T.StructType, name: str):  # noqa: ANN202
     return lambda x, i: F.array(*_leaves(kind, x, F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))))
 
 
-def fields(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, field_path, value): every scalar field of every document, items of arrays by index from 0."""
-    schema = T.StructType([f for f in df.schema.fields if f.name not in keys])
+def fields(df: DataFrame, keys: list[str], wanted: str | None = None) -> DataFrame:
+    """(*keys, field_path, value): every scalar field of every document, items of arrays by index from 0.
+
+    wanted: an array column of paths; of each document only its fields of these paths are given.
+    """
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (*keys, wanted)])
     parts = F.array(*_leaves(schema, None, None))
     for f in schema.fields:
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             kind, name = f.dataType.elementType, f.name
             items = F.transform(F.coalesce(F.col(name), F.array().cast(f.dataType)), _item_leaves(kind, name))
             parts = F.concat(parts, F.flatten(items))
-    return df.select(*keys, F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("f")).select(*keys, "f.field_path", "f.value")
+    kept = lambda p: p.isNotNull() if wanted is None else p.isNotNull() & F.array_contains(wanted, p["field_path"])
+    return df.select(*keys, F.explode(F.filter(parts, kept)).alias("f")).select(*keys, "f.field_path", "f.value")
 
 
 def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,11 @@ from tallyfold.sources.tables import table
 
 _INVOICE = ("document_id", "document_type", "source_system", "source_file", "page_count", "currency", "payment_terms", "seller", "buyer", "issue_date", "due_date", "po_reference", "lines", "totals")
 
+_ORDER = ("document_id", "document_type", "source_system", "source_file", "page_count", "currency", "payment_terms", "vendor", "order_date", "delivery_date", "contract_reference", "requisition_number", "lines", "order_value")
+_CONTRACT = ("document_id", "document_type", "source_system", "source_file", "page_count", "payment_terms", "counterparty", "effective_date", "expiry_date", "governing_law", "rate_schedule")
+#: All documents that evidence is cited from; a document_id names one document whatever its table
+_TABLES = {"invoices": (*_INVOICE, "removed_duplicates"), "purchase_orders": _ORDER, "contracts": _CONTRACT}
+
 
 def _first(spark: SparkSession, d: str, name: str, columns: tuple[str, ...]) -> DataFrame:
     """Each document once, as first delivered."""
@@ -18,6 +26,10 @@ def _first(spark: SparkSession, d: str, name: str, columns: tuple[str, ...]) ->
     return df.where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.min_by(F.struct(*columns), F.struct("ingested_at", "row_id")).alias("x")).select("k", "x.*")
 
 
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def field_paths(spark: SparkSession, d: str) -> DataFrame:
     return E.fields(table(spark, d, "invoices").select("row_id", *_INVOICE), ["row_id"])
 
@@ -37,6 +49,28 @@ def try_cite_absent(spark: SparkSession, d: str) -> DataFrame:
     return _cited(spark, d).where("not present").select("row_id", "document_id", "field_path", "note")
 
 
+def field_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """As field_paths, of the documents of all three types, with what was removed from them."""
+    return _union(E.fields(table(spark, d, name).select("row_id", *columns), ["row_id"]).select(F.lit(name).alias("table_name"), "row_id", "field_path", "value") for name, columns in _TABLES.items())
+
+
+def _cited_all(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence cited again from the documents themselves, whatever their type; deleted ones can still be cited."""
+    asked = table(spark, d, "evidence_items").select("row_id", "pack_id", "ord", "document_id", "document_type", "field_path", "confidence", "note")
+    # distinct paths per document: of 5.7 million fields at scale 1 only those asked for are shuffled
+    paths = asked.where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.collect_set("field_path").alias("asked_paths"))
+    of = _union(E.fields(_first(spark, d, name, columns).join(paths, "k"), ["k"], wanted="asked_paths") for name, columns in _TABLES.items()).withColumnRenamed("k", "document_id")
+    return E.cite(asked, of)
+
+
+def cite_all(spark: SparkSession, d: str) -> DataFrame:
+    return _cited_all(spark, d).where("present").select("row_id", "document_type", "document_id", "field_path", "value")
+
+
+def cite_all_absent(spark: SparkSession, d: str) -> DataFrame:
+    return _cited_all(spark, d).where("not present").select("row_id", "document_type", "document_id", "field_path", "note")
+
+
 def _packs(spark: SparkSession, d: str) -> DataFrame:
     return E.packs(table(spark, d, "evidence_items").where("pack_id is not null"))
 
@@ -62,7 +96,7 @@ def item_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return df.select("row_id", E.described(df).alias("description"))
 
 
-QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, evidence_packs, integrity_hash, pack_markdown, pack_json, item_descriptions)}
+QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, field_paths_all, cite_all, cite_all_absent, evidence_packs, integrity_hash, pack_markdown, pack_json, item_descriptions)}
 
 _D = lambda x: f"regexp_replace(regexp_replace(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)) AS VARCHAR), '0+$', ''), '\\.$', '')"
 _SCALARS = ("document_id", "document_type", "source_system", "source_file", "currency", "payment_terms", "issue_date", "due_date", "po_reference")
@@ -85,6 +119,40 @@ fields AS (SELECT k AS document_id, field_path, value, true AS present FROM ({_f
 cited AS (SELECT e.row_id, e.document_id, e.field_path, f.value, coalesce(f.present, false) AND regexp_full_match(e.field_path, '[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?(\\.[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?)*') AS present
   FROM evidence_items e LEFT JOIN fields f ON f.document_id = e.document_id AND f.field_path = e.field_path WHERE e.document_type = 'invoice')
 """
+
+
+def _other_fields(src: str, key: str, scalars: tuple[str, ...], party: str, items: str, texts: tuple[str, ...], figures: tuple[str, ...]) -> str:
+    parts = [f"SELECT {key}, '{c}' AS field_path, CAST({c} AS VARCHAR) AS value FROM {src}" for c in scalars]
+    parts += [f"SELECT {key}, '{party}.{c}', {party}.{c} FROM {src} WHERE {party} IS NOT NULL" for c in ("name", "vendor_id", "tax_registration", "location")]
+    each = f"(SELECT {key}, unnest({items}) AS l, generate_subscripts({items}, 1) - 1 AS i FROM {src})"
+    parts += [f"SELECT {key}, '{items}[' || i || '].{c}', {f'CAST(l.{c} AS VARCHAR)' if c in texts else _D('l.' + c)} FROM {each} WHERE l IS NOT NULL" for c in texts + figures]
+    return " UNION ALL ".join(parts)
+
+
+def _order_fields(src: str, key: str) -> str:
+    scalars = ("document_id", "document_type", "source_system", "source_file", "page_count", "currency", "payment_terms", "order_date", "delivery_date", "contract_reference", "requisition_number")
+    lines = _other_fields(src, key, scalars, "vendor", "lines", ("line_number", "description", "unit_of_measure"), ("quantity", "unit_price", "net_amount", "tax_rate", "tax_amount", "line_total"))
+    return f"{lines} UNION ALL SELECT {key}, 'order_value', {_D('order_value')} FROM {src}"
+
+
+def _contract_fields(src: str, key: str) -> str:
+    scalars = ("document_id", "document_type", "source_system", "source_file", "page_count", "payment_terms", "effective_date", "expiry_date", "governing_law")
+    return _other_fields(src, key, scalars, "counterparty", "rate_schedule", ("description", "unit_of_measure"), ("max_unit_price",))
+
+
+def _invoice_fields(src: str, key: str) -> str:
+    removed = f"(SELECT {key}, unnest(removed_duplicates) AS l, generate_subscripts(removed_duplicates, 1) - 1 AS i FROM {src})"
+    parts = [f"SELECT {key}, 'removed_duplicates[' || i || '].{c}', CAST(l.{c} AS VARCHAR) FROM {removed} WHERE l IS NOT NULL" for c in ("line_number", "description", "page", "words", "reason")]
+    return " UNION ALL ".join([_fields(src, key), *parts])
+
+
+_OF = {"invoices": _invoice_fields, "purchase_orders": _order_fields, "contracts": _contract_fields}
+_FIRST = lambda t: f"(SELECT *, document_id AS k FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at, row_id) AS rn FROM {t} WHERE document_id IS NOT NULL) WHERE rn = 1)"
+_CITED_ALL = f"""
+fields AS ({" UNION ALL ".join(f"SELECT k AS document_id, field_path, value, true AS present FROM ({of(_FIRST(t), 'k')})" for t, of in _OF.items())}),
+cited AS (SELECT e.row_id, e.document_type, e.document_id, e.field_path, f.value, coalesce(f.present, false) AND regexp_full_match(e.field_path, '[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?(\\.[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?)*') AS present
+  FROM evidence_items e LEFT JOIN fields f ON f.document_id = e.document_id AND f.field_path = e.field_path)
+"""
 _T = lambda x: f"coalesce('\"' || replace(replace(CAST({x} AS VARCHAR), '\\', '\\\\'), '\"', '\\\"') || '\"', 'null')"
 _NUM = lambda x: f"coalesce(CAST(TRY_CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)) AS VARCHAR), 'null')"
 _CANON = f"""'{{"bounding_box":' || CASE WHEN bounding_box IS NULL THEN 'null' ELSE '[' || {_NUM('bounding_box.x0')} || ',' || {_NUM('bounding_box.y0')} || ',' || {_NUM('bounding_box.x1')} || ',' || {_NUM('bounding_box.y1')} || ']' END ||
@@ -95,6 +163,9 @@ ORACLE = {
     "field_paths": f"SELECT row_id, field_path, value FROM ({_fields('invoices', 'row_id')})",
     "cite_fields": f"WITH {_CITED} SELECT row_id, document_id, field_path, value FROM cited WHERE present",
     "try_cite_absent": f"WITH {_CITED} SELECT row_id, document_id, field_path, '{E.ABSENT}' AS note FROM cited WHERE NOT present",
+    "field_paths_all": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, field_path, value FROM ({of(t, 'row_id')})" for t, of in _OF.items()),
+    "cite_all": f"WITH {_CITED_ALL} SELECT row_id, document_type, document_id, field_path, value FROM cited WHERE present",
+    "cite_all_absent": f"WITH {_CITED_ALL} SELECT row_id, document_type, document_id, field_path, '{E.ABSENT}' AS note FROM cited WHERE NOT present",
     "evidence_packs": """
 WITH d AS (SELECT pack_id, document_id, min(ord) AS o FROM evidence_items WHERE pack_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
 dd AS (SELECT pack_id, string_agg(document_id, ',' ORDER BY o, document_id) AS documents FROM d GROUP BY pack_id)

@@ -55,3 +55,14 @@ def test_agent_functions_never_raise(spark):
     p = wb.build_evidence_pack("c", [{"document_id": "INV-1", "field_path": "po_reference"}, {"document_id": "INV-1", "field_path": "totals.grand_total", "confidence": 0.8}])
     assert p["ok"] and p["fields_not_found"] == ["po_reference"] and p["weakest_confidence"] == 0.8
     assert set(wb.tools()) == set(ALL_TOOLS)
+
+
+def test_evidence_on_every_type_is_cited_or_absent(spark, tiny):
+    from tallyfold.plans import evidence as plans
+    from tallyfold.sources.tables import table
+
+    asked = sorted(r["row_id"] for r in table(spark, tiny, "evidence_items").collect())
+    cited, absent = plans.cite_all(spark, tiny).collect(), plans.cite_all_absent(spark, tiny).collect()
+    assert sorted(r["row_id"] for r in cited + absent) == asked
+    assert {r["document_type"] for r in cited} == {"invoice", "purchase_order", "contract"}
+    assert any(r["field_path"].startswith("rate_schedule[") for r in cited)
