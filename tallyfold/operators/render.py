@@ -15,11 +15,11 @@ def described_discrepancy(d: Column) -> Column:
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    """(doc_id, summary): a headline and one indented line for each discrepancy."""
+    """(doc_id, document_type, summary): a headline and one indented line for each discrepancy."""
     head = F.concat(F.coalesce("document_id", F.lit("?")), F.lit("  ("), F.coalesce("document_type", F.lit("?")), F.lit(")  "), F.col("checks_run").cast("string"), F.lit(" checks"))
     lines = F.transform("discrepancies", lambda d: F.concat(F.lit("    "), described_discrepancy(d)))
     found = F.concat(head, F.lit("  ·  "), F.size("discrepancies").cast("string"), F.lit(" discrepancy(ies)\n"), F.array_join(lines, "\n"))
-    return report.select("doc_id", F.when(F.col("balanced"), F.concat(head, F.lit("  ·  all arithmetic agrees"))).otherwise(found).alias("summary"))
+    return report.select("doc_id", "document_type", F.when(F.col("balanced"), F.concat(head, F.lit("  ·  all arithmetic agrees"))).otherwise(found).alias("summary"))
 
 
 def report_json(report: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def population_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    return render.report_text(A.reports(_documents(spark, d, ("purchase_orders",))))
+    return render.report_text(A.reports(_documents(spark, d)))
 
 
 def report_json(spark: SparkSession, d: str) -> DataFrame:

@@ -63,10 +63,14 @@ def read_rate_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlaid_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Every word of the invoices printed twice: the repeats are dropped and counted."""
-    w = _words(spark, d, "invoices")
-    twice = w.unionByName(w.withColumn("word_no", F.col("word_no") + 1_000_000_000))
-    return layout.deduplicated(twice).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("copies").alias("dropped"))
+    """Every word of the documents printed twice: the repeats are dropped and counted."""
+    out = None
+    for name in _RENDER:
+        w = _words(spark, d, name)
+        twice = w.unionByName(w.withColumn("word_no", F.col("word_no") + 1_000_000_000))
+        one = layout.deduplicated(twice).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("copies").alias("dropped")).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def artefacts_removed(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +90,29 @@ def page_furniture(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.size("furniture") > 0).select("doc_id", "page_count", F.size("furniture").alias("removed"))
 
 
+def artefacts_removed_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of invoices and orders printed once more at its own place, and once far below: the former goes, the latter stays."""
+    out = None
+    for name, header, stop in (("invoices", ("LN", "DESCRIPTION", "QTY"), r"(?i)subtotal"), ("purchase_orders", ("ITEM", "ORDERED", "NET"), r"(?i)order value")):
+        docs = _documents(_words(spark, d, name)).select("doc_id", extract.table_rows(F.col("rows"), header, stop).alias("placed"))
+        again = F.transform("placed", lambda x: F.struct(x["record"].alias("record"), x["page"].alias("page"), (x["y0"] + 1.0).alias("y0")))
+        below = F.transform("placed", lambda x: F.struct(x["record"].alias("record"), (x["page"] + 100_000).alias("page"), x["y0"].alias("y0")))
+        read = docs.select("doc_id", F.size("placed").alias("printed"), extract.without_artefacts(F.concat("placed", again, below)).alias("t"))
+        one = read.select(F.lit(name).alias("table_name"), "doc_id", "printed", F.size("t.lines").alias("kept"), F.size("t.removed").alias("removed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def page_furniture_all(spark: SparkSession, d: str) -> DataFrame:
+    """As page_furniture, of all three tables."""
+    out = None
+    for name in _RENDER:
+        docs = _documents(_words(spark, d, name))
+        one = docs.where(F.size("furniture") > 0).select(F.lit(name).alias("table_name"), "doc_id", "page_count", F.size("furniture").alias("removed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def layout_status(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in _RENDER:
@@ -96,7 +123,7 @@ def layout_status(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (read_invoices, read_invoice_lines, read_orders, read_parties, read_contracts, read_rate_schedule, overlaid_layers, artefacts_removed, page_furniture, layout_status)}
+QUERIES = {f.__name__: f for f in (read_invoices, read_invoice_lines, read_orders, read_parties, read_contracts, read_rate_schedule, overlaid_layers, artefacts_removed, page_furniture, artefacts_removed_all, page_furniture_all, layout_status)}
 
 _V = lambda x: f"nullif(trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' ', 'g')), '')"
 _D = lambda x: f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)), 2) AS DOUBLE)"

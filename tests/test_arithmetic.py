@@ -65,3 +65,9 @@ def test_figures(spark):
     texts = ["EUR100,234.40", "€ 5", "-3.5", "1,000", ",", "12a", "", None, "usd -7", "SEK", "1.2.3", "(4)", "5\r"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(numbers.figure(F.col("t"))).collect()]
     assert got == [100234.40, 5.0, -3.5, 1000.0, None, None, None, None, -7.0, None, None, None, None]
+
+
+def test_reports_of_all_types(spark, tiny):
+    from tallyfold.plans import arithmetic as plans
+
+    assert {r[0] for r in plans.report_text(spark, tiny).select("document_type").distinct().collect()} == {"invoice", "purchase_order", "contract"}

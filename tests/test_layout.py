@@ -140,3 +140,19 @@ def test_no_decoder_is_a_row(spark, tmp_path):
     asked = spark.createDataFrame([(got[0]["path"], 0, 0.0, 0.0, 10.0, 10.0)], "path string, page int, cx0 double, cy0 double, cx1 double, cy1 double")
     cut = W.pdf_crops(spark, str(tmp_path), asked).collect()
     assert len(cut) == 1 and cut[0]["png"] is None and cut[0]["status"] == got[0]["status"]
+
+
+def test_reading_queries_take_all_tables(spark, tiny):
+    from tallyfold.plans import reading
+    from tallyfold.sources.tables import table
+
+    rows = reading.overlaid_layers(spark, tiny).collect()
+    for name in ("invoices", "purchase_orders", "contracts"):
+        assert sum(r["table_name"] == name for r in rows) == table(spark, tiny, name).count()
+    assert all(r["dropped"] == r["words"] for r in rows)
+    kept = reading.artefacts_removed_all(spark, tiny).collect()
+    assert {r["table_name"] for r in kept if r["printed"]} == {"invoices", "purchase_orders"}
+    assert all(r["kept"] + r["removed"] == 3 * r["printed"] and r["removed"] >= r["printed"] for r in kept)
+    status = {(r["table_name"], r["doc_id"]) for r in reading.layout_status(spark, tiny).where("page_count > 1").collect()}
+    furniture = reading.page_furniture_all(spark, tiny).collect()
+    assert {(r["table_name"], r["doc_id"]) for r in furniture} == status and all(r["removed"] == 2 * r["page_count"] for r in furniture)
