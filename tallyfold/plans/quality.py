@@ -40,16 +40,16 @@ def p2_runs(spark: SparkSession, d: str) -> DataFrame:
     return orphans.key_runs(_references(spark, d)[1]).select("kind", "run_start", "run_end", "keys")
 
 
-def _nodes(spark: SparkSession, d: str, bodies: bool = True) -> DataFrame:
-    return nested.shred(spread(table(spark, d, "raw_records").select("record_id", "raw")), bodies=bodies)
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(spread(table(spark, d, "raw_records").select("record_id", "raw")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge(_nodes(spark, d, bodies=False)).select("record_id", "child", "parent_ord", "ord")
+    return nested.children(_nodes(spark, d)).select("record_id", "child", "parent_ord", "ord")
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return nested.records(_nodes(spark, d, bodies=False))
+    return nested.records(_nodes(spark, d))
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p3_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge(_nodes(spark, d, bodies=False))
+    return nested.bridge(_nodes(spark, d))
 
 
 def _flat(child: str) -> Callable[[SparkSession, str], DataFrame]:
