@@ -35,6 +35,8 @@ _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 LONG_WORD = 256
+#: Most bytes of a vocabulary file that is broadcast.
+VOCABULARY_BYTES = 32 << 20
 _NONE = 1 << 30
 _CACHE_WORDS = 200_000
 
@@ -131,8 +133,11 @@ def encoder_of(vocabulary) -> Encoder:  # noqa: ANN001 - a Broadcast of the file
 
 
 def vocabulary(spark: SparkSession, name: str = BYTE_BPE_50K, folder: str = VOCABULARIES):  # noqa: ANN201
-    """The vocabulary file, broadcast; its size is that of the file (under 1 MB), whatever the corpus."""
-    return spark.sparkContext.broadcast(Path(folder, name).read_bytes())
+    """The vocabulary file, broadcast; its size does not depend on the corpus, and a file above ``VOCABULARY_BYTES`` is refused."""
+    file = Path(folder, name)
+    if file.stat().st_size > VOCABULARY_BYTES:
+        raise ValueError(f"{file} has more than {VOCABULARY_BYTES} bytes")
+    return spark.sparkContext.broadcast(file.read_bytes())
 
 
 def encode(df: DataFrame, vocab, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: ANN001

@@ -2,11 +2,12 @@
 
 A text longer than the capacity is cut into pieces of exactly the capacity and a rest; no
 other text is split. Items are dealt at random (by hash) to groups of bounded size, each
-packed on its own by best fit in order of falling size: the search starts at the tightest
-container that has room and goes on to the next until one is compatible, which is one that
-holds no text of the same source and no copy of the same text (each container carries a
-bitmap of its sources, each repeated text one of its containers). Where no compatible
-container has room, and as many containers are open as the items need at least, the
+packed on its own by best fit in order of falling size: open containers are kept in the order
+of their residuals, and the search starts at the tightest one that has room and goes on from
+successor to successor until one is compatible, which is one that holds no text of the same
+source and none of the same cluster of copies (each container carries a bitmap of its sources
+and one of its clusters). Copies are texts that are equal but for case, white space and
+punctuation. Where no compatible container has room, and as many containers are open as the items need at least, the
 constraint on the source and then that on copies gives way, so that a source or a text
 that makes up a third of a corpus does not leave the containers half empty.
 
@@ -17,12 +18,13 @@ rows with the same doc_id are items of their own; an empty table gives no contai
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.bpe import encoder_of
@@ -37,51 +39,110 @@ PLACED = (
 )
 
 
+class Bins:
+    """Open containers in the order of their residuals, each with a bitmap of its sources and one of its clusters.
+
+    The order is kept in blocks; what the bitmaps of a whole block have in common is kept as
+    well, so that a search for a compatible container passes over a block in which none is.
+    """
+
+    BLOCK = 64
+
+    def __init__(self) -> None:
+        self.blocks: list[list[tuple[int, int]]] = []  # (residual, container), ascending
+        self.last: list[tuple[int, int]] = []  # greatest entry of each block
+        self.common: list[tuple[int, int] | None] = []  # bits that all containers of a block have; None when not up to date
+        self.sources: list[int] = []
+        self.clusters: list[int] = []
+
+    def find(self, size: int, source: int, cluster: int) -> tuple[int, int] | None:
+        """Block and place in it of the tightest container with room for ``size`` that has none of the given bits."""
+        b = bisect_left(self.last, (size, -1))
+        at = bisect_left(self.blocks[b], (size, -1)) if b < len(self.blocks) else 0
+        while b < len(self.blocks):
+            block = self.blocks[b]
+            if self.common[b] is None:
+                both_s = both_c = -1
+                for _, k in block:
+                    both_s &= self.sources[k]
+                    both_c &= self.clusters[k]
+                self.common[b] = both_s, both_c
+            if not (self.common[b][0] & source or self.common[b][1] & cluster):
+                for i in range(at, len(block)):
+                    k = block[i][1]
+                    if not (self.sources[k] & source or self.clusters[k] & cluster):
+                        return b, i
+            b, at = b + 1, 0
+        return None
+
+    def take(self, place: tuple[int, int]) -> tuple[int, int]:
+        """Take a container out of the order: (residual, container)."""
+        b, i = place
+        entry = self.blocks[b].pop(i)
+        if self.blocks[b]:
+            self.last[b], self.common[b] = self.blocks[b][-1], None
+        else:
+            del self.blocks[b], self.last[b], self.common[b]
+        return entry
+
+    def put(self, room: int, k: int) -> None:
+        """Set a container where its residual belongs."""
+        entry = (room, k)
+        if not self.blocks:
+            self.blocks, self.last, self.common = [[entry]], [entry], [None]
+            return
+        b = min(bisect_left(self.last, entry), len(self.blocks) - 1)
+        block = self.blocks[b]
+        insort(block, entry)
+        if len(block) > 2 * self.BLOCK:
+            self.blocks[b : b + 1] = [block[: self.BLOCK], block[self.BLOCK :]]
+            self.last[b : b + 1] = [block[self.BLOCK - 1], block[-1]]
+            self.common[b : b + 1] = [None, None]
+        else:
+            self.last[b], self.common[b] = block[-1], None
+
+
+def _bits(groups: np.ndarray) -> list[int]:
+    """One bit for each number that stands more than once; what stands once can meet nothing equal."""
+    counts = np.bincount(groups, minlength=1)
+    bit = {int(g): 1 << n for n, g in enumerate(np.flatnonzero(counts > 1))}
+    return [bit.get(g, 0) for g in groups.tolist()]
+
+
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(container, same_source, same_text) of each item, in the given order.
 
     sources, clusters: small integers; equal numbers must not meet in a container as long
     as that costs no container.
     """
-    n = len(sizes)
-    where = np.zeros(n, np.int64)
-    bent = np.zeros((2, n), bool)
-    room = np.full(max(n, 1), capacity, np.int64)  # residuals; containers [0, used) are open
-    has_source = np.zeros((int(sources.max(initial=-1)) + 1, max(n, 1)), bool)
-    copies = np.bincount(clusters, minlength=1)
-    has_cluster: dict[int, np.ndarray] = {}
-    used = 0
+    where, bent = np.zeros(len(sizes), np.int64), np.zeros((2, len(sizes)), bool)
     least = int(-(-int(sizes.sum()) // capacity))
-    for k in range(n):
-        size, s, c = int(sizes[k]), sources[k], clusters[k]
-        fits = np.flatnonzero(room[:used] >= size)
-        best = -1
-        if len(fits):
-            free = ~has_source[s, fits]
-            twin = has_cluster.get(c)
-            apart = ~twin[fits] if twin is not None else np.ones(len(fits), bool)
-            for allowed in (free & apart, apart, None):
-                if allowed is not None:
-                    left = fits[allowed]
-                else:
-                    left = fits
-                if len(left) and (allowed is not None and allowed is not apart or used >= least):
-                    best = int(left[np.argmin(room[left])])
-                    break
-        if best < 0:
-            best, used = used, used + 1
-        bent[0, k] = has_source[s, best]
-        has_source[s, best] = True
-        if copies[c] > 1:
-            if c not in has_cluster:
-                has_cluster[c] = np.zeros(max(n, 1), bool)
-            bent[1, k] = has_cluster[c][best]
-            has_cluster[c][best] = True
-        room[best] -= size
-        where[k] = best
+    bins = Bins()
+    for n, (size, s, c) in enumerate(zip(sizes.tolist(), _bits(sources), _bits(clusters))):
+        place = bins.find(size, s, c)
+        if place is None and len(bins.sources) >= least:
+            place = bins.find(size, 0, c) or bins.find(size, 0, 0)
+        if place is None:
+            room, k = capacity, len(bins.sources)
+            bins.sources.append(0)
+            bins.clusters.append(0)
+        else:
+            room, k = bins.take(place)
+        bent[0, n], bent[1, n] = bins.sources[k] & s, bins.clusters[k] & c
+        bins.sources[k] |= s
+        bins.clusters[k] |= c
+        bins.put(room - size, k)
+        where[n] = k
     return where, bent[0], bent[1]
 
 
+def copies(text: Column) -> Column:
+    """Cluster of copies of a text: equal letters and figures in the same order; a text without any stands for itself."""
+    text = F.coalesce(text, F.lit(""))
+    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.xxhash64(F.when(kept == "", text).otherwise(kept))
+
+
 def pieces(df: DataFrame, vocab, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:  # noqa: ANN001
     """(doc_id, piece, token_start, n_tokens, source, text_hash): what is to be placed."""
 
@@ -97,7 +158,7 @@ def pieces(df: DataFrame, vocab, capacity: int = CAPACITY, doc_id: str = "doc_id
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "token_start", "n_tokens", "source", "text_hash"])
 
-    picked = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    picked = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), copies(F.col(text)).alias("text_hash"))
     return picked.mapInArrow(run, "doc_id bigint, piece int, token_start int, n_tokens int, source string, text_hash bigint")
 
 
