@@ -45,20 +45,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *(F.col(k) for k in keys))
 
 
+#: Bytes of input files that one partition of ``by_key`` stands for.
+BYTES_A_PARTITION = 512 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything a plan reads, by the optimizer's statistics of its leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Partition once by a key that the next steps group by.
 
-    The number of partitions is the session's, and is kept: rows that are few and small but
-    costly to work on would otherwise be merged into a handful of tasks.
+    The number of partitions follows from the size of what is read, and is one for each core
+    at least: rows that are few and small but costly to work on would otherwise be merged
+    into a handful of tasks.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(F.col(k) for k in keys))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-input_bytes(df) // BYTES_A_PARTITION)), *(F.col(k) for k in keys))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is set and everything runs in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tallyfold-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
