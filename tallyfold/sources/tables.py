@@ -50,9 +50,10 @@ BYTES_A_PARTITION = 512 << 20
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of everything a plan reads, by the optimizer's statistics of its leaves."""
+    """Size of the largest thing a plan reads, by the optimizer's statistics of its leaves; 0 if they don't know."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max((s for s in sizes if s < 1 << 60), default=0)
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
