@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.similarity import bigrams, dice, name_bigrams, name_similarity, overlap
+from tallyfold.sources.tables import by_key
 
 # Units of measure in several languages, and units of measures with their factor to a base.
 UNITS = {
@@ -109,10 +110,32 @@ def schedule_entries(contracts: DataFrame, key: str = "document_id") -> DataFram
     )
 
 
-def wordings(entries: DataFrame) -> DataFrame:
-    """(family, names): how schedules word the articles whose codes begin with the same letters."""
+def wordings(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(words, family, worded): likeness of a line's words to the likest wording of the articles whose codes begin with the same letters.
+
+    Distinct words of lines and of entries only, of one family; the most is taken before the shuffle.
+    """
     family = F.regexp_extract("code", r"^\D+", 0).alias("family")
-    return entries.where("code is not null and words <> ''").groupBy(family).agg(F.array_sort(F.collect_set("words")).alias("names"))
+    names = entries.where("code is not null and words <> ''").select(family, F.col("words").alias("name")).distinct()
+    asked = candidate_words(lines, entries)
+
+    @F.pandas_udf("double")
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_wording(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return asked.join(names, "family").groupBy("words", "family").agg(F.max(like("words", "name")).alias("worded"))
+
+
+def _family(code: str) -> Column:
+    return F.nullif(F.regexp_extract(F.coalesce(code, F.lit("")), r"^\D+", 0), F.lit(""))
+
+
+def candidate_words(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """Distinct (words, family) of lines and the entries that share a block with them."""
+    blocks = lambda df: F.explode(F.array_compact(F.array("code", F.nullif("measure", F.lit(""))))).alias("block")
+    asked = lines.where("words <> ''").select("words", blocks(lines)).distinct()
+    offered = entries.where("code is not null").select(_family("code").alias("family"), blocks(entries)).distinct()
+    return asked.join(offered, "block").select("words", "family").distinct()
 
 
 def likest_party(lines: DataFrame, entries: DataFrame) -> DataFrame:
@@ -139,22 +162,20 @@ def candidates(lines: DataFrame, entries: DataFrame) -> DataFrame:
     two per entry; entries are the smaller side and Spark broadcasts them only while they
     are under its own threshold.
     """
-    entries = entries.withColumn("family", F.regexp_extract(F.coalesce("code", F.lit("")), r"^\D+", 0)).join(wordings(entries), "family", "left").drop("family")
     left = lines.withColumn("block", F.coalesce("code", "measure")).where("block <> ''")
     code = entries.where("code is not null").withColumn("block", F.col("code"))
     measure = entries.where("measure <> ''").withColumn("block", F.col("measure"))
     # a line with a code meets entries without one through its measure
     bare = lines.where("code is not null and measure <> ''").withColumn("block", F.col("measure"))
-    e = lambda df: df.select("block", *(F.col(c).alias(f"e_{c}") for c in ("code", "measure", "words", "unit", "names")), "contract_id", "rate_pos", "party", "party_pairs", "ceiling")
+    e = lambda df: df.select("block", *(F.col(c).alias(f"e_{c}") for c in ("code", "measure", "words", "unit")), "contract_id", "rate_pos", "party", "party_pairs", "ceiling")
     may_agree = F.coalesce(overlap(F.col("vendor_pairs"), F.col("party_pairs")) >= NAME_MAY_AGREE, F.lit(True))
     pairs = left.join(e(code.unionByName(measure)), "block").unionByName(bare.join(e(measure.where("code is null")), "block"))
     return pairs.where(may_agree & (F.col("code").isNull() | F.col("e_code").isNull() | (F.col("code") == F.col("e_code")))).drop("vendor_pairs", "party_pairs", "block")
 
 
 @lru_cache(maxsize=200_000)
-def _wording(words: str, own: str, names: tuple[str, ...]) -> float:
-    parts = [own, *names]
-    return max(max(dice(words, p), 0.95 * _contained(words, p)) for p in parts) if words else 0.0
+def _wording(words: str, name: str) -> float:
+    return max(dice(words, name), 0.95 * _contained(words, name)) if words else 0.0
 
 
 @lru_cache(maxsize=500_000)
@@ -166,7 +187,7 @@ def _contained(words: str, name: str) -> float:
 
 def alike(line: dict, entry: dict) -> float:
     """Truth of "line and entry describe the same article at that price", from the evidence of each attribute."""
-    words = _wording(line["words"] or "", entry["e_words"] or "", tuple(entry["e_names"] if entry["e_names"] is not None else ()))
+    words = max(_wording(line["words"] or "", entry["e_words"] or ""), entry["worded"] or 0.0)
     same_measure = None if not line["measure"] or not entry["e_measure"] else line["measure"] == entry["e_measure"]
     if line["code"] is not None and entry["e_code"] is not None:
         s = 0.85 + 0.15 * words  # candidates with two different codes are not formed
@@ -191,41 +212,72 @@ def priced(line: dict, entry: dict) -> bool | None:
     return 0.975 <= price / ceiling <= 1.025
 
 
-def solve(n_atoms: int, linear: tuple, groups: tuple, rounds: int = 150, rho: float = 1.0) -> np.ndarray:
-    """Truth values that minimise the weighted hinge losses under the exclusivity constraints.
+#: Residual at which an order counts as solved, how often it is looked at, and the rounds after which an order is given up as not converged.
+TOLERANCE, LOOK_EVERY, MOST_ROUNDS = 1e-5, 10, 20_000
+
+
+def solve(n_atoms: int, linear: tuple, groups: tuple, block: np.ndarray | None = None, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, rho: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(truth values, converged) that minimise the weighted hinge losses under the exclusivity constraints.
 
     linear: (i, a, j, b, c, w) arrays, losses w * max(0, a x_i + b x_j + c)^2, j = -1 for
     losses of one atom; groups: (atom, group, n_groups), sum of the atoms of a group at most 1.
+    block: number of the problem that an atom belongs to, ascending; atoms, losses and groups
+    of a problem stand together. Each problem stops on its own primal and dual residual, so
+    that its values don't depend on the others it is solved with.
     """
     i, a, j, b, c, w = linear
-    b, jj = np.where(j < 0, 0.0, b), np.where(j < 0, i, j)
-    atom, group, n_groups = groups
-    degree = np.bincount(i, minlength=n_atoms) + np.bincount(jj, weights=(j >= 0), minlength=n_atoms) + np.bincount(atom, minlength=n_atoms)
-    degree = np.maximum(degree, 1)
-    size = np.maximum(np.bincount(group, minlength=n_groups), 1)
-    norm = a * a + b * b
+    atom, group, _ = groups
+    block = np.zeros(n_atoms, np.int64) if block is None else block
+    n_blocks = int(block[-1]) + 1 if n_atoms else 0
+    out, converged = np.full(n_atoms, 0.5), np.zeros(n_blocks, bool)
+    live = np.arange(n_atoms)  # atoms of the problems that are still open
     z = np.full(n_atoms, 0.5)
     ui, uj, ug = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(atom))
-    for k in range(rounds):
-        # every rule solves its part for its own copies
-        xi, xj = z[i] - ui, z[jj] - uj
-        loss = a * xi + b * xj + c
-        step = np.where(loss > 0, (2 * w / rho) * loss / (1 + (2 * w / rho) * norm), 0.0)
-        xi, xj = xi - step * a, xj - step * b
-        xg = z[atom] - ug
-        over = np.maximum(np.bincount(group, weights=xg, minlength=n_groups) - 1.0, 0.0) / size
-        xg = xg - over[group]
-        # the copies are averaged
-        total = np.bincount(i, weights=xi + ui, minlength=n_atoms) + np.bincount(jj, weights=np.where(j >= 0, xj + uj, 0.0), minlength=n_atoms) + np.bincount(atom, weights=xg + ug, minlength=n_atoms)
-        new = np.clip(total / degree, 0.0, 1.0)
-        ui += xi - new[i]
-        uj += xj - new[jj]
-        ug += xg - new[atom]
-        moved = np.abs(new - z).max(initial=0.0)
-        z = new
-        if k > 20 and moved < 1e-4:
-            break
-    return z
+    k = 0
+    while len(live) and k < rounds:
+        n = len(live)
+        one = j < 0
+        b_, jj = np.where(one, 0.0, b), np.where(one, i, j)
+        degree = np.maximum(np.bincount(i, minlength=n) + np.bincount(jj, weights=~one, minlength=n) + np.bincount(atom, minlength=n), 1)
+        _, group_ = np.unique(group, return_inverse=True)
+        size = np.bincount(group_)
+        norm = a * a + b_ * b_
+        of = np.cumsum(np.diff(block[live], prepend=-1) != 0) - 1  # problem of each live atom, counted from 0
+        names = block[live][np.flatnonzero(np.diff(block[live], prepend=-1))]
+        starts = [np.searchsorted(x, np.arange(len(names))) for x in (of, of[i], of[atom])]
+        most = lambda x, at: np.maximum.reduceat(np.abs(x), np.minimum(at, len(x) - 1)) if len(x) else 0.0
+        done = np.zeros(len(names), bool)
+        while not done.any() and k < rounds:
+            # every rule solves its part for its own copies
+            xi, xj = z[i] - ui, z[jj] - uj
+            loss = a * xi + b_ * xj + c
+            step = np.where(loss > 0, (2 * w / rho) * loss / (1 + (2 * w / rho) * norm), 0.0)
+            xi, xj = xi - step * a, xj - step * b_
+            xg = z[atom] - ug
+            over = np.maximum(np.bincount(group_, weights=xg) - 1.0, 0.0) / size
+            xg = xg - over[group_]
+            # the copies are averaged
+            total = np.bincount(i, weights=xi + ui, minlength=n) + np.bincount(jj, weights=np.where(one, 0.0, xj + uj), minlength=n) + np.bincount(atom, weights=xg + ug, minlength=n)
+            new = np.clip(total / degree, 0.0, 1.0)
+            pi, pj, pg = xi - new[i], np.where(one, 0.0, xj - new[jj]), xg - new[atom]
+            ui += pi
+            uj += pj
+            ug += pg
+            k += 1
+            if k % LOOK_EVERY == 0:
+                residual = np.maximum.reduce([most(new - z, starts[0]), most(pi, starts[1]), most(pj, starts[1]), most(pg, starts[2])])
+                done = residual < tolerance
+            z = new
+        out[live] = z
+        converged[names[done]] = True
+        # what is solved is taken out, so that nothing moves it any more
+        stay = ~done[of]
+        renumbered = np.cumsum(stay) - 1
+        rule, member = stay[i], stay[atom]
+        i, j, a, b, c, w, ui, uj = renumbered[i[rule]], np.where(j[rule] < 0, -1, renumbered[j[rule]]), a[rule], b[rule], c[rule], w[rule], ui[rule], uj[rule]
+        atom, group, ug = renumbered[atom[member]], group[member], ug[member]
+        live, z = live[stay], z[stay]
+    return out, converged
 
 
 def same_party(vendor: str, party: str | None, best: float | None) -> float:
@@ -234,7 +286,7 @@ def same_party(vendor: str, party: str | None, best: float | None) -> float:
     return min(1.0, max(0.0, (like - 0.55) / 0.3 - 4 * max(0.0, (best or 0.0) - like)))
 
 
-MATCHES = "po_id string, line_pos int, contract_id string, rate_pos int, confidence double"
+MATCHES = "po_id string, line_pos int, contract_id string, rate_pos int, confidence double, converged boolean"
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,13 +294,14 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         i, a, j, b, c, w = ([] for _ in range(6))
         atoms, group = [], []
         n, g = 0, 0
+        block: list[int] = []
         pairs: list[tuple] = []
 
         def rule(i_: int, a_: float, j_: int, b_: float, c_: float, w_: float) -> None:
             for column, x in zip((i, a, j, b, c, w), (i_, a_, j_, b_, c_, w_)):
                 column.append(x)
 
-        for po_id, cands in zip(pdf["po_id"], pdf["cands"]):
+        for o, (po_id, cands) in enumerate(zip(pdf["po_id"], pdf["cands"])):
             parties: dict[str, int] = {}
             # of an order without a vendor: how many of its lines each party offers at the price charged
             at_price: dict[str, set[int]] = {}
@@ -263,39 +316,42 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if party not in parties:
                     named = same_party(x["vendor"], x["party"], x["best_name"]) if x["vendor"] is not None else len(at_price.get(x["party"], ())) / asked
                     parties[party] = n
-                    atoms.append(n), group.append(party_group)
+                    atoms.append(n), group.append(party_group), block.append(o)
                     rule(n, -1.0, -1, 0.0, named, W_NAMED)
                     rule(n, 1.0, -1, 0.0, -named, W_NAMED)
                     n += 1
                 if x["line_pos"] not in lines:
                     lines[x["line_pos"]], g = g, g + 1
                 s, p = alike(x, x), parties[party]
-                atoms.append(n), group.append(lines[x["line_pos"]])
+                atoms.append(n), group.append(lines[x["line_pos"]]), block.append(o)
                 rule(n, -1.0, -1, 0.0, s, W_ALIKE)
                 rule(n, 1.0, -1, 0.0, -s, W_UNLIKE)
                 rule(n, 1.0, p, -1.0, 0.0, W_TRANSITIVE)
                 rule(p, 1.0, n, -1.0, s - 1.0, W_PARTY)
                 gap = abs(x["price"] / x["ceiling"] - 1.0) if x["price"] and x["ceiling"] else 1.0
-                pairs.append((po_id, x["line_pos"], x["contract_id"], x["rate_pos"], n, gap, s))
+                pairs.append((po_id, x["line_pos"], x["contract_id"], x["rate_pos"], n, gap, s, o))
                 n += 1
         linear = tuple(np.array(x, d) for x, d in zip((i, a, j, b, c, w), (int, float, int, float, float, float)))
-        z = solve(n, linear, (np.array(atoms, int), np.array(group, int), g))
+        z, converged = solve(n, linear, (np.array(atoms, int), np.array(group, int), g), np.array(block, int))
         best: dict[tuple, tuple] = {}
-        for po_id, line, contract, rate, k, gap, s in pairs:
+        for po_id, line, contract, rate, k, gap, s, o in pairs:
             rank = (-round(float(z[k]), 3), -s, gap, contract, rate)
             if (po_id, line) not in best or rank < best[po_id, line][0]:
-                best[po_id, line] = (rank, contract, rate, float(z[k]))
-        rows = [(po, line, contract, rate, conf) for (po, line), (_, contract, rate, conf) in best.items() if conf >= ACCEPT]
-        yield pd.DataFrame(rows, columns=["po_id", "line_pos", "contract_id", "rate_pos", "confidence"]).astype({"line_pos": "int32", "rate_pos": "int32", "confidence": "float64"})
+                best[po_id, line] = (rank, contract, rate, float(z[k]), bool(converged[o]))
+        rows = [(po, line, contract, rate, conf, settled) for (po, line), (_, contract, rate, conf, settled) in best.items() if conf >= ACCEPT]
+        yield pd.DataFrame(rows, columns=["po_id", "line_pos", "contract_id", "rate_pos", "confidence", "converged"]).astype({"line_pos": "int32", "rate_pos": "int32", "confidence": "float64", "converged": "bool"})
 
 
 def link(orders: DataFrame, contracts: DataFrame, has_contract: Column) -> DataFrame:
-    """(po_id, line_pos, contract_id, rate_pos, confidence) of the lines of orders without a contract.
+    """(po_id, line_pos, contract_id, rate_pos, confidence, converged) of the lines of orders without a contract.
 
     The candidates of one order are gathered into one row: as many as its lines have
-    candidates, whatever the number of orders.
+    candidates, whatever the number of orders. converged is false for an order whose problem
+    was given up after ``MOST_ROUNDS`` rounds.
     """
     lines, entries = order_lines(orders, has_contract), schedule_entries(contracts)
-    pairs = candidates(lines, entries).join(likest_party(lines, entries), "vendor", "left")
-    fields = ["line_pos", "vendor", "best_name", "code", "measure", "words", "unit", "price", "e_code", "e_measure", "e_words", "e_unit", "e_names", "contract_id", "rate_pos", "party", "ceiling"]
-    return pairs.groupBy("po_id").agg(F.collect_list(F.struct(*fields)).alias("cands")).mapInPandas(_infer, MATCHES)
+    pairs = candidates(lines, entries).withColumn("family", _family("e_code"))
+    pairs = pairs.join(likest_party(lines, entries), "vendor", "left").join(wordings(lines, entries), ["words", "family"], "left")
+    fields = ["line_pos", "contract_id", "rate_pos", "vendor", "best_name", "code", "measure", "words", "unit", "price", "e_code", "e_measure", "e_words", "e_unit", "worded", "party", "ceiling"]
+    by_order = by_key(pairs.select("po_id", *fields), "po_id").groupBy("po_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cands"))
+    return by_order.mapInPandas(_infer, MATCHES)

@@ -32,7 +32,7 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d).drop("confidence")
+    return _linked(spark, d).drop("confidence", "converged")
 
 
 def p4_matches(spark: SparkSession, d: str) -> DataFrame:

@@ -80,7 +80,8 @@ def test_solver_equals_grid_search():
     c = np.array([0.9, -0.9, 0.7, -0.7, 0.4, -0.4, 0, 0])
     w = np.array([1.0, 1, 1, 1, 3, 3, 2, 0.5])
     group = (np.array([0, 1]), np.array([0, 0]), 1)
-    z = linkage.solve(3, (i, a, j, b, c, w), group, rounds=3000)
+    z, converged = linkage.solve(3, (i, a, j, b, c, w), group)
+    assert converged.tolist() == [True]
 
     def loss(x):
         return sum(wk * max(0.0, ak * x[ik] + (bk * x[jk] if jk >= 0 else 0) + ck) ** 2 for ik, ak, jk, bk, ck, wk in zip(i, a, j, b, c, w))
@@ -128,3 +129,47 @@ def test_linkage(spark):
     assert {k: v[:2] for k, v in got.items()} == {("PO-1", 1): ("C1", 1), ("PO-2", 1): ("C2", 1), ("PO-2", 2): ("C2", 2)}
     assert all(0.4 <= v[2] <= 1.0 for v in got.values())
     assert linked(spark, [], CON) == {} and linked(spark, orders, []) == {}
+
+
+def problem(r, lines, parties):
+    """A random order: atoms of parties and matches, rules as in the operator."""
+    i, a, j, b, c, w, atom, group = ([] for _ in range(8))
+    n = parties + lines * parties
+    for p in range(parties):
+        v = r.random()
+        i += [p, p]; a += [-1.0, 1.0]; j += [-1, -1]; b += [0.0, 0.0]; c += [v, -v]; w += [5.0, 5.0]
+        atom.append(p); group.append(0)
+    for x in range(lines):
+        for p in range(parties):
+            k, v = parties + x * parties + p, r.random()
+            i += [k, k, k, p]; a += [-1.0, 1, 1, 1]; j += [-1, -1, p, k]; b += [0.0, 0, -1, -1]; c += [v, -v, 0.0, v - 1]; w += [1.0, 1, 10, 0.5]
+            atom.append(k); group.append(1 + x)
+    return n, tuple(np.array(x) for x in (i, a, j, b, c, w)), np.array(atom), np.array(group)
+
+
+def test_each_order_stops_on_its_own():
+    r = np.random.default_rng(5)
+    alone, parts, at, groups = [], [], 0, 0
+    problems = [problem(r, int(r.integers(1, 5)), int(r.integers(1, 5))) for _ in range(25)]
+    for n, linear, atom, group in problems:
+        z, converged = linkage.solve(n, linear, (atom, group, int(group.max()) + 1))
+        assert converged.all()
+        alone.append(z)
+        i, a, j, b, c, w = linear
+        parts.append((i + at, a, np.where(j < 0, -1, j + at), b, c, w, atom + at, group + groups, np.full(n, len(parts))))
+        at, groups = at + n, groups + int(group.max()) + 1
+    i, a, j, b, c, w, atom, group, block = (np.concatenate(x) for x in zip(*parts))
+    z, converged = linkage.solve(at, (i, a, j, b, c, w), (atom, group, groups), block)
+    assert converged.all() and np.array_equal(z, np.concatenate(alone))
+    assert not linkage.solve(at, (i, a, j, b, c, w), (atom, group, groups), block, rounds=20)[1].all()
+    assert linkage.solve(0, tuple(np.zeros(0, t) for t in (int, float, int, float, float, float)), (np.zeros(0, int), np.zeros(0, int), 0), np.zeros(0, int))[0].size == 0
+
+
+def test_confidence_does_not_depend_on_batches(spark):
+    orders = [order(n, v, [("Thraeded rod kc 817", "ltr", 99.5 + n), ("Branching box 50 cm", "pc", 20.0 + n)]) for n, v in enumerate(("Tooling Kolvane", None, "Zelkin Works", "Kolvane Toling", None, "Zelkn Works Oy") * 3)]
+    got = []
+    for size in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append(linked(spark, orders, CON))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and got[0]
