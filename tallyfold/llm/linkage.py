@@ -213,10 +213,12 @@ def priced(line: dict, entry: dict) -> bool | None:
 
 
 #: Residual at which an order counts as solved, how often it is looked at, and the rounds after which an order is given up as not converged.
-TOLERANCE, LOOK_EVERY, MOST_ROUNDS = 1e-5, 10, 20_000
+TOLERANCE, LOOK_EVERY, MOST_ROUNDS = 1e-6, 10, 20_000
+#: Penalty on copies that differ; of the order of the weights, so that stiff rules settle as fast as soft ones.
+PENALTY = 15.0
 
 
-def solve(n_atoms: int, linear: tuple, groups: tuple, block: np.ndarray | None = None, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, rho: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def solve(n_atoms: int, linear: tuple, groups: tuple, block: np.ndarray | None = None, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, rho: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(truth values, converged) that minimise the weighted hinge losses under the exclusivity constraints.
 
     linear: (i, a, j, b, c, w) arrays, losses w * max(0, a x_i + b x_j + c)^2, j = -1 for
