@@ -1,230 +1,60 @@
-"""Structured records read from the rows of a document.
+"""Structured records read from printed documents, with the place of every field.
 
-``rows`` is the array of a document's rows (see layout). Everything here is a column
-expression on that array: a document is read in one projection, where it lies.
+One pass over each document: overlaid words are dropped, rows formed, furniture set apart, the
+layout recognised, and the record read by the reader of that layout (``operators.document``).
 
-Defined cases: what is not printed is null, never zero or empty; a table without its header
-has no lines; a row whose first word is no number is no line; a line without quantity or
-price is none; figures are given to columns closest pair first, ties by order of printing;
-a repeated line is kept unless it stands at the same place or on a page break, and what is
-removed is recorded with its reason.
+Defined cases: see ``operators.document``; a document that cannot be read is a row with its
+status and nulls. A missing currency of an invoice or order is EUR and flagged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
 
-from tallyfold.functions.numbers import cents, figure, is_figure, money
-from tallyfold.functions.text import after_dot, after_first_word, is_heading, settled_terms
-from tallyfold.operators.layout import ROW_TOLERANCE, row_text
-from tallyfold.operators.lookup import COLUMN_DRIFT, PARTY_COLUMN, below_labels, let, row_index
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Headings of figure columns, where each figure may stand, distances in points, and the words of the layouts.
-FIGURE_HEADINGS = ("QTY", "ORDERED", "UNIT", "PRICE", "NET", "VAT", "LINE", "TOTAL", "UOM")
-COLUMNS = (("quantity", ("QTY", "ORDERED")), ("unit_price", ("PRICE",)), ("net_amount", ("NET",)), ("tax_rate", ("VAT",)), ("line_total", ("TOTAL",)))
-COLUMN_REACH = 40.0
-PARTY_ROWS = 8
-SAME_PLACE, SEAM = "same row printed twice at the same position", "row on a page break, rendered onto both pages"
+from tallyfold.operators import document
+from tallyfold.operators.document import Words
+from tallyfold.operators.layout import Documents
 
 LINE = "struct<line_number:int,description:string,unit_of_measure:string,quantity:double,unit_price:double,net_amount:double,tax_rate:double,line_total:double,tax_amount:double>"
-_PLACED = f"struct<record:{LINE},page:int,y0:double>"
-_REMOVED = "struct<line_number:int,description:string,page:int,reason:string>"
-
-
-def _heading(w: Column) -> Column:
-    return F.rtrim(F.upper(w["text"]), F.lit("%"))
-
-
-def _zone(head: Column, names: tuple[str, ...]) -> Column:
-    """Where the figure columns begin; numbers further left belong to the description."""
-    return F.coalesce(F.array_min(F.transform(F.filter(head, lambda w: _heading(w).isin(*names)), lambda w: w["x0"])), F.lit(0.0))
-
-
-def _table(rows: Column, header: tuple[str, ...], stop: str) -> Column:
-    """struct(head, body): words of the header row and the rows after it up to the stop row."""
-    def cut(i: Column) -> Column:
-        rest = F.slice(rows, i + 1, F.size(rows))
-        end = F.array_position(F.transform(rest, lambda r: r["text"].rlike(stop)), F.lit(True))
-        return F.struct(F.get(rows, i - 1)["words"].alias("head"), F.slice(rest, F.lit(1), F.when(end > 0, end.cast("int") - 1).otherwise(F.size(rest))).alias("body"))
+PARTY = "struct<name:string,vendor_id:string,tax_registration:string,location:string>"
+POSITION = "struct<field_path:string,page:int,x0:double,y0:double,x1:double,y1:double>"
+#: Fields of a read record in order, with their types.
+RECORD = {
+    "page_count": "int", "document_type": "string", "source_system": "string", "document_id": "string", "currency": "string", "currency_defaulted": "boolean", "payment_terms": "string",
+    "seller": PARTY, "buyer": PARTY, "vendor": PARTY, "counterparty": PARTY, "issue_date": "string", "due_date": "string", "order_date": "string", "delivery_date": "string",
+    "effective_date": "string", "expiry_date": "string", "po_reference": "string", "contract_reference": "string", "requisition_number": "string", "governing_law": "string",
+    "lines": f"array<{LINE}>", "rate_schedule": "array<struct<description:string,unit_of_measure:string,max_unit_price:double>>", "totals": "struct<subtotal:double,tax_total:double,grand_total:double>",
+    "order_value": "double", "removed_duplicates": "array<struct<line_number:int,description:string,page:int,words:int,reason:string>>",
+}
 
-    return let(row_index(rows, *header), lambda i: F.when(i.isNotNull(), cut(i)))
 
+def records(docs: Documents) -> DataFrame:
+    """(doc_id, status, *RECORD, positions): every document read whole, whatever its layout."""
+    height, names = docs.height, tuple(RECORD)
 
-def assign_columns(figures: Column, edges: Column) -> Column:
-    """Greedy assignment of figures to columns by the distance of their right edges.
-
-    figures: array of words; edges: array of struct(name, ord, x1). Gives an array of
-    struct(name, value), each column and each figure at most once.
-    """
-    pairs = F.flatten(F.transform(figures, lambda f, i: F.transform(edges, lambda e: F.struct(F.abs(e["x1"] - f["x1"]).alias("distance"), i.alias("figure"), e["ord"].alias("column"), e["name"].alias("name"), figure(f["text"]).alias("value")))))
-    near = F.array_sort(F.filter(pairs, lambda p: (p["distance"] < COLUMN_REACH) & p["value"].isNotNull()))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<name:string,value:double>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["used"], p["figure"]) & ~F.exists(acc["out"], lambda o: o["name"] == p["name"])
-        return F.struct(
-            F.when(free, F.concat(acc["used"], F.array(p["figure"]))).otherwise(acc["used"]).alias("used"),
-            F.when(free, F.concat(acc["out"], F.array(F.struct(p["name"].alias("name"), p["value"].alias("value"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(near, start, step, lambda acc: acc["out"])
-
-
-def _edges(head: Column) -> Column:
-    """Right edge of each printed heading that a figure column goes by; a later equal heading counts."""
-    names = [(name, k, h) for k, (name, headings) in enumerate(COLUMNS) for h in headings]
-    found = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(k).alias("ord"), F.try_element_at(F.transform(F.filter(head, lambda w: _heading(w) == h), lambda w: w["x1"]), F.lit(-1)).alias("x1")) for name, k, h in names))
-    return F.filter(found, lambda e: e["x1"].isNotNull())
-
-
-def table_rows(rows: Column, header: tuple[str, ...], stop: str) -> Column:
-    """array of struct(record, page, y0): the line items as printed, before repeats are removed."""
-    def line(r: Column, zone: Column, edges: Column, has_unit: Column) -> Column:
-        rest = F.slice(r["words"], F.lit(2), F.size(r["words"]))
-        marked = F.transform(rest, lambda w: F.struct(w.alias("w"), (is_figure(w["text"]) & (w["x0"] >= zone - COLUMN_DRIFT)).alias("f")))
-        pick = lambda m, want: F.transform(F.filter(m, lambda x: x["f"] == want), lambda x: x["w"])
-        return let(marked, lambda m: let(F.struct(pick(m, True).alias("figures"), pick(m, False).alias("words")), lambda s: let(assign_columns(s["figures"], edges), lambda v: record(r, s["words"], v, has_unit))))
-
-    def record(r: Column, words: Column, values: Column, has_unit: Column) -> Column:
-        value = lambda name: F.get(F.filter(values, lambda v: v["name"] == name), F.lit(0))["value"]
-        unit = has_unit & (F.size(words) > 1)
-        described = F.when(unit, F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words)
-        tax = F.when(value("tax_rate").isNotNull(), cents(money(value("line_total")) - money(value("net_amount"))).cast("double"))
-        out = F.struct(
-            F.get(r["words"], F.lit(0))["text"].try_cast("int").alias("line_number"), F.when(F.size(words) > 0, row_text(described)).alias("description"),
-            F.when(unit, F.element_at(words, -1)["text"]).alias("unit_of_measure"), *(value(name).alias(name) for name, _ in COLUMNS), tax.alias("tax_amount"),
-        )
-        return F.struct(out.cast(LINE).alias("record"), r["page"].alias("page"), r["words"][0]["y0"].alias("y0"))
+    def run(words: Words) -> Iterator[tuple]:
+        status, record, positions = document.read(words, height)
+        yield status, *map(record.get, names), positions
 
-    def read(t: Column) -> Column:
-        numbered = F.filter(t["body"], lambda r: r["words"][0]["text"].rlike(r"^\d+$") & r["words"][0]["text"].try_cast("int").isNotNull())
-        known = F.struct(_zone(t["head"], FIGURE_HEADINGS).alias("zone"), _edges(t["head"]).alias("edges"), F.exists(t["head"], lambda w: _heading(w) == "UOM").alias("unit"))
-        lines = let(known, lambda k: F.transform(numbered, lambda r: line(r, k["zone"], k["edges"], k["unit"])))
-        return F.filter(lines, lambda x: x["record"]["quantity"].isNotNull() & x["record"]["unit_price"].isNotNull())
+    return docs.map(run, f"status string, {', '.join(f'{n} {t}' for n, t in RECORD.items())}, positions array<{POSITION}>")
 
-    return F.coalesce(let(_table(rows, header, stop), lambda t: F.when(t.isNotNull(), read(t))), F.array()).cast(f"array<{_PLACED}>")
 
+def positions(read: DataFrame) -> DataFrame:
+    """(doc_id, document_id, field_path, page, bounding_box): the place of every located field of read records."""
+    one = read.select("doc_id", "document_id", F.explode("positions").alias("p"))
+    return one.select("doc_id", "document_id", "p.field_path", "p.page", F.struct("p.x0", "p.y0", "p.x1", "p.y1").alias("bounding_box"))
 
-def without_artefacts(placed: Column) -> Column:
-    """struct(lines, removed): an ordered fold over the printed lines of a document."""
-    start = F.struct(F.array().cast(f"array<{_PLACED}>").alias("kept"), F.array().cast(f"array<{_REMOVED}>").alias("removed"))
 
-    def step(acc: Column, x: Column) -> Column:
-        twin = F.exists(acc["kept"], lambda k: k["record"].eqNullSafe(x["record"]) & (k["page"] == x["page"]) & (F.abs(k["y0"] - x["y0"]) <= 2 * ROW_TOLERANCE))
-        before = F.try_element_at(acc["kept"], F.lit(-1))
-        seam = F.coalesce(before["record"].eqNullSafe(x["record"]) & (x["page"] - before["page"] == 1), F.lit(False))
-        reason = F.when(twin, SAME_PLACE).when(seam, SEAM)
-        note = F.struct(x["record"]["line_number"].alias("line_number"), x["record"]["description"].alias("description"), (x["page"] + 1).alias("page"), reason.alias("reason"))
-        return F.struct(
-            F.when(reason.isNull(), F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
-            F.when(reason.isNull(), acc["removed"]).otherwise(F.concat(acc["removed"], F.array(note))).alias("removed"),
-        )
+def printed_lines(docs: Documents, header: tuple[str, ...], stop: str) -> DataFrame:
+    """(doc_id, ord, *line, page, y0): line items of one table as printed, before repeats are removed."""
+    height, end = docs.height, re.compile(stop, re.I)
 
-    return F.aggregate(placed, start, step, lambda acc: F.struct(F.transform(acc["kept"], lambda k: k["record"]).alias("lines"), acc["removed"].alias("removed")))
+    def run(words: Words) -> Iterator[tuple]:
+        for k, x in enumerate(document.Document(words, height).lines(header, end), 1):
+            yield k, *x.record, x.page, x.y0
 
-
-def last_figure(rows: Column, label: str) -> Column:
-    """The last figure in the first row containing a label."""
-    def read(i: Column) -> Column:
-        found = F.filter(F.transform(F.get(rows, i - 1)["words"], lambda w: figure(w["text"])), lambda v: v.isNotNull())
-        return F.try_element_at(found, F.lit(-1))
-
-    return let(row_index(rows, label), lambda i: F.when(i.isNotNull(), read(i)))
-
-
-def party(rows: Column, label: str) -> Column:
-    """struct(name, vendor_id, tax_registration, location) printed beneath a heading; null if nothing is."""
-    parts = label.split()
-    state = "struct<name:string,vendor_id:string,tax_registration:string,location:string,page:int,over:boolean>"
-
-    def read(i: Column) -> Column:
-        head = F.get(rows, i - 1)
-        anchor = F.get(F.filter(head["words"], lambda w: F.rtrim(F.upper(w["text"]), F.lit(":")) == parts[0].upper()), F.lit(0))["x0"]
-        start = F.struct(*(F.lit(None).cast("string").alias(n) for n in ("name", "vendor_id", "tax_registration", "location")), head["page"].alias("page"), F.lit(False).alias("over")).cast(state)
-
-        def step(acc: Column, r: Column) -> Column:
-            column = F.filter(r["words"], lambda w: (w["x0"] - anchor >= -COLUMN_DRIFT) & (w["x0"] - anchor <= PARTY_COLUMN))
-            text = F.trim(row_text(column))
-            over = acc["over"] | (r["page"] != acc["page"]) | ((text != "") & is_heading(text) & acc["name"].isNotNull())
-            use = ~over & (text != "")
-            low = F.lower(text)
-            named, account, tax = acc["name"].isNotNull(), F.startswith(low, F.lit("account")), F.startswith(low, F.lit("tax reg"))
-            return F.struct(
-                F.when(use & ~named, text).otherwise(acc["name"]).alias("name"),
-                F.when(use & named & account, after_first_word(text)).otherwise(acc["vendor_id"]).alias("vendor_id"),
-                F.when(use & named & ~account & tax, after_dot(text)).otherwise(acc["tax_registration"]).alias("tax_registration"),
-                F.when(use & named & ~account & ~tax & acc["location"].isNull(), text).otherwise(acc["location"]).alias("location"),
-                acc["page"].alias("page"), over.alias("over"),
-            ).cast(state)
-
-        found = F.aggregate(F.slice(rows, i + 1, PARTY_ROWS), start, step, lambda a: F.when(a["name"].isNotNull(), F.struct(a["name"].alias("name"), a["vendor_id"].alias("vendor_id"), a["tax_registration"].alias("tax_registration"), a["location"].alias("location"))))
-        return F.when(anchor.isNotNull(), found)
-
-    return let(row_index(rows, *parts), lambda i: F.when(i.isNotNull(), read(i)))
-
-
-def rate_schedule(rows: Column) -> Column:
-    """array of struct(description, unit_of_measure, max_unit_price) between the schedule's header and its end."""
-    def term(r: Column, zone: Column) -> Column:
-        figures = lambda: F.filter(r["words"], lambda w: is_figure(w["text"]) & (w["x0"] >= zone - COLUMN_DRIFT))
-        words = F.filter(r["words"], lambda w: ~(is_figure(w["text"]) & (w["x0"] >= zone - COLUMN_DRIFT)))
-        described = row_text(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
-        return F.struct(
-            F.when(F.size(words) > 0, F.when(described != "", described).otherwise(words[0]["text"])).alias("description"),
-            F.try_element_at(words, F.lit(-1))["text"].alias("unit_of_measure"), figure(F.try_element_at(figures(), F.lit(-1))["text"]).alias("max_unit_price"),
-        )
-
-    def read(t: Column) -> Column:
-        return let(_zone(t["head"], ("UOM", "MAXIMUM", "UNIT", "RATE")), lambda z: F.filter(F.transform(t["body"], lambda r: term(r, z)), lambda x: x["max_unit_price"].isNotNull()))
-
-    kind = "array<struct<description:string,unit_of_measure:string,max_unit_price:double>>"
-    return F.coalesce(let(_table(rows, ("ITEM DESCRIPTION", "MAXIMUM"), r"(?i)clause|renewal|synthetic"), lambda t: F.when(t.isNotNull(), read(t))), F.array()).cast(kind)
-
-
-def _with_fields(docs: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Adds a column for each labelled field; all labels are looked up in one expression."""
-    found = docs.withColumn("_below", F.transform(below_labels(F.col("rows"), list(labels.values())), lambda v: v["text"]))
-    return found.withColumns({name: F.col("_below")[k] for k, name in enumerate(labels)}).drop("_below")
-
-
-def _unless(value: Column, word: str, whole: bool) -> Column:
-    low = F.lower(value)
-    return F.when(~((low == word) if whole else F.contains(low, F.lit(word))), value)
-
-
-def _currency(df: DataFrame) -> DataFrame:
-    """EUR where none is printed, and whether that was so."""
-    return df.withColumns({"currency": F.coalesce("stated_currency", F.lit("EUR")), "currency_defaulted": F.col("stated_currency").isNull()}).drop("stated_currency")
-
-
-def invoices(docs: DataFrame) -> DataFrame:
-    r = F.col("rows")
-    labels = {"document_id": "INVOICE NUMBER", "issue_date": "ISSUE DATE", "due_date": "DUE DATE", "stated_currency": "CURRENCY", "payment_terms": "TERMS", "po_reference": "PURCHASE ORDER REFERENCE"}
-    read = _with_fields(docs, labels).withColumn("t", without_artefacts(table_rows(r, ("LN", "DESCRIPTION", "QTY"), r"(?i)subtotal")))
-    return _currency(read.select(
-        "doc_id", "page_count", F.lit("invoice").alias("document_type"), F.lit("SharePoint").alias("source_system"), "document_id", party(r, "SELLER").alias("seller"), party(r, "BILL TO").alias("buyer"),
-        "issue_date", "due_date", "stated_currency", _unless(F.col("payment_terms"), "not stated", True).alias("payment_terms"), _unless(F.col("po_reference"), "none", False).alias("po_reference"),
-        F.col("t.lines").alias("lines"), F.col("t.removed").alias("removed_duplicates"),
-        F.struct(last_figure(r, "subtotal").alias("subtotal"), last_figure(r, "vat total").alias("tax_total"), last_figure(r, "total due").alias("grand_total")).alias("totals"),
-    ))
-
-
-def purchase_orders(docs: DataFrame) -> DataFrame:
-    r = F.col("rows")
-    labels = {"document_id": "PO NUMBER", "order_date": "ORDER DATE", "delivery_date": "DELIVERY BY", "requisition_number": "REQUISITION", "stated_currency": "CURRENCY", "payment_terms": "PAYMENT TERMS", "contract_reference": "CONTRACT REFERENCE"}
-    read = _with_fields(docs, labels).withColumn("t", without_artefacts(table_rows(r, ("ITEM", "ORDERED", "NET"), r"(?i)order value")))
-    return _currency(read.select(
-        "doc_id", "page_count", F.lit("purchase_order").alias("document_type"), F.lit("SAP").alias("source_system"), "document_id", party(r, "SUPPLIER").alias("vendor"), "order_date", "delivery_date", "requisition_number",
-        "stated_currency", "payment_terms", _unless(F.col("contract_reference"), "none", True).alias("contract_reference"), F.col("t.lines").alias("lines"), F.col("t.removed").alias("removed_duplicates"), last_figure(r, "order value").alias("order_value"),
-    ))
-
-
-def contracts(docs: DataFrame) -> DataFrame:
-    r = F.col("rows")
-    text = F.array_join(F.transform(r, lambda x: x["text"]), "\n")
-    labels = {"document_id": "CONTRACT REFERENCE", "effective_date": "EFFECTIVE DATE", "expiry_date": "EXPIRY DATE", "governing_law": "GOVERNING LAW"}
-    return _with_fields(docs, labels).select(
-        "doc_id", "page_count", F.lit("contract").alias("document_type"), F.lit("CLM").alias("source_system"), "document_id", party(r, "COUNTERPARTY").alias("counterparty"),
-        "effective_date", "expiry_date", "governing_law", settled_terms(text).alias("payment_terms"), rate_schedule(r).alias("rate_schedule"),
-    )
+    return docs.map(run, f"ord int, {LINE[7:-1].replace(':', ' ').replace(',', ', ')}, page int, y0 double")

@@ -1,120 +1,143 @@
 """From positioned words to rows, pages and documents.
 
-The base relation is ``words(doc_id, page, word_no, text, x0, y0, x1, y1)`` with pages
-counted from 0 and the origin at the top left, and ``pages(doc_id, page, width, height)``.
-Words are gathered once per page; everything after that works on the arrays of one page or
-one document, which are bounded by what a document holds, without a further shuffle.
-
-Defined cases: words with a null text or coordinate are dropped; words at the same place
-keep their order of extraction; a page without words has no rows; a document without words
-has status NO_TEXT_LAYER; repeated words at the same place count once (``deduplicated``).
+``Documents`` is a relation with one row per document and the way its words are got from such
+a row: set from a text, printed from a record, or gathered from the flat relation
+``words(doc_id, page, word_no, text, x0, y0, x1, y1)`` with pages counted from 0 and the origin
+at the top left. Operators run over it in Arrow batches, each document where it lies: only
+``of_words`` shuffles, once, and everything after it stays in the partition of the document,
+which is bounded by what a document holds.
+
+Defined cases: see ``operators.document``; a document without words is a row with status
+NO_TEXT_LAYER, one of an unknown layout with UNKNOWN_LAYOUT; rows with the same id are
+documents of their own, but for ``of_words``, where equal ids are one document; an empty
+relation gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyfold.functions.text import masked_digits
+from tallyfold.operators.document import Document, Words, single
 from tallyfold.sources.tables import by_key
 
-# Tolerances in points, and the markers of the three layouts in order of priority.
-ROW_TOLERANCE = 3.0
-FURNITURE_BAND = 0.12
-HEADER_CHARS = 400
-MARKERS = (("COMMERCIAL INVOICE", "invoice"), ("PURCHASE ORDER", "purchase_order"), ("MASTER SUPPLY AGREEMENT", "contract"))
+WORD = "array<struct<page:int,word_no:bigint,text:string,x0:double,y0:double,x1:double,y1:double>>"
+
+
+def _words_of_structs(batch: pa.RecordBatch) -> Iterator[tuple[object, Words]]:
+    """(id, words) of a batch (doc_id, words array<struct>): columns of all words at once, cut by document."""
+    column = batch.column(1)
+    flat = column.flatten()
+    fields = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+    lists = {name: fields[name].to_pylist() for name in ("page", "text", "x0", "y0", "x1", "y1")}
+    at = 0
+    for doc, size in zip(batch.column(0).to_pylist(), column.value_lengths().to_pylist()):
+        yield doc, Words(*(values[at : at + (size or 0)] for values in lists.values()))
+        at += size or 0
+
+
+@dataclass(frozen=True)
+class Documents:
+    """df: one row per document, its id in the first column; words: (id, words) of each row of a batch."""
 
-_WORD = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
-_ROW = f"struct<page:int,words:array<{_WORD}>,text:string,low:string>"
+    df: DataFrame
+    words: Callable[[pa.RecordBatch], Iterator[tuple[object, Words]]]
+    height: float | None = None
+    text: str | None = None
 
+    @staticmethod
+    def of_words(words: DataFrame, height: float | None = None) -> Documents:
+        """Documents gathered from the flat relation of words, in the order of extraction; one shuffle by document."""
+        word = F.struct("word_no", "page", "text", "x0", "y0", "x1", "y1")
+        gathered = by_key(words, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(word)).alias("words"))
+        return Documents(gathered, _words_of_structs, height)
 
-def deduplicated(words: DataFrame) -> DataFrame:
-    """Overlaid text layers: of words with the same text at the same place (to a tenth of a point) the first; ``copies`` counts the rest."""
-    key = ["doc_id", "page", "text", F.bround("x0", 1).alias("rx"), F.bround("y0", 1).alias("ry")]
-    first = F.min_by(F.struct("word_no", "x0", "y0", "x1", "y1"), "word_no").alias("w")
-    return words.where("text is not null and x0 is not null and y0 is not null").groupBy(*key).agg(first, (F.count(F.lit(1)) - 1).alias("copies")).select("doc_id", "page", "w.word_no", "text", "w.x0", "w.y0", "w.x1", "w.y1", "copies")
+    @property
+    def id_type(self) -> str:
+        return self.df.schema.fields[0].dataType.simpleString()
 
+    def holding(self, needles: Iterable[str]) -> Documents:
+        """Those that may hold all needles: on documents set from texts the test reaches the scan, others stay as they are."""
+        if self.text is None:
+            return self
+        df = self.df
+        for n in needles:
+            df = df.where(F.contains(self.text, F.lit(n)))
+        return replace(self, df=df)
 
-def _rows_of_page(sorted_words: Column) -> Column:
-    """Anchored clustering: a word opens a new row when it stands more than the tolerance from the row's first word."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<array<{_WORD}>>").alias("done"), F.array().cast(f"array<{_WORD}>").alias("open"))
+    def map(self, run: Callable[[Words], Iterable[tuple]], columns: str) -> DataFrame:
+        """(doc_id, *columns): the rows that ``run`` gives for each document."""
+        schema = T.StructType.fromDDL(f"doc_id {self.id_type}, {columns}")
+        arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
+        words_of = self.words
 
-    def step(acc: Column, w: Column) -> Column:
-        word = F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1"))
-        fresh = acc["anchor"].isNull() | (F.abs(acc["anchor"] - w["y0"]) > ROW_TOLERANCE)
-        return F.struct(
-            F.when(fresh, w["y0"]).otherwise(acc["anchor"]).alias("anchor"),
-            F.when(fresh & (F.size(acc["open"]) > 0), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(fresh, F.array(word)).otherwise(F.concat(acc["open"], F.array(word))).alias("open"),
-        )
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(doc, *row) for doc, words in words_of(batch) for row in run(words)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return F.aggregate(sorted_words, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+        return self.df.mapInArrow(mapped, schema)
 
+    def flat(self) -> DataFrame:
+        """The flat relation of words (without the number of extraction, which is their order)."""
+        return self.map(lambda w: zip(w.page, w.text, w.x0, w.y0, w.x1, w.y1), "page int, text string, x0 double, y0 double, x1 double, y1 double")
 
-def page_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, page, rows): the rows of each page from top to bottom, words of a row from left to right.
 
-    The words are partitioned by document, so that gathering pages and then documents costs one shuffle.
-    """
-    gathered = by_key(words, "doc_id").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.bround("y0", 1).alias("top"), "x0", "word_no", "text", "y0", "x1", "y1"))).alias("w"))
-    by_x = lambda row: F.array_sort(row, lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
-    return gathered.select("doc_id", "page", F.transform(_rows_of_page(F.col("w")), by_x).alias("rows"))
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+    return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind.simpleString()]
 
 
-def row_text(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+def rows(docs: Documents) -> DataFrame:
+    """(doc_id, page, page_row_no, text, top, x0, y0, x1, y1): printed rows from top to bottom; top is the height of a row's first word."""
 
+    def run(words: Words) -> Iterator[tuple]:
+        doc = Document(words)
+        page, n = None, 0
+        for row, text in zip(doc.all_rows, doc.texts):
+            box = words.box(row)
+            page, n = box[0], n + 1 if box[0] == page else 0
+            yield page, n, text, words.y0[row[0]], *box[1:]
 
-def rows(pages_of_rows: DataFrame) -> DataFrame:
-    """(doc_id, page, page_row_no, text, y0, words): one row per printed row."""
-    one = pages_of_rows.select("doc_id", "page", F.posexplode("rows").alias("page_row_no", "words"))
-    return one.select("doc_id", "page", "page_row_no", row_text(F.col("words")).alias("text"), F.col("words")[0]["y0"].alias("y0"), "words")
+    return docs.map(run, "page int, page_row_no int, text string, top double, x0 double, y0 double, x1 double, y1 double")
 
 
-def document_rows(pages_of_rows: DataFrame, heights: DataFrame | float) -> DataFrame:
-    """(doc_id, page_count, heads, furniture, rows): all rows of a document in page order, without page furniture.
+def texts(docs: Documents) -> DataFrame:
+    """(doc_id, page_count, text, rows, furniture): the text of each document with words, pages in order and without page furniture; page_count by its words."""
+    height = docs.height
 
-    heights: (doc_id, page_count, height) with the height of the first page, or one height
-    for pages of one size of which the last has words. Rows never run across pages.
-    """
-    docs = pages_of_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "rows"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda p: F.transform(p["rows"], lambda r: F.struct(p["page"].alias("page"), r.alias("words"), row_text(r).alias("text"), F.lower(row_text(r)).alias("low")))))
-    docs = docs.select("doc_id", flat.cast(f"array<{_ROW}>").alias("rows"), F.transform("p", lambda p: F.left(F.array_join(F.transform(p["rows"], row_text), "\n"), F.lit(HEADER_CHARS))).alias("heads"), (F.array_max("p.page") + 1).alias("page_count"), F.lit(heights if isinstance(heights, float) else None).cast("double").alias("height"))
-    if not isinstance(heights, float):
-        docs = docs.drop("page_count", "height").join(heights, "doc_id", "left")
-    return docs.withColumn("f", _furniture(F.col("rows"), F.col("height"), F.col("page_count"))).select("doc_id", "page_count", "heads", F.transform(F.filter("f", lambda r: r["furniture"]), lambda r: r["text"]).alias("furniture"), F.transform(F.filter("f", lambda r: ~r["furniture"]), lambda r: F.struct(*(r[c].alias(c) for c in ("page", "words", "text", "low")))).alias("rows"))
+    def run(words: Words) -> Iterator[tuple]:
+        doc = Document(words, height)
+        if doc.all_rows:
+            yield 1 + words.page[doc.all_rows[-1][0]], "\n".join(doc.text), doc.text, doc.furniture
 
+    return docs.map(run, "page_count int, text string, rows array<string>, furniture array<string>")
 
-def _furniture(all_rows: Column, height: Column, page_count: Column) -> Column:
-    """Each row with its text and whether it is furniture: in the top or bottom band, and at the same height with the same wording but for figures more than once."""
-    top = lambda r: r["words"][0]["y0"]
-    band = height * FURNITURE_BAND
-    in_band = lambda r: ~((top(r) > band) & (top(r) < height - band))
-    shape = lambda r: F.concat_ws("|", F.bround(top(r), 0).cast("string"), masked_digits(r["text"]))
-    banded = F.transform(F.filter(all_rows, lambda r: F.coalesce(in_band(r), F.lit(False))), shape)
-    repeated = F.filter(F.array_distinct(banded), lambda s: F.size(F.filter(banded, lambda t: t == s)) > 1)
-    many = F.coalesce(page_count >= 2, F.lit(False))
-    return F.transform(all_rows, lambda r: F.struct(*(r[c].alias(c) for c in ("page", "words", "text", "low")), (many & F.coalesce(in_band(r), F.lit(False)) & F.array_contains(repeated, shape(r))).alias("furniture")))
 
+def status(docs: Documents) -> DataFrame:
+    """(doc_id, page_count, status, document_type): OK, NO_TEXT_LAYER or UNKNOWN_LAYOUT; never an error."""
 
-def classified(docs: DataFrame) -> DataFrame:
-    """Adds document_type by the first marker found in the heads of the pages; null for an unknown layout."""
-    header = F.upper(F.array_join("heads", "\n"))
-    kind = F.lit(None).cast("string")
-    for marker, name in reversed(MARKERS):
-        kind = F.when(F.contains(header, F.lit(marker)), name).otherwise(kind)
-    return docs.withColumn("document_type", kind)
+    def run(words: Words) -> Iterator[tuple]:
+        doc = Document(words)
+        kind = doc.kind()
+        yield doc.page_count, "OK" if kind else "UNKNOWN_LAYOUT" if doc.all_rows else "NO_TEXT_LAYER", kind
 
+    return docs.map(run, "page_count int, status string, document_type string")
 
-def status(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_count, status): OK, NO_TEXT_LAYER or UNKNOWN_LAYOUT; never an error."""
-    counted = pages.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
-    read = classified(docs).select("doc_id", "document_type")
-    found = F.when(F.col("read").isNull(), "NO_TEXT_LAYER").when(F.col("document_type").isNull(), "UNKNOWN_LAYOUT").otherwise("OK")
-    return counted.join(read.withColumn("read", F.lit(True)), "doc_id", "left").select("doc_id", "page_count", found.alias("status"))
 
+def deduplicated(docs: Documents) -> DataFrame:
+    """(doc_id, words, dropped): words that count, and repeats of one at the same place (overlaid text layers)."""
+    def run(words: Words) -> Iterator[tuple]:
+        kept, repeats = single(words)
+        yield len(kept), repeats
 
-def box(words: Column) -> Column:
-    """Union of the boxes of some words."""
-    pick = lambda f: F.transform(words, lambda w: w[f])
-    return F.struct(F.array_min(pick("x0")).alias("x0"), F.array_min(pick("y0")).alias("y0"), F.array_max(pick("x1")).alias("x1"), F.array_max(pick("y1")).alias("y1"))
+    return docs.map(run, "words bigint, dropped bigint")

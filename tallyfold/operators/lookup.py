@@ -1,161 +1,120 @@
 """Finding text and values by where they are printed.
 
-All lookups work on ``rows``, the array of a document's rows in order (see layout). The first
-match wins and nothing falls through: where the first row with a label's words lacks the
-label's first word, the field is absent even if a later row has it.
+A lookup runs over ``Documents`` (see layout) and gives hits (doc_id, page, text, x0, y0, x1,
+y1); nothing is shuffled or joined, since the words of a document are all at hand.
 
-Defined cases: no match gives null (or no row), never an error; a null needle matches
-nothing; an empty needle is contained in the first row.
+Defined cases: no match gives no row, never an error; an empty needle matches nothing; see
+``operators.document`` for what is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.layout import ROW_TOLERANCE, box, row_text
+from tallyfold.operators import document
+from tallyfold.operators.document import Document, Hit, Words
+from tallyfold.operators.layout import Documents
 
 # Distances in points.
-LABEL_GAP, COLUMN_DRIFT, PARTY_COLUMN = 24.0, 30.0, 150.0
-LABEL_CLEARANCE, VALUE_GAP, LABEL_ROWS = 3.0, 12.0, 2
-BESIDE_DX, BESIDE_DY, BESIDE_WIDTH = 26.0, 22.0, 140.0
-ROW_MARGIN, CROP_X, CROP_Y = 8.0, 4.0, 1.5
+CROP_X, CROP_Y = 4.0, 1.5
+
+HIT = "page int, text string, x0 double, y0 double, x1 double, y1 double"
+Find = Callable[[Words], Iterable[Hit]]
+
 
-_NEAR = "struct<y0:double,x0:double,row:array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>"
-_WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
+def literal(needle: str) -> Find:
+    return lambda words: (hit for _, hit in document.literal(words, needle))
 
 
-def row_index(rows: Column, *needles: str) -> Column:
-    """Position (from 1) of the first row containing all needles, in any order and case; null if none."""
-    def hit(r: Column) -> Column:
-        out = F.lit(True)
-        for n in needles:
-            out = out & F.contains(r["low"], F.lit(n.lower()))
-        return out
+def pattern(regex: str) -> Find:
+    compiled = re.compile(regex)
+    return lambda words: document.pattern(words, compiled)
 
-    at = F.array_position(F.transform(rows, hit), F.lit(True))
-    return F.when(at > 0, at.cast("int"))
 
+def word(text: str) -> Find:
+    return lambda words: ((t, words.page[k], words.x0[k], words.y0[k], words.x1[k], words.y1[k]) for k, t in enumerate(words.text) if t == text)
 
-def let(value: Column, body) -> Column:  # noqa: ANN001
-    """Bind a value once for use in several places of an expression."""
-    return F.transform(F.array(value), body)[0]
 
+def _row(hit: Hit) -> tuple:
+    return hit[1], hit[0], *hit[2:]
 
-def below_labels(rows: Column, labels: list[str]) -> Column:
-    """array of struct(text, page, box): for each label the value printed beneath it, left-aligned to it; null if absent.
 
-    The labels are data of one expression, which is built and planned once for all of them.
+def search(docs: Documents, needle: str, page: int | None = None) -> DataFrame:
+    """(doc_id, page_row_no, *hit) of a literal search: contiguous words of one row, case-sensitive, on all pages or one.
+
+    Texts without the needle's words are not scanned.
     """
-    asked = F.array(*(F.struct(F.lit(x.split()[0].lower()).alias("first"), F.array(*(F.lit(w.lower()) for w in x.split())).alias("needles")) for x in labels))
 
-    def find(label: Column) -> Column:
-        at = F.array_position(F.transform(rows, lambda r: F.forall(label["needles"], lambda n: F.contains(r["low"], n))), F.lit(True)).cast("int")
-        return let(at, lambda i: F.when(i > 0, at_row(i, label["first"])))
+    def run(words: Words) -> Iterator[tuple]:
+        return ((number, *_row(h)) for number, h in document.literal(words, needle) if page is None or h[1] == page)
+
+    return docs.holding(needle.split()).map(run, f"page_row_no int, {HIT}")
 
-    def at_row(i: Column, first: Column) -> Column:
-        head = F.get(rows, i - 1)
-        anchor = F.get(F.filter(head["words"], lambda w: F.rtrim(F.lower(w["text"]), F.lit(":")) == first), F.lit(0))["x0"]
-        return let(F.struct(head["page"].alias("page"), head["words"][0]["y0"].alias("top"), head["words"][0]["y1"].alias("bottom"), anchor.alias("x"), F.slice(rows, i + 1, LABEL_ROWS).alias("next")), at_label)
 
-    def at_label(a: Column) -> Column:
-        fits = lambda w: (F.abs(w["x0"] - a["x"]) <= COLUMN_DRIFT) & (w["y0"] > a["top"] + LABEL_CLEARANCE) & (w["y0"] - a["bottom"] < LABEL_GAP)
-        near = F.flatten(F.transform(F.filter(a["next"], lambda r: r["page"] == a["page"]), lambda r: F.transform(F.filter(r["words"], fits), lambda w: F.struct(w["y0"].alias("y0"), w["x0"].alias("x0"), r["words"].alias("row")))))
-        first = F.reduce(near, F.lit(None).cast(_NEAR), lambda best, n: F.when(best.isNull() | (n["y0"] < best["y0"]) | ((n["y0"] == best["y0"]) & (n["x0"] < best["x0"])), n).otherwise(best))
-        return let(first, lambda c: F.when(c.isNotNull(), let(run_from(c["row"], c["x0"], c["y0"]), lambda g: F.struct(row_text(g).alias("text"), a["page"].alias("page"), box(g).alias("box")))))
+def search_pattern(docs: Documents, regex: str, page: int | None = None) -> DataFrame:
+    """Words in which a regular expression is found."""
+    find = pattern(regex)
+    return docs.map(lambda w: (_row(h) for h in find(w) if page is None or h[1] == page), HIT)
 
-    return F.transform(asked, find)
 
+def first_hit(docs: Documents, find: Find) -> DataFrame:
+    """The first hit of each document, by page and place."""
 
-def below_label(rows: Column, label: str) -> Column:
-    """struct(text, page, box) of the value printed beneath one label; null if absent."""
-    return below_labels(rows, [label])[0]
+    def run(words: Words) -> Iterator[tuple]:
+        if hits := sorted(find(words), key=lambda h: (h[1], h[3], h[2])):
+            yield _row(hits[0])
 
+    return docs.map(run, HIT)
 
-def run_from(row: Column, x: Column, y: Column) -> Column:
-    """Words of a row from the one at (x, y) on, as long as no gap is wider than that between words of one value."""
-    first = F.filter(row, lambda w: (w["x0"] == x) & (w["y0"] == y))
-    start = F.struct(F.slice(first, 1, 1).cast(_WORDS).alias("g"), F.lit(True).alias("on"))
 
-    def step(acc: Column, w: Column) -> Column:
-        joins = acc["on"] & (w["x0"] - F.element_at(acc["g"], -1)["x1"] <= VALUE_GAP)
-        return F.struct(F.when(joins, F.concat(acc["g"], F.array(w))).otherwise(acc["g"]).alias("g"), joins.alias("on"))
+def value_beside(docs: Documents, find: Find, direction: str = "right") -> DataFrame:
+    """The value right of or below the first hit of a label on each page."""
+    return docs.map(lambda w: (_row(h) for h in document.beside(w, find(w), direction)), HIT)
 
-    return F.aggregate(F.filter(row, lambda w: w["x0"] > x), start, step, lambda acc: acc["g"])
 
+def below_labels(docs: Documents, labels: list[str]) -> DataFrame:
+    """(doc_id, label, page, text, x0, y0, x1, y1): values printed beneath labels, left-aligned to them."""
+    height = docs.height
 
-def search(rows: DataFrame, needle: str) -> DataFrame:
-    """Literal search in rows (doc_id, page, page_row_no, words): contiguous words of one row, case-sensitive.
+    def run(words: Words) -> Iterator[tuple]:
+        doc = Document(words, height)
+        for label in labels:
+            if (found := doc.below(label)) is not None:
+                yield label, found[1][0], found[0], *found[1][1:]
 
-    (doc_id, page, page_row_no, text, x0, y0, x1, y1) of each hit; the text is the needle.
-    """
-    parts = needle.split()
-    n = len(parts)
+    return docs.map(run, f"label string, {HIT}")
 
-    def here(i: Column) -> Column:
-        out = F.lit(True)
-        for k, p in enumerate(parts):
-            out = out & (F.get(F.col("words"), i + k)["text"] == p)
-        return out
 
-    # only words equal to the first part can begin a hit
-    starts = F.filter(F.transform("words", lambda w, i: F.when(w["text"] == parts[0], i)), lambda i: i.isNotNull()) if parts else F.array().cast("array<int>")
-    hits = F.filter(starts, lambda i: F.coalesce(here(i), F.lit(False)))
-    one = rows.select("doc_id", "page", "page_row_no", "words", F.explode(hits).alias("i"))
-    return one.select("doc_id", "page", "page_row_no", F.lit(needle).alias("text"), box(F.slice("words", F.col("i") + 1, F.lit(n))).alias("b")).select("doc_id", "page", "page_row_no", "text", "b.*")
+def first_row(docs: Documents, *needles: str) -> DataFrame:
+    """(doc_id, row_no): the first row, from 1, containing all needles in any order and case."""
+    height = docs.height
 
+    def run(words: Words) -> Iterator[tuple]:
+        at = Document(words, height).row_with(*needles)
+        if at is not None:
+            yield (at + 1,)
 
-def search_pattern(words: DataFrame, pattern: str) -> DataFrame:
-    """Words in which a regular expression is found."""
-    return words.where(F.col("text").rlike(pattern))
+    return docs.map(run, "row_no int")
 
 
-def first_hit(hits: DataFrame) -> DataFrame:
-    """The first hit of each document, by page and place."""
-    return hits.groupBy("doc_id").agg(F.min_by(F.struct("page", "text", "x0", "y0", "x1", "y1"), F.struct("page", "y0", "x0")).alias("h")).select("doc_id", "h.*")
+def widened_rows(docs: Documents, find: Find, width: float | None = None) -> DataFrame:
+    """Each hit widened to all words at its height, x clamped to the page; a hit without any stays as it is."""
+    return docs.map(lambda w: (_row(document.widened(w, h, width)) for h in find(w)), HIT)
 
 
-def value_beside(hits: DataFrame, words: DataFrame, direction: str = "right") -> DataFrame:
-    """(doc_id, page, text, x0, y0, x1, y1): the value right of or below the first hit of a label on each page.
+def crop(hits: DataFrame, pages: DataFrame | tuple[float, float], padding: float = CROP_X, vertical: float = CROP_Y) -> DataFrame:
+    """Adds the crop rectangle of each hit (cx0, cy0, cx1, cy1), clamped to the page.
 
-    hits: (doc_id, page, x0, y0, x1, y1) of the label; the join is on document and page.
+    pages: (doc_id, page, width, height), or the width and height of all pages.
     """
-    label = hits.groupBy("doc_id", "page").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct("y0", "x0")).alias("a"))
-    w = words.select("doc_id", "page", F.struct("text", "x0", "y0", "x1", "y1").alias("w"))
-    if direction == "below":
-        fits = (F.col("w.y0") > F.col("a.y1")) & (F.abs(F.col("w.x0") - F.col("a.x0")) < BESIDE_DX) & (F.col("w.y0") - F.col("a.y1") < BESIDE_DY)
-        order = F.struct(F.col("w.y0"), F.col("w.x0"))
+    if isinstance(pages, tuple):
+        one = hits.withColumns({"width": F.lit(pages[0]), "height": F.lit(pages[1])})
     else:
-        fits = (F.col("w.x0") > F.col("a.x1")) & (F.abs(F.col("w.y0") - F.col("a.y0")) < ROW_TOLERANCE)
-        order = F.struct(F.col("w.x0"), F.col("w.y0"))
-    near = label.join(w, ["doc_id", "page"]).where(fits).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "w"))).alias("c"))
-    first = F.col("c")[0]["w"]
-    group = F.filter("c", lambda c: (F.abs(c["w"]["y0"] - first["y0"]) < ROW_TOLERANCE) & (c["w"]["x0"] - first["x0"] < BESIDE_WIDTH))
-    by_x = F.array_sort(F.transform(group, lambda c: F.struct(c["w"]["x0"].alias("x0"), c["w"]["text"].alias("text"), c["w"]["y0"].alias("y0"), c["w"]["x1"].alias("x1"), c["w"]["y1"].alias("y1"))))
-    return near.select("doc_id", "page", by_x.alias("g")).select("doc_id", "page", row_text(F.col("g")).alias("text"), box(F.col("g")).alias("b")).select("doc_id", "page", "text", "b.*")
-
-
-def row_containing(hits: DataFrame, words: DataFrame, pages: DataFrame, hit_id: list[str]) -> DataFrame:
-    """Each hit widened to all words at its height: (*hit_id, doc_id, page, text, x0, y0, x1, y1), x clamped to the page."""
-    w = words.select("doc_id", "page", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), F.col("x1").alias("wx1"), F.col("y1").alias("wy1"), F.col("text").alias("wt"), F.col("word_no").alias("wn"))
-    near = (F.abs(F.col("wy0") - F.col("y0")) <= ROW_TOLERANCE)
-    group = [*dict.fromkeys([*hit_id, "doc_id", "page", "text", "x0", "y0", "x1", "y1"])]
-    wide = hits.join(w, ["doc_id", "page"], "left").where(near | F.col("wy0").isNull()).groupBy(*group).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("wt").isNotNull(), F.struct("wx0", "wn", "wt")))), lambda s: s["wt"]), " ").alias("row_text"),
-        F.min("wx0").alias("l"), F.min("wy0").alias("t"), F.max("wx1").alias("r"), F.max("wy1").alias("b"),
-    )
-    out = wide.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"], "left")
-    return out.select(
-        *[c for c in group if c in hit_id or c in ("doc_id", "page")],
-        F.when(F.length("row_text") > 0, F.col("row_text")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.greatest(F.lit(0.0), F.col("l") - ROW_MARGIN), F.col("x0")).alias("x0"), F.coalesce(F.col("t") - ROW_MARGIN, F.col("y0")).alias("y0"),
-        F.coalesce(F.least(F.col("width"), F.col("r") + ROW_MARGIN), F.col("x1")).alias("x1"), F.coalesce(F.col("b") + ROW_MARGIN, F.col("y1")).alias("y1"),
-    )
-
-
-def crop(hits: DataFrame, pages: DataFrame, padding: float = CROP_X, vertical: float = CROP_Y) -> DataFrame:
-    """Adds the crop rectangle of each hit (cx0, cy0, cx1, cy1), clamped to the page."""
-    one = hits.join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
+        one = hits.join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
     return one.withColumns({
         "cx0": F.greatest(F.lit(0.0), F.col("x0") - padding), "cy0": F.greatest(F.lit(0.0), F.col("y0") - vertical),
         "cx1": F.least(F.col("width"), F.col("x1") + padding), "cy1": F.least(F.col("height"), F.col("y1") + vertical),

@@ -1,4 +1,7 @@
-"""Reports and packs as text, JSON and markdown columns."""
+"""Reports and packs as text, JSON and markdown columns.
+
+Fixed values: the wording of headlines, discrepancies and working papers, and the names of fields.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +34,7 @@ def report_json(report: DataFrame) -> DataFrame:
 
 
 def pack_markdown(packs: DataFrame) -> DataFrame:
-    """(pack_id, markdown): a working-paper extract of each pack; the time of preparation is a column of its own."""
+    """(pack_id, markdown): a working-paper extract of each pack, with the time of preparation where the packs have one (``created_at``)."""
     two = lambda c: c.cast("string").try_cast("decimal(18,2)").cast("string")
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     row = lambda i: F.concat(F.lit("| "), text(i["source_system"]), F.lit(" | "), text(i["document_id"]), F.lit(" | `"), text(i["field_path"]), F.lit("` | "), text(i["value"]), F.lit(" | "), F.coalesce(two(i["confidence"]), F.lit("-")), F.lit(" |"))
@@ -39,6 +42,7 @@ def pack_markdown(packs: DataFrame) -> DataFrame:
     parts = F.concat(
         F.array(F.concat(F.lit("### Evidence pack "), F.col("pack_id")), F.lit("")),
         F.when(F.length("conclusion") > 0, F.array(F.concat(F.lit("**Conclusion.** "), F.col("conclusion")), F.lit(""))).otherwise(empty),
+        F.array(F.concat(F.lit("Prepared "), F.col("created_at"))) if "created_at" in packs.columns else empty,
         F.array(F.concat(F.lit("Documents: "), F.array_join("documents", ", ")), F.concat(F.lit("Sources: "), F.array_join("sources", ", "))),
         F.when(F.col("weakest_confidence").isNotNull(), F.array(F.concat(F.lit("Weakest citation confidence: "), two(F.col("weakest_confidence"))))).otherwise(empty),
         F.array(F.lit(""), F.lit("| Source | Document | Field | Value | Confidence |"), F.lit("| --- | --- | --- | --- | --- |")),
@@ -48,6 +52,8 @@ def pack_markdown(packs: DataFrame) -> DataFrame:
     return packs.select("pack_id", F.array_join(parts, "\n").alias("markdown"))
 
 
-def pack_json(packs: DataFrame) -> DataFrame:
-    body = F.struct("pack_id", "conclusion", "documents", "sources", "weakest_confidence", "integrity_hash", "items")
-    return packs.select("pack_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("pack"))
+def pack_json(packs: DataFrame, pretty: bool = False) -> DataFrame:
+    """(pack_id, pack): each pack as JSON, indented if asked; with the time of preparation where the packs have one."""
+    names = ["pack_id", "created_at", "conclusion", "documents", "sources", "weakest_confidence", "integrity_hash", "items"]
+    body = F.struct(*(n for n in names if n in packs.columns))
+    return packs.select("pack_id", F.to_json(body, {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("pack"))

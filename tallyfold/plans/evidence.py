@@ -31,30 +31,11 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def field_paths(spark: SparkSession, d: str) -> DataFrame:
-    return E.fields(table(spark, d, "invoices").select("row_id", *_INVOICE), ["row_id"])
-
-
-def _cited(spark: SparkSession, d: str) -> DataFrame:
-    """All evidence on invoices cited again from the documents themselves."""
-    of = E.fields(_first(spark, d, "invoices", _INVOICE), ["k"]).withColumnRenamed("k", "document_id")
-    asked = table(spark, d, "evidence_items").where("document_type = 'invoice'").select("row_id", "pack_id", "ord", "document_id", "field_path", "confidence", "note")
-    return E.cite(asked, of)
-
-
-def cite_fields(spark: SparkSession, d: str) -> DataFrame:
-    return _cited(spark, d).where("present").select("row_id", "document_id", "field_path", "value")
-
-
-def try_cite_absent(spark: SparkSession, d: str) -> DataFrame:
-    return _cited(spark, d).where("not present").select("row_id", "document_id", "field_path", "note")
-
-
-def field_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    """As field_paths, of the documents of all three types, with what was removed from them."""
+    """Every field of the documents of all three types, with what was removed from them."""
     return _union(E.fields(table(spark, d, name).select("row_id", *columns), ["row_id"]).select(F.lit(name).alias("table_name"), "row_id", "field_path", "value") for name, columns in _TABLES.items())
 
 
-def _cited_all(spark: SparkSession, d: str) -> DataFrame:
+def _cited(spark: SparkSession, d: str) -> DataFrame:
     """All evidence cited again from the documents themselves, whatever their type; deleted ones can still be cited."""
     asked = table(spark, d, "evidence_items").select("row_id", "pack_id", "ord", "document_id", "document_type", "field_path", "confidence", "note")
     # distinct paths per document: of 5.7 million fields at scale 1 only those asked for are shuffled
@@ -63,12 +44,12 @@ def _cited_all(spark: SparkSession, d: str) -> DataFrame:
     return E.cite(asked, of)
 
 
-def cite_all(spark: SparkSession, d: str) -> DataFrame:
-    return _cited_all(spark, d).where("present").select("row_id", "document_type", "document_id", "field_path", "value")
+def cite_fields(spark: SparkSession, d: str) -> DataFrame:
+    return _cited(spark, d).where("present").select("row_id", "document_type", "document_id", "field_path", "value")
 
 
-def cite_all_absent(spark: SparkSession, d: str) -> DataFrame:
-    return _cited_all(spark, d).where("not present").select("row_id", "document_type", "document_id", "field_path", "note")
+def try_cite_absent(spark: SparkSession, d: str) -> DataFrame:
+    return _cited(spark, d).where("not present").select("row_id", "document_type", "document_id", "field_path", "note")
 
 
 def _packs(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +77,7 @@ def item_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return df.select("row_id", E.described(df).alias("description"))
 
 
-QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, field_paths_all, cite_all, cite_all_absent, evidence_packs, integrity_hash, pack_markdown, pack_json, item_descriptions)}
+QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, evidence_packs, integrity_hash, pack_markdown, pack_json, item_descriptions)}
 
 _D = lambda x: f"regexp_replace(regexp_replace(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)) AS VARCHAR), '0+$', ''), '\\.$', '')"
 _SCALARS = ("document_id", "document_type", "source_system", "source_file", "currency", "payment_terms", "issue_date", "due_date", "po_reference")
@@ -113,14 +94,6 @@ def _fields(src: str, key: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-_CITED = f"""
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at, row_id) AS rn FROM invoices WHERE document_id IS NOT NULL) WHERE rn = 1),
-fields AS (SELECT k AS document_id, field_path, value, true AS present FROM ({_fields('(SELECT *, document_id AS k FROM once)', 'k')})),
-cited AS (SELECT e.row_id, e.document_id, e.field_path, f.value, coalesce(f.present, false) AND regexp_full_match(e.field_path, '[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?(\\.[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?)*') AS present
-  FROM evidence_items e LEFT JOIN fields f ON f.document_id = e.document_id AND f.field_path = e.field_path WHERE e.document_type = 'invoice')
-"""
-
-
 def _other_fields(src: str, key: str, scalars: tuple[str, ...], party: str, items: str, texts: tuple[str, ...], figures: tuple[str, ...]) -> str:
     parts = [f"SELECT {key}, '{c}' AS field_path, CAST({c} AS VARCHAR) AS value FROM {src}" for c in scalars]
     parts += [f"SELECT {key}, '{party}.{c}', {party}.{c} FROM {src} WHERE {party} IS NOT NULL" for c in ("name", "vendor_id", "tax_registration", "location")]
@@ -148,7 +121,7 @@ def _invoice_fields(src: str, key: str) -> str:
 
 _OF = {"invoices": _invoice_fields, "purchase_orders": _order_fields, "contracts": _contract_fields}
 _FIRST = lambda t: f"(SELECT *, document_id AS k FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at, row_id) AS rn FROM {t} WHERE document_id IS NOT NULL) WHERE rn = 1)"
-_CITED_ALL = f"""
+_CITED = f"""
 fields AS ({" UNION ALL ".join(f"SELECT k AS document_id, field_path, value, true AS present FROM ({of(_FIRST(t), 'k')})" for t, of in _OF.items())}),
 cited AS (SELECT e.row_id, e.document_type, e.document_id, e.field_path, f.value, coalesce(f.present, false) AND regexp_full_match(e.field_path, '[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?(\\.[A-Za-z_][A-Za-z0-9_]*(\\[[0-9]+\\])?)*') AS present
   FROM evidence_items e LEFT JOIN fields f ON f.document_id = e.document_id AND f.field_path = e.field_path)
@@ -160,12 +133,9 @@ _CANON = f"""'{{"bounding_box":' || CASE WHEN bounding_box IS NULL THEN 'null' E
  ',"page":' || coalesce(CAST(page AS VARCHAR), 'null') || ',"source_system":' || {_T('source_system')} || ',"value":' || {_T('value')} || '}}'"""
 
 ORACLE = {
-    "field_paths": f"SELECT row_id, field_path, value FROM ({_fields('invoices', 'row_id')})",
-    "cite_fields": f"WITH {_CITED} SELECT row_id, document_id, field_path, value FROM cited WHERE present",
-    "try_cite_absent": f"WITH {_CITED} SELECT row_id, document_id, field_path, '{E.ABSENT}' AS note FROM cited WHERE NOT present",
-    "field_paths_all": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, field_path, value FROM ({of(t, 'row_id')})" for t, of in _OF.items()),
-    "cite_all": f"WITH {_CITED_ALL} SELECT row_id, document_type, document_id, field_path, value FROM cited WHERE present",
-    "cite_all_absent": f"WITH {_CITED_ALL} SELECT row_id, document_type, document_id, field_path, '{E.ABSENT}' AS note FROM cited WHERE NOT present",
+    "field_paths": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, field_path, value FROM ({of(t, 'row_id')})" for t, of in _OF.items()),
+    "cite_fields": f"WITH {_CITED} SELECT row_id, document_type, document_id, field_path, value FROM cited WHERE present",
+    "try_cite_absent": f"WITH {_CITED} SELECT row_id, document_type, document_id, field_path, '{E.ABSENT}' AS note FROM cited WHERE NOT present",
     "evidence_packs": """
 WITH d AS (SELECT pack_id, document_id, min(ord) AS o FROM evidence_items WHERE pack_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
 dd AS (SELECT pack_id, string_agg(document_id, ',' ORDER BY o, document_id) AS documents FROM d GROUP BY pack_id)

@@ -17,72 +17,69 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    return W.text_words(_texts(spark, d))
+def _documents(spark: SparkSession, d: str) -> layout.Documents:
+    return W.text_documents(_texts(spark, d))
+
+
+def _with_key(spark: SparkSession, d: str) -> layout.Documents:
+    """Documents in which a business key may stand at the beginning of a word; the rest is not scanned."""
+    return W.text_documents(_texts(spark, d).where(F.col("text").rlike(KEY.lstrip("^"))))
 
 
 def document_words(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).drop("word_no")
+    return _documents(spark, d).flat()
 
 
 def row_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return layout.rows(layout.page_rows(_words(spark, d))).select("doc_id", "page", "page_row_no", "text", "y0")
+    return layout.rows(_documents(spark, d)).select("doc_id", "page", "page_row_no", "text", F.col("top").alias("y0"))
 
 
 def document_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = layout.document_rows(layout.page_rows(_words(spark, d)), W.GRID_HEIGHT)
-    return docs.select("doc_id", "page_count", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text"))
+    return layout.texts(_documents(spark, d)).select("doc_id", "page_count", "text")
 
 
 def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
-    w = layout.rows(layout.page_rows(_words(spark, d)))
-    return w.select("doc_id", "page", "page_row_no", layout.box(F.col("words")).alias("b")).select("doc_id", "page", "page_row_no", "b.*")
+    return layout.rows(_documents(spark, d)).drop("text", "top")
 
 
 def parse_figures(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words that are figures, with their value and count."""
-    w = _words(spark, d).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    w = _documents(spark, d).flat().groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     return w.select("text", numbers.figure(F.col("text")).alias("value"), "n").where("value is not null")
 
 
 def first_row_containing(spark: SparkSession, d: str) -> DataFrame:
-    docs = layout.document_rows(layout.page_rows(_words(spark, d)), W.GRID_HEIGHT)
-    return docs.select("doc_id", lookup.row_index(F.col("rows"), "line", "is above").alias("row_no")).where("row_no is not null")
+    return lookup.first_row(_documents(spark, d), "line", "is above")
 
 
 def literal_search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.search(layout.rows(layout.page_rows(_words(spark, d))), NEEDLE)
+    return lookup.search(_documents(spark, d), NEEDLE)
 
 
 def pattern_search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.search_pattern(_words(spark, d), KEY).select("doc_id", "page", "text", "x0", "y0", "x1", "y1")
+    return lookup.search_pattern(_with_key(spark, d), KEY)
 
 
 def reference_scan(spark: SparkSession, d: str) -> DataFrame:
     """The first business key of each document."""
-    return lookup.first_hit(lookup.search_pattern(_words(spark, d), KEY)).select("doc_id", "page", "text")
+    return lookup.first_hit(_with_key(spark, d), lookup.pattern(KEY)).select("doc_id", "page", "text")
 
 
 def value_beside_right(spark: SparkSession, d: str) -> DataFrame:
-    w = _words(spark, d)
-    return lookup.value_beside(w.where(F.col("text") == LABEL), w, "right").select("doc_id", "page", "text", "x0", "y0", "x1", "y1")
+    return lookup.value_beside(_documents(spark, d).holding([LABEL]), lookup.word(LABEL), "right")
 
 
 def value_beside_below(spark: SparkSession, d: str) -> DataFrame:
-    w = _words(spark, d)
-    return lookup.value_beside(w.where(F.col("text") == "INVOICE"), w, "below").select("doc_id", "page", "text", "x0", "y0", "x1", "y1")
+    return lookup.value_beside(_documents(spark, d).holding(["INVOICE"]), lookup.word("INVOICE"), "below")
 
 
 def row_widening(spark: SparkSession, d: str) -> DataFrame:
-    w, pages = _words(spark, d), W.text_pages(_texts(spark, d))
-    hits = lookup.search_pattern(w, KEY).select("doc_id", "page", "word_no", "text", "x0", "y0", "x1", "y1")
-    return lookup.row_containing(hits, w, pages, ["doc_id", "word_no"]).select("doc_id", "page", "text", "x0", "y0", "x1", "y1")
+    return lookup.widened_rows(_with_key(spark, d), lookup.pattern(KEY), W.GRID_WIDTH)
 
 
 def crop_rectangles(spark: SparkSession, d: str) -> DataFrame:
-    pages = W.text_pages(_texts(spark, d))
-    hits = lookup.search_pattern(_words(spark, d), KEY).select("doc_id", "page", "text", "x0", "y0", "x1", "y1")
-    return lookup.crop(hits, pages).select("doc_id", "page", "text", "cx0", "cy0", "cx1", "cy1")
+    hits = lookup.search_pattern(_with_key(spark, d), KEY)
+    return lookup.crop(hits, (W.GRID_WIDTH, W.GRID_HEIGHT)).select("doc_id", "page", "text", "cx0", "cy0", "cx1", "cy1")
 
 
 def text_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +87,7 @@ def text_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_layer_status(spark: SparkSession, d: str) -> DataFrame:
-    w = _words(spark, d)
-    return layout.status(layout.document_rows(layout.page_rows(w), W.GRID_HEIGHT), W.text_pages(_texts(spark, d)))
+    return layout.status(_documents(spark, d)).drop("document_type")
 
 
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:

@@ -1,39 +1,50 @@
-"""Sources of words: text laid out on a grid, and documents rendered to pages.
+"""Sources of words: text laid out on a grid, and records printed to pages.
 
-``text_words`` sets a text in a fixed pitch, 60 lines to a page, so that every operator on
-words runs on tables of plain text. ``render_*`` print the records of parsed documents with
+``text_documents`` sets a text in a fixed pitch, 60 lines to a page, so that every operator on
+words runs on tables of plain text. ``printed_*`` print the records of parsed documents with
 the geometry of the three layouts; reading them back must give the records (see extract).
 ``pdf_words`` reads files where a decoder is installed and reports a status where none is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.operators.document import Words
+from tallyfold.operators.layout import Documents
+
 LINES_PER_PAGE, LINE_PITCH, TOP, CHAR, GLYPH_HEIGHT = 60, 12.0, 40.0, 6.0, 10.0
 GRID_WIDTH, GRID_HEIGHT = 6000.0, 800.0
 
+_PIECE = re.compile("[^ ]+")
+
+
+def set_on_grid(text: str | None) -> Words:
+    """Words of a text: line n is at page n div 60, the word at character c of it at x = 6 c; a null text has one page without words."""
+    words = Words(pages=1)
+    for n, line in enumerate(text.split("\n") if text else ()):
+        page, y = n // LINES_PER_PAGE, (n % LINES_PER_PAGE) * LINE_PITCH + TOP
+        for m in _PIECE.finditer(line):
+            words.add(page, m.group(), m.start() * CHAR, y, m.end() * CHAR, y + GLYPH_HEIGHT)
+        words.pages = page + 1
+    return words
+
 
-def text_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """words of a text: line n is at page n div 60, the word at character c of it at x = 6 c."""
-    lines = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    pieces = F.split("s", " ")
-    # offset of each piece: lengths of those before it and the blanks between
-    placed = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,c:int>>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.when(p != "", F.concat(acc["out"], F.array(F.struct(p.alias("text"), acc["at"].alias("c"))))).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"],
-    )
-    y = (F.col("line") % LINES_PER_PAGE) * LINE_PITCH + TOP
-    return lines.select("doc_id", "line", F.posexplode(placed).alias("k", "w")).select(
-        "doc_id", F.floor(F.col("line") / LINES_PER_PAGE).cast("int").alias("page"), (F.col("line").cast("bigint") * 100_000 + F.col("k")).alias("word_no"), F.col("w.text").alias("text"),
-        (F.col("w.c") * CHAR).alias("x0"), y.alias("y0"), ((F.col("w.c") + F.length("w.text")) * CHAR).alias("x1"), (y + GLYPH_HEIGHT).alias("y1"),
-    )
+def _grid(batch: pa.RecordBatch) -> Iterator[tuple[object, Words]]:
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        yield doc, set_on_grid(text)
+
+
+def text_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Documents:
+    """Texts as documents on the grid."""
+    return Documents(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), _grid, GRID_HEIGHT, "text")
 
 
 def text_pages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,108 +60,142 @@ ROW_PITCH, BODY_BOTTOM, SIZE, NARROW = 18.4, 446.0, 8.0, 2.4
 FIRST_ROWS = int((BODY_BOTTOM - TABLE_Y) / ROW_PITCH)
 NEXT_ROWS = int((BODY_BOTTOM - NEXT_TABLE_Y) / ROW_PITCH)
 
-_CELL = "struct<page:int,x:double,y:double,right:boolean,text:string>"
+_BLANKS = re.compile(r"[ \t\r\n]+")
 
 
-def clean(text: Column) -> Column:
-    """Blanks collapsed; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), F.lit(""))
+def clean(text: str | None) -> str | None:
+    """Blanks collapsed; None if nothing is left."""
+    return (_BLANKS.sub(" ", text).strip(" ") or None) if text else None
 
 
-def _cell(page: Column | int, x: float, y: Column | float, text: Column | str, right: bool = False) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(lit(page).cast("int").alias("page"), F.lit(float(x)).alias("x"), lit(y).cast("double").alias("y"), F.lit(right).alias("right"), (clean(text) if isinstance(text, Column) else F.lit(text)).alias("text"))
+def _printed(value: float | None) -> str | None:
+    return None if value is None or not math.isfinite(value) else f"{value:,.2f}"
 
 
-def _labelled(y: float, *fields: tuple[float, str, Column]) -> list[Column]:
-    return [c for x, label, value in fields for c in (_cell(0, x, y, label), _cell(0, x, y + 11, value))]
+def row_page(n: int) -> int:
+    return 0 if n < FIRST_ROWS else (n - FIRST_ROWS) // NEXT_ROWS + 1
 
 
-def _party(x: float, heading: str, party: Column) -> list[Column]:
-    """A heading with up to four lines beneath it, close together; missing ones leave no gap, and without any there is no heading."""
-    lines = F.filter(F.array(
-        clean(party["name"]), F.concat(F.lit("Account "), clean(party["vendor_id"])), F.concat(F.lit("Tax reg. "), clean(party["tax_registration"])), clean(party["location"]),
-    ), lambda s: s.isNotNull())
-    some = F.when(F.size(lines) > 0, F.lit(heading))
-    return [_cell(0, x, PARTY_Y, some)] + [_cell(0, x, PARTY_Y + 13 + 12 * i, F.get(lines, F.lit(i))) for i in range(4)]
+def row_y(n: int) -> float:
+    return TABLE_Y + ROW_PITCH * (n + 1) if n < FIRST_ROWS else NEXT_TABLE_Y + ROW_PITCH * ((n - FIRST_ROWS) % NEXT_ROWS + 1)
 
 
-def row_page(i: Column) -> Column:
-    return F.when(i < FIRST_ROWS, 0).otherwise(F.floor((i - FIRST_ROWS) / NEXT_ROWS) + 1).cast("int")
+class Sheet(Words):
+    """Pages that are being printed: cells of text at a place, left- or right-aligned."""
 
+    __slots__ = ()
 
-def row_y(i: Column) -> Column:
-    return F.when(i < FIRST_ROWS, TABLE_Y + ROW_PITCH * (i + 1)).otherwise(NEXT_TABLE_Y + ROW_PITCH * ((i - FIRST_ROWS) % NEXT_ROWS + 1))
+    def cell(self, page: int, x: float, y: float, text: str | None, right: bool = False) -> None:
+        if text is None:
+            return
+        left = x - len(text) * NARROW if right else x
+        at = 0
+        for word in text.split(" "):
+            x0 = left + at * NARROW
+            self.add(page, word, x0, y - SIZE, x0 + len(word) * NARROW, y + 0.3 * SIZE)
+            at += len(word) + 1
 
+    def labelled(self, y: float, *fields: tuple[float, str, str | None]) -> None:
+        """Labels in a row, each with its value beneath it."""
+        for x, label, value in fields:
+            self.cell(0, x, y, label)
+            self.cell(0, x, y + 11, clean(value))
 
-def _words(df: DataFrame, doc_id: str, title: str, fixed: list[Column], heads: list[tuple[float, str, bool]], rows: Column, tail: list) -> DataFrame:
-    """Cells of a document as words. rows: array of arrays of cells by row; tail: (x, text column, right, row after the last)."""
-    n = F.size(rows)
-    last = row_page(n + 4)
-    pages = F.sequence(F.lit(0), last)
-    head_y = lambda p: F.when(p == 0, TABLE_Y).otherwise(NEXT_TABLE_Y)
-    on_pages = F.flatten(F.transform(pages, lambda p: F.array(
-        _cell(p, 101, TITLE_Y, title), _cell(p, 480, FOOT_Y, F.concat(F.lit("Page "), (p + 1).cast("string"), F.lit(" of "), (last + 1).cast("string"))),
-        *(_cell(p, x, head_y(p), text, right) for x, text, right in heads),
-    )))
-    after = F.array(*(_cell(row_page(n + k), x, row_y(n + k), text, right) for x, text, right, k in tail)) if tail else F.array().cast(f"array<{_CELL}>")
-    fixed = [*fixed, _cell(0, 57, TABLE_Y - 10, "ITEMS"), _cell(0, 317, TABLE_Y - 10, "ITEMS")]
-    cells = F.filter(F.concat(F.array(*fixed).cast(f"array<{_CELL}>"), on_pages.cast(f"array<{_CELL}>"), F.flatten(rows).cast(f"array<{_CELL}>"), after.cast(f"array<{_CELL}>")), lambda c: c["text"].isNotNull())
-    one = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(cells).alias("cell", "c"))
-    parts = F.split("c.text", " ")
-    before = lambda i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + 1)
-    left = F.when(F.col("c.right"), F.col("c.x") - F.length("c.text") * NARROW).otherwise(F.col("c.x"))
-    w = one.select("doc_id", "cell", "c", left.alias("left"), F.posexplode(F.transform(parts, lambda p, i: F.struct(p.alias("text"), before(i).alias("at")))).alias("k", "w"))
-    x0 = F.col("left") + F.col("w.at") * NARROW
-    return w.select("doc_id", F.col("c.page").alias("page"), (F.col("cell").cast("bigint") * 1000 + F.col("k")).alias("word_no"), F.col("w.text").alias("text"), x0.alias("x0"), (F.col("c.y") - SIZE).alias("y0"), (x0 + F.length("w.text") * NARROW).alias("x1"), (F.col("c.y") + 0.3 * SIZE).alias("y1"))
+    def party(self, x: float, heading: str, party: dict | None) -> None:
+        """A heading with up to four lines beneath it, close together; missing ones leave no gap, and without any there is no heading."""
+        party = party or {}
+        name, vendor, tax, location = (clean(party.get(k)) for k in ("name", "vendor_id", "tax_registration", "location"))
+        lines = [s for s in (name, vendor and f"Account {vendor}", tax and f"Tax reg. {tax}", location) if s]
+        if lines:
+            self.cell(0, x, PARTY_Y, heading)
+        for n, line in enumerate(lines):
+            self.cell(0, x, PARTY_Y + 13 + 12 * n, line)
 
-
-def _figure(value: Column) -> Column:
-    return F.format_number(value, 2)
-
-
-def _lines(lines: Column, columns: tuple[tuple[str, float], ...]) -> Column:
-    """Printed rows of line items: number, description, unit, then figures right-aligned under their headings."""
-    return F.transform(F.coalesce(lines, F.array().cast("array<struct<line_number:int,description:string,unit_of_measure:string,quantity:double,unit_price:double,net_amount:double,tax_rate:double,tax_amount:double,line_total:double>>")), lambda x, i: F.array(
-        _cell(row_page(i), 57, row_y(i), x["line_number"].cast("string")), _cell(row_page(i), 82, row_y(i), x["description"]), _cell(row_page(i), 272, row_y(i), x["unit_of_measure"]),
-        *(_cell(row_page(i), at, row_y(i), _figure(x[name]), True) for name, at in columns),
-    ))
+    def table(self, title: str, heads: list[tuple[float, str, bool]], rows: list[list[tuple[float, str | None, bool]]], tail: list[tuple[float, str | None, bool, int]]) -> None:
+        """Rows over as many pages as they need, on each the title, the folio and the headings; then the cells after the last row."""
+        n = len(rows)
+        last = row_page(n + 4)
+        self.cell(0, 57, TABLE_Y - 10, "ITEMS")
+        self.cell(0, 317, TABLE_Y - 10, "ITEMS")
+        for page in range(last + 1):
+            self.cell(page, 101, TITLE_Y, title)
+            self.cell(page, 480, FOOT_Y, f"Page {page + 1} of {last + 1}")
+            for x, text, right in heads:
+                self.cell(page, x, NEXT_TABLE_Y if page else TABLE_Y, text, right)
+        for k, row in enumerate(rows):
+            page, y = row_page(k), row_y(k)
+            for x, text, right in row:
+                self.cell(page, x, y, text, right)
+        for x, text, right, after in tail:
+            self.cell(row_page(n + after), x, row_y(n + after), text, right)
+        self.pages = last + 1
 
 
 INVOICE_COLUMNS = (("quantity", 324.0), ("unit_price", 404.0), ("net_amount", 453.0), ("tax_rate", 475.0), ("line_total", 536.0))
 ORDER_COLUMNS = (("quantity", 332.0), ("unit_price", 404.0), ("net_amount", 453.0))
 
 
-def render_invoices(df: DataFrame, doc_id: str = "row_id") -> DataFrame:
-    c = F.col
-    fixed = _labelled(LABEL_Y, (57, "INVOICE NUMBER", c("document_id")), (170, "ISSUE DATE", c("issue_date")), (278, "DUE DATE", c("due_date")), (386, "CURRENCY", c("currency")), (476, "TERMS", c("payment_terms")))
-    fixed += _labelled(LABEL2_Y, (57, "PURCHASE ORDER REFERENCE", c("po_reference"))) + _party(57, "SELLER", c("seller")) + _party(317, "BILL TO", c("buyer"))
+def _items(lines: list[dict] | None, columns: tuple[tuple[str, float], ...]) -> list[list[tuple]]:
+    """Printed rows of line items: number, description, unit, then figures right-aligned under their headings."""
+    out = []
+    for x in lines or ():
+        x = x or {}
+        number = x.get("line_number")
+        row = [(57, None if number is None else str(number), False), (82, clean(x.get("description")), False), (272, clean(x.get("unit_of_measure")), False)]
+        out.append([*row, *((at, _printed(x.get(name)), True) for name, at in columns)])
+    return out
+
+
+def print_invoice(r: dict) -> Words:
+    sheet, totals = Sheet(), r["totals"] or {}
+    sheet.labelled(LABEL_Y, (57, "INVOICE NUMBER", r["document_id"]), (170, "ISSUE DATE", r["issue_date"]), (278, "DUE DATE", r["due_date"]), (386, "CURRENCY", r["currency"]), (476, "TERMS", r["payment_terms"]))
+    sheet.labelled(LABEL2_Y, (57, "PURCHASE ORDER REFERENCE", r["po_reference"]))
+    sheet.party(57, "SELLER", r["seller"])
+    sheet.party(317, "BILL TO", r["buyer"])
     heads = [(57, "LN", False), (82, "DESCRIPTION", False), (272, "UOM", False), (324, "QTY", True), (404, "UNIT PRICE", True), (453, "NET", True), (475, "VAT%", True), (536, "LINE TOTAL", True)]
-    tail = [(435, F.lit("SUBTOTAL"), False, 1), (540, _figure(c("totals.subtotal")), True, 1), (435, F.lit("VAT TOTAL"), False, 2), (540, _figure(c("totals.tax_total")), True, 2), (410, F.lit("TOTAL DUE"), False, 3), (540, _figure(c("totals.grand_total")), True, 3)]
-    return _words(df, doc_id, "COMMERCIAL INVOICE", fixed, heads, _lines(c("lines"), INVOICE_COLUMNS), tail)
+    tail = [(x, t, right, n) for n, at, label, field in ((1, 435, "SUBTOTAL", "subtotal"), (2, 435, "VAT TOTAL", "tax_total"), (3, 410, "TOTAL DUE", "grand_total")) for x, t, right in ((at, label, False), (540, _printed(totals.get(field)), True))]
+    sheet.table("COMMERCIAL INVOICE", heads, _items(r["lines"], INVOICE_COLUMNS), tail)
+    return sheet
 
 
-def render_orders(df: DataFrame, doc_id: str = "row_id") -> DataFrame:
-    c = F.col
-    fixed = _labelled(LABEL_Y, (57, "PO NUMBER", c("document_id")), (170, "ORDER DATE", c("order_date")), (278, "DELIVERY BY", c("delivery_date")), (386, "REQUISITION", c("requisition_number")), (476, "CURRENCY", c("currency")))
-    fixed += _labelled(LABEL2_Y, (57, "PAYMENT TERMS", c("payment_terms")), (278, "CONTRACT REFERENCE", c("contract_reference"))) + _party(57, "SUPPLIER", c("vendor"))
+def print_order(r: dict) -> Words:
+    sheet = Sheet()
+    sheet.labelled(LABEL_Y, (57, "PO NUMBER", r["document_id"]), (170, "ORDER DATE", r["order_date"]), (278, "DELIVERY BY", r["delivery_date"]), (386, "REQUISITION", r["requisition_number"]), (476, "CURRENCY", r["currency"]))
+    sheet.labelled(LABEL2_Y, (57, "PAYMENT TERMS", r["payment_terms"]), (278, "CONTRACT REFERENCE", r["contract_reference"]))
+    sheet.party(57, "SUPPLIER", r["vendor"])
     heads = [(57, "ITEM", False), (82, "DESCRIPTION", False), (272, "UOM", False), (332, "ORDERED", True), (404, "UNIT PRICE", True), (453, "NET", True)]
-    return _words(df, doc_id, "PURCHASE ORDER", fixed, heads, _lines(c("lines"), ORDER_COLUMNS), [(410, F.lit("ORDER VALUE EUR"), False, 1), (540, _figure(c("order_value")), True, 1)])
+    sheet.table("PURCHASE ORDER", heads, _items(r["lines"], ORDER_COLUMNS), [(410, "ORDER VALUE EUR", False, 1), (540, _printed(r["order_value"]), True, 1)])
+    return sheet
+
+
+def print_contract(r: dict) -> Words:
+    sheet, terms = Sheet(), clean(r["payment_terms"])
+    sheet.labelled(LABEL_Y, (57, "CONTRACT REFERENCE", r["document_id"]), (170, "EFFECTIVE DATE", r["effective_date"]), (278, "EXPIRY DATE", r["expiry_date"]), (386, "GOVERNING LAW", r["governing_law"]))
+    sheet.party(57, "COUNTERPARTY", r["counterparty"])
+    rates = [[(57, clean(x.get("description")), False), (300, clean(x.get("unit_of_measure")), False), (480, _printed(x.get("max_unit_price")), True)] for x in (y or {} for y in r["rate_schedule"] or ())]
+    tail = [(57, terms and f"Clause 7 Invoices are settled on {terms} terms and not before.", False, 1), (57, "Clause 8 Renewal is by agreement in writing.", False, 2)]
+    sheet.table("MASTER SUPPLY AGREEMENT", [(57, "ITEM DESCRIPTION", False), (300, "UOM", False), (480, "MAXIMUM UNIT RATE", True)], rates, tail)
+    return sheet
+
+
+#: Of each table: how its records are printed, and the columns that takes.
+PRINTERS: dict[str, tuple[Callable[[dict], Words], tuple[str, ...]]] = {
+    "invoices": (print_invoice, ("document_id", "issue_date", "due_date", "currency", "payment_terms", "po_reference", "seller", "buyer", "lines", "totals")),
+    "purchase_orders": (print_order, ("document_id", "order_date", "delivery_date", "requisition_number", "currency", "payment_terms", "contract_reference", "vendor", "lines", "order_value")),
+    "contracts": (print_contract, ("document_id", "effective_date", "expiry_date", "governing_law", "payment_terms", "counterparty", "rate_schedule")),
+}
 
 
-def render_contracts(df: DataFrame, doc_id: str = "row_id") -> DataFrame:
-    c = F.col
-    fixed = _labelled(LABEL_Y, (57, "CONTRACT REFERENCE", c("document_id")), (170, "EFFECTIVE DATE", c("effective_date")), (278, "EXPIRY DATE", c("expiry_date")), (386, "GOVERNING LAW", c("governing_law")))
-    fixed += _party(57, "COUNTERPARTY", c("counterparty"))
-    heads = [(57, "ITEM DESCRIPTION", False), (300, "UOM", False), (480, "MAXIMUM UNIT RATE", True)]
-    rates = F.transform(F.coalesce(c("rate_schedule"), F.array().cast("array<struct<description:string,unit_of_measure:string,max_unit_price:double>>")), lambda x, i: F.array(
-        _cell(row_page(i), 57, row_y(i), x["description"]), _cell(row_page(i), 300, row_y(i), x["unit_of_measure"]), _cell(row_page(i), 480, row_y(i), _figure(x["max_unit_price"]), True),
-    ))
-    return _words(df, doc_id, "MASTER SUPPLY AGREEMENT", fixed, heads, rates, [(57, F.concat(F.lit("Clause 7 Invoices are settled on "), clean(c("payment_terms")), F.lit(" terms and not before.")), False, 1), (57, F.lit("Clause 8 Renewal is by agreement in writing."), False, 2)])
+def printed_documents(df: DataFrame, table: str, doc_id: str = "row_id", changed: Callable[[Words], Words] | None = None) -> Documents:
+    """Records of a table as printed documents; ``changed`` may print over them, as a fault of the file would."""
+    printer, columns = PRINTERS[table]
 
+    def printed(batch: pa.RecordBatch) -> Iterator[tuple[object, Words]]:
+        for row in batch.to_pylist():
+            words = printer(row)
+            yield row["_id"], changed(words) if changed else words
 
-def rendered_pages(words: DataFrame) -> DataFrame:
-    return words.groupBy("doc_id").agg((F.max("page") + 1).alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    return Documents(df.select(F.col(doc_id).alias("_id"), *columns), printed, HEIGHT)
 
 
 PDF_SCHEMA = "path string, status string, page int, word_no bigint, text string, x0 double, y0 double, x1 double, y1 double, width double, height double"

@@ -1,6 +1,5 @@
 from tallyfold.api import ALL_TOOLS, Workbench
 from tallyfold.operators import evidence, render
-from tallyfold.sources import words as W
 
 DOC = "document_id string, document_type string, source_system string, currency string, po_reference string, lines array<struct<line_number:int,description:string,unit_of_measure:string,quantity:double,unit_price:double,net_amount:double,tax_rate:double,tax_amount:double,line_total:double>>, totals struct<subtotal:double,tax_total:double,grand_total:double>, order_value double"
 
@@ -39,16 +38,21 @@ def test_packs(spark):
 def test_agent_functions_never_raise(spark):
     docs = documents(spark)
     words = spark.createDataFrame([("INV-1", 0, 1, "Total", 10.0, 10.0, 40.0, 20.0), ("INV-1", 0, 2, "due", 45.0, 11.0, 60.0, 21.0), ("INV-1", 0, 3, "30.00", 90.0, 10.0, 120.0, 20.0)], "doc_id string, page int, word_no long, text string, x0 double, y0 double, x1 double, y1 double")
-    wb = Workbench(docs, words, W.rendered_pages(words))
+    pages = spark.createDataFrame([("INV-1", 0, 595.0, 842.0)], "doc_id string, page int, width double, height double")
+    wb = Workbench(docs, words, pages)
     assert wb.read_document_fields("INV-1")["document"]["currency"] == "EUR"
     for bad in ("../../etc/passwd", "", None, ".hidden", 7):
         assert wb.read_document_fields(bad)["ok"] is False and wb.check_document_arithmetic(bad)["ok"] is False
     r = wb.check_document_arithmetic("INV-1.pdf")
     assert [d["check"] for d in r["material_discrepancies"]] == ["grand_total"] and r["material_discrepancies"][0]["difference"] == 3.96
     assert wb.find_value_in_document("INV-1", "Total due")["hits"] == [{"text": "Total due", "page": 0, "x0": 10.0, "y0": 10.0, "x1": 60.0, "y1": 21.0}]
-    assert wb.find_value_in_document("INV-1", "nope") == {"ok": True, "found": False, "hits": []}
+    none = wb.find_value_in_document("INV-1.pdf ", "nope")
+    assert none["ok"] and none["found"] is False and none["hits"] == []
+    for bad in ("INV-2", None, "../x", ".pdf"):
+        assert wb.find_value_in_document(bad, "Total due")["ok"] is False and wb.snip_value_from_document(bad, "Total due")["ok"] is False
+    assert wb.find_value_in_document("archive/INV-1.pdf", "Total due")["found"]
     s = wb.snip_value_from_document("INV-1", "Total due")
-    assert s["text"] == "Total due 30.00" and s["rectangle"] == [0.0, 0.5, 132.0, 30.5]
+    assert s["text"] == "Total due 30.00" and s["rectangle"] == [0.0, 0.5, 132.0, 30.5] and s["image_path"] == "INV-1-Total_due.png" and s["occurrences_found"] == 1
     assert wb.snip_value_from_document("INV-1", "nope")["found"] is False
     for bad in ([], None, [{"document_id": "INV-1"}], [{"field_path": "x"}], [{"document_id": "Z", "field_path": "x"}]):
         assert wb.build_evidence_pack("c", bad)["ok"] is False
@@ -57,12 +61,28 @@ def test_agent_functions_never_raise(spark):
     assert set(wb.tools()) == set(ALL_TOOLS)
 
 
+def test_a_workbench_over_words(spark):
+    from tallyfold.sources import words as W
+    from tests.test_layout import INVOICE
+
+    w = W.print_invoice(INVOICE)
+    rows = [("scan-7", p, k, *x) for k, (p, *x) in enumerate(zip(w.page, w.text, w.x0, w.y0, w.x1, w.y1))] + [("blank", 0, 0, None, None, None, None, None)]
+    words = spark.createDataFrame(rows, "doc_id string, page int, word_no long, text string, x0 double, y0 double, x1 double, y1 double")
+    wb = Workbench.of_words(words, None, W.HEIGHT)
+    got = wb.read_document_fields("scan-7.pdf")
+    assert got["ok"] and got["document"]["printed_id"] == "INV-1" and "lines[0].unit_price" in got["locatable_fields"] and "document_id" in got["locatable_fields"]
+    assert wb.read_document_fields("blank")["requires_extraction_service"] is True
+    pack = wb.build_evidence_pack("c", [{"document_id": "scan-7", "field_path": "totals.grand_total"}])
+    assert pack["ok"] and pack["items"][0]["value"] == "26.04" and pack["items"][0]["page"] == W.row_page(42) and pack["items"][0]["bounding_box"]["x1"] > 0
+    assert "Prepared " in pack["markdown"]
+
+
 def test_evidence_on_every_type_is_cited_or_absent(spark, tiny):
     from tallyfold.plans import evidence as plans
     from tallyfold.sources.tables import table
 
     asked = sorted(r["row_id"] for r in table(spark, tiny, "evidence_items").collect())
-    cited, absent = plans.cite_all(spark, tiny).collect(), plans.cite_all_absent(spark, tiny).collect()
+    cited, absent = plans.cite_fields(spark, tiny).collect(), plans.try_cite_absent(spark, tiny).collect()
     assert sorted(r["row_id"] for r in cited + absent) == asked
     assert {r["document_type"] for r in cited} == {"invoice", "purchase_order", "contract"}
     assert any(r["field_path"].startswith("rate_schedule[") for r in cited)
