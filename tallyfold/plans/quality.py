@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.operators import nested, orphans, profile
-from tallyfold.sources.tables import cut, spread, table
+from tallyfold.sources.tables import spread, table
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -64,55 +64,38 @@ def _flat(child: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: nested.flat(_nodes(spark, d), child)
 
 
-#: Tables that are profiled whole, with the columns that identify a row
-PROFILED = {"invoices": "row_id", "purchase_orders": "row_id", "evidence_items": "row_id"}
-
-
-def _cells(spark: SparkSession, d: str, columns: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    out = None
-    for name, picked in columns.items():
-        one = profile.cells(table(spark, d, name), name, picked, PROFILED[name])
-        out = one if out is None else out.unionByName(one)
-    return out
+#: Tables that are profiled whole: the column that identifies a row, and that of its load, if there is one
+PROFILED = {
+    "invoices": ("row_id", "load_id"), "purchase_orders": ("row_id", "load_id"), "evidence_items": ("row_id", "load_id"),
+    "contracts": ("row_id", None), "raw_records": ("record_id", None), "documents": ("doc_id", None),
+}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     asked: dict[str, list[tuple[str, str]]] = {}
     for name, column in profile.FORMS:
         asked.setdefault(name, []).append((column, f"`{column}`"))
-    return profile.findings(_cells(spark, d, asked), profile.FORMS, form_only={"purchase_orders"}, no_shift={"po_reference"})
-
-
-def _leaves(spark: SparkSession, d: str) -> dict[str, list[tuple[str, str, T.DataType]]]:
-    """Every column that is profiled, by table."""
-    return {name: [x for x in profile.leaf_columns(table(spark, d, name).schema) if x[0] not in (row_id, "load_id")] for name, row_id in PROFILED.items()}
+    cells = reduce(DataFrame.unionByName, (profile.cells(table(spark, d, name), name, picked) for name, picked in asked.items()))
+    return profile.findings(cells, profile.FORMS, form_only={"purchase_orders"}, no_shift={"po_reference"})
 
 
 def _all_counts(spark: SparkSession, d: str) -> DataFrame:
-    columns = {name: [x[:2] for x in leaves] for name, leaves in _leaves(spark, d).items()}
-    return profile.with_validity(profile.value_counts(_cells(spark, d, columns)), profile.FORMS)
+    """Exact counts of the values of every column of every table, fields of structs and arrays included."""
+    parts = []
+    for name, (row_id, load) in PROFILED.items():
+        df = table(spark, d, name)
+        parts.append(profile.all_cells(df, name, [x for x in profile.leaf_columns(df.schema) if x.name not in (row_id, load)], load))
+    return profile.with_validity(profile.value_counts(reduce(DataFrame.unionByName, parts)), profile.FORMS)
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.profile(_all_counts(spark, d))
 
 
-#: Rows of a table, about, by which the ranges of its columns are laid
-SAMPLED = 20_000
-
-
 def p5_shift(spark: SparkSession, d: str) -> DataFrame:
-    """Every profiled column: rows are counted in full by category; only where ranges begin is taken from a sample."""
-    marked = sample = None
-    leaves = _leaves(spark, d)
-    for name, picked in leaves.items():
-        df, columns = table(spark, d, name), [x[:2] for x in picked]
-        one_in = df.count() // SAMPLED + 1
-        some = df.where(F.pmod(F.xxhash64(PROFILED[name]), F.lit(one_in)) == 0)
-        every, part = (profile.with_validity(profile.cells(x, name, columns, PROFILED[name]), profile.FORMS) for x in (df, some))
-        marked, sample = (every, part) if marked is None else (marked.unionByName(every), sample.unionByName(part))
-    numeric = {(name, x[0]) for name, picked in leaves.items() for x in picked if isinstance(x[2], T.NumericType)}
-    counts = cut(profile.binned(marked, profile.categories(sample, numeric)))
+    """Change of distribution of every column of the tables that come in loads."""
+    with_loads = [name for name, (_, load) in PROFILED.items() if load]
+    counts = profile.categories(_all_counts(spark, d).where(F.col("table_name").isin(*with_loads)))
     return profile.shifts(counts).select("table_name", "column_name", "load_id", "n_valid", F.round("distance", 6).alias("distance"), F.round("psi", 4).alias("psi"), F.round("chi2", 2).alias("chi2"))
 
 
@@ -170,6 +153,53 @@ grid AS (
 )
 """
 
+_PARTY = ("name", "vendor_id", "tax_registration", "location")
+_LINE_TEXT, _LINE_NUMBER = ("description", "unit_of_measure"), ("line_number", "quantity", "unit_price", "net_amount", "tax_rate", "tax_amount", "line_total")
+_HEAD = ("document_id", "document_type", "source_system", "source_file", "payment_terms")
+#: Of each table: columns of texts, of numbers and of times, and arrays with their fields of texts and of numbers
+_COLUMNS = {
+    "invoices": (
+        (*_HEAD, "currency", "issue_date", "due_date", "po_reference", *(f"{p}.{c}" for p in ("seller", "buyer") for c in _PARTY)), ("page_count", "totals.subtotal", "totals.tax_total", "totals.grand_total"), ("ingested_at",),
+        {"lines": (_LINE_TEXT, _LINE_NUMBER), "removed_duplicates": (("description", "reason"), ("line_number", "page", "words"))},
+    ),
+    "purchase_orders": (
+        (*_HEAD, "currency", "order_date", "delivery_date", "contract_reference", "requisition_number", *(f"vendor.{c}" for c in _PARTY)), ("page_count", "order_value"), ("ingested_at", "deleted_at"), {"lines": (_LINE_TEXT, _LINE_NUMBER)},
+    ),
+    "evidence_items": (
+        ("pack_id", "source_system", "document_id", "document_type", "field_path", "value", "note"), ("ord", "confidence", "page", *(f"bounding_box.{c}" for c in ("x0", "y0", "x1", "y1"))), ("created_at", "ingested_at"), {},
+    ),
+    "contracts": (
+        (*_HEAD, "effective_date", "expiry_date", "governing_law", *(f"counterparty.{c}" for c in _PARTY)), ("page_count",), ("deleted_at", "ingested_at"), {"rate_schedule": (("description", "unit_of_measure"), ("max_unit_price",))},
+    ),
+    "raw_records": (("feed", "document_type", "raw"), (), ("received_at",), {}),
+    "documents": (("text", "lang", "source", "kind", "about_id"), ("n_chars",), ("received_at",), {}),
+}
+
+
+def _cells_of(t: str) -> str:
+    """SQL of (table_name, column_name, load_id, t, x): one row per cell, with its text or its number."""
+    texts, numbers, times, arrays = _COLUMNS[t]
+    load = PROFILED[t][1] or "CAST(NULL AS INTEGER)"
+    one = lambda name, text, number, src=t: f"SELECT '{t}' AS table_name, '{name}' AS column_name, {load if src == t else 'load_id'} AS load_id, {text} AS t, {number} AS x FROM {src}"
+    none, no_number = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
+    parts = [one(c, c, no_number) for c in texts] + [one(c, none, f"CAST({c} AS DOUBLE)") for c in numbers] + [one(c, none, f"CAST(epoch_us({c}) AS DOUBLE)") for c in times]
+    for a, (inner_texts, inner_numbers) in arrays.items():
+        parts.append(one(a, none, f"CAST(len({a}) AS DOUBLE)"))
+        src = f"(SELECT {load} AS load_id, unnest({a}) AS l FROM {t})"
+        parts += [one(f"{a}[].{c}", f"l.{c}", no_number, src) for c in inner_texts] + [one(f"{a}[].{c}", none, f"CAST(l.{c} AS DOUBLE)", src) for c in inner_numbers]
+    return " UNION ALL ".join(parts)
+
+
+_COUNTS = rf"""
+every AS ({" UNION ALL ".join(_cells_of(t) for t in PROFILED)}),
+counts AS (
+  SELECT *, CASE WHEN t IS NULL AND x IS NULL THEN NULL
+    WHEN column_name = 'payment_terms' AND table_name IN ('invoices', 'purchase_orders') THEN regexp_matches(t, '\ANet ([1-9]|[1-9][0-9]|1[01][0-9]|120)\z')
+    WHEN column_name = 'po_reference' THEN regexp_matches(t, '\APO-[0-9]{{11}}\z') WHEN column_name = 'confidence' THEN x BETWEEN 0 AND 1 ELSE true END AS valid
+  FROM (SELECT table_name, column_name, load_id, t, x, count(*) AS n FROM every GROUP BY ALL)
+)
+"""
+
 ORACLE = {
     "p2_found": f"WITH {_REFS} SELECT ref_table, strftime(seen_at, '%Y-%m') AS ref_month, row_id FROM found WHERE reason IS NOT NULL",
     "p2_report": f"WITH {_REFS} SELECT ref_table, strftime(seen_at, '%Y-%m') AS ref_month, reason, count(*) AS orphans, count(DISTINCT ref) AS keys FROM found WHERE reason IS NOT NULL GROUP BY ALL",
@@ -191,4 +221,27 @@ UNION ALL
 SELECT table_name, column_name, load_id, CAST(0 AS BIGINT), 'shift' FROM grid WHERE column_name <> 'po_reference'
 GROUP BY table_name, column_name, load_id HAVING sum(abs(p - q)) / 2 > 0.4
 """,
+    "p5_profile": f"""WITH {_COUNTS}
+SELECT table_name, column_name, load_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE valid IS NULL), 0) AS BIGINT) AS n_nulls, count(*) FILTER (WHERE valid IS NOT NULL) AS n_distinct, min(t) AS min_text, max(t) AS max_text,
+  min(x) AS min_number, max(x) AS max_number, CAST(min(length(t)) AS INTEGER) AS min_length, CAST(max(length(t)) AS INTEGER) AS max_length, CAST(coalesce(sum(n) FILTER (WHERE NOT valid), 0) AS BIGINT) AS n_violations, max(n) FILTER (WHERE valid IS NOT NULL) AS n_mode
+FROM counts GROUP BY table_name, column_name, load_id""",
+    "p5_shift": rf"""WITH {_COUNTS},
+named AS (SELECT *, CASE WHEN column_name = 'confidence' THEN CAST(least(floor(x * 10), 9) AS INTEGER)::DOUBLE ELSE x END AS y FROM counts WHERE valid AND table_name IN ('invoices', 'purchase_orders', 'evidence_items')),
+whole AS (SELECT table_name, column_name, t, y, sum(n) AS all_n FROM named GROUP BY ALL),
+rules AS (SELECT table_name, column_name, count(*) AS vals, sum(all_n) AS total, min(y) FILTER (WHERE isfinite(y)) AS least, max(y) FILTER (WHERE isfinite(y)) AS most FROM whole GROUP BY ALL),
+placed AS (
+  SELECT c.table_name, c.column_name, c.load_id, c.n, CASE WHEN vals <= {profile.MOST_VALUES} OR w.all_n >= total * {profile.OWN_SHARE} THEN coalesce(c.t, CAST(c.y AS VARCHAR))
+    WHEN c.t IS NULL THEN 'range ' || CASE WHEN NOT isfinite(c.y) THEN 'none' WHEN most > least THEN CAST(CAST(least(floor((c.y - least) / ((most - least) / {profile.RANGES})), {profile.RANGES - 1}) AS INTEGER) AS VARCHAR) ELSE '0' END
+    ELSE 'form ' || left(md5(regexp_replace(regexp_replace(c.t, '\p{{L}}+', 'a', 'g'), '[0-9]+', '9', 'g')), 1) END AS bin
+  FROM named c JOIN rules USING (table_name, column_name) JOIN whole w ON w.table_name = c.table_name AND w.column_name = c.column_name AND w.t IS NOT DISTINCT FROM c.t AND w.y IS NOT DISTINCT FROM c.y
+),
+bins AS (SELECT table_name, column_name, load_id, bin, sum(n) AS n FROM placed GROUP BY ALL),
+shares AS (
+  SELECT l.table_name, l.column_name, l.load_id, l.load_n, coalesce(b.n, 0) / l.load_n AS p, w.all_n / w.col_n AS q
+  FROM (SELECT table_name, column_name, load_id, sum(n) AS load_n FROM bins WHERE load_id IS NOT NULL GROUP BY ALL) l
+  JOIN (SELECT table_name, column_name, bin, sum(n) AS all_n, sum(sum(n)) OVER (PARTITION BY table_name, column_name) AS col_n FROM bins GROUP BY table_name, column_name, bin) w USING (table_name, column_name)
+  LEFT JOIN bins b ON b.table_name = l.table_name AND b.column_name = l.column_name AND b.load_id = l.load_id AND b.bin = w.bin
+)
+SELECT table_name, column_name, load_id, CAST(any_value(load_n) AS BIGINT) AS n_valid, round(sum(abs(p - q)) / 2, 6) AS distance, round(sum((CASE WHEN p = 0 THEN 1e-4 ELSE p END - q) * ln(CASE WHEN p = 0 THEN 1e-4 ELSE p END / q)), 4) AS psi,
+  round(any_value(load_n) * sum((p - q) * (p - q) / q), 2) AS chi2 FROM shares GROUP BY table_name, column_name, load_id""",
 }
