@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.text import valid_path
-from tallyfold.operators.skew import join_hot
+from tallyfold.operators.skew import about_rows, join_hot
 
 ABSENT = "field absent from source document"
 
@@ -75,9 +75,8 @@ def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None
     state = counted.join(of_fields.withColumn("present", F.lit(True)), key, "left")
     if positions is not None:
         state = state.join(positions.select(*key, F.col("page").alias("at_page"), F.col("bounding_box").alias("at_box")), key, "left")
-    total = counted.agg(F.sum("asked")).first()[0] or 0
     spread_by = [c for c in requests.columns if c not in key][:2] or key
-    found = join_hot(requests, state, key, count="asked", total=total, spread_by=spread_by, how="left")
+    found = join_hot(requests, state, key, count="asked", total=about_rows(requests), spread_by=spread_by, how="left")
     present = F.coalesce(F.col("present"), F.lit(False)) & F.coalesce(valid_path(F.col("field_path")), F.lit(False))
     out = found.withColumns({"present": present, "value": F.when(present, F.col("value"))})
     note = F.col("note") if "note" in requests.columns else F.lit(None).cast("string")

@@ -3,8 +3,8 @@
 Parent keys are compressed into runs of consecutive integers. A reference is as-of
 matched to the run that starts at or before it and is an orphan when it lies beyond
 that run's end. References are pre-aggregated to distinct keys before the match, so a
-key that holds a third of all rows costs one row there; the rows themselves are then
-joined with the state of their key, hot keys salted.
+key that holds a third of all rows costs one row there; the rows themselves are then joined
+with the keys that can make one of them an orphan, hot keys salted.
 
 Defined cases: a null or otherwise malformed reference is no reference and gives no
 row; a null ``ingested_at`` gives only the finding of a missing key, with a null month;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyfold.operators.skew import join_hot
+from tallyfold.operators.skew import about_rows, join_hot
 
 #: Printed forms of keys: kind -> (pattern with one group of digits, prefix)
 KEY_FORMS = {
@@ -109,28 +109,42 @@ def key_runs(keys: DataFrame, bucket: int = RUN_BUCKET) -> DataFrame:
 
 
 def beyond_run_end(refs: DataFrame, runs: DataFrame, bucket: int = RUN_BUCKET) -> DataFrame:
-    """As-of match of distinct (kind, key, refs): adds run_start, run_end and missing."""
+    """As-of match of distinct (kind, key, ...) to the run that starts at or before the key: adds missing."""
     b = F.floor(F.col("key") / F.lit(bucket)).alias("bucket")
-    asked = refs.select("kind", b, "key", "refs", F.lit(None).cast("bigint").alias("run_start"), F.lit(None).cast("bigint").alias("run_end"))
-    starts = runs.select("kind", "bucket", F.col("run_start").alias("key"), F.lit(None).cast("bigint").alias("refs"), "run_start", "run_end")
-    w = Window.partitionBy("kind", "bucket").orderBy("key", F.col("run_start").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = refs.select("*", b, F.lit(True).alias("asked"))
+    starts = runs.select("kind", "bucket", F.col("run_start").alias("key"), "run_end")
+    w = Window.partitionBy("kind", "bucket").orderBy("key", F.coalesce("asked", F.lit(False))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.last("run_end", ignorenulls=True).over(w)
     return (
-        asked.unionByName(starts)
-        .withColumn("run_end", F.last("run_end", ignorenulls=True).over(w))
-        .where("refs is not null")
-        .select("kind", "key", "refs", (F.col("run_end").isNull() | (F.col("key") > F.col("run_end"))).alias("missing"))
+        asked.unionByName(starts, allowMissingColumns=True)
+        .withColumn("run_end", end)
+        .where("asked")
+        .select(*refs.columns, (F.col("run_end").isNull() | (F.col("key") > F.col("run_end"))).alias("missing"))
     )
 
 
-def find_orphans(refs: DataFrame, there: DataFrame, *, hot_rows: int = 200_000, hot_share: int = 1_000) -> DataFrame:
+def suspects(refs: DataFrame, there: DataFrame) -> DataFrame:
+    """(kind, key, refs, missing, first_at, deleted_at) of the keys that some row may be an orphan by.
+
+    Rows are reduced to distinct keys with their number and the span of their times before
+    anything else. The runs tell the missing ones; only keys inside a run are looked up in the
+    parents, and only those that arrived after the first row or were deleted before the last
+    are left.
+    """
+    counted = refs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("since"), F.max("at").alias("until"))
+    state = beyond_run_end(counted, key_runs(there)).alias("s")
+    inside = (F.col("s.kind") == F.col("p.kind")) & (F.col("s.key") == F.col("p.key")) & ~F.col("missing")
+    known = state.join(there.alias("p"), inside, "left").select("s.*", "p.first_at", "p.deleted_at")
+    return known.where(F.col("missing") | (F.col("first_at") > F.col("since")) | (F.col("deleted_at") <= F.col("until"))).drop("since", "until")
+
+
+def find_orphans(refs: DataFrame, there: DataFrame, *, hot_rows: int = 50_000, hot_share: int = 1_000) -> DataFrame:
     """(ref_table, row_id, kind, key, at, reason) of every reference without a record.
 
     reason is ``missing``, ``late`` (first ingested after the row) or ``deleted`` (at or before the row).
+    The references are read twice: for their distinct keys, and to be joined with the suspect ones.
     """
-    counted = refs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("refs"))
-    state = beyond_run_end(counted, key_runs(there)).join(there, ["kind", "key"], "left")
-    total = counted.agg(F.sum("refs")).first()[0] or 0
-    joined = join_hot(refs, state, ["kind", "key"], count="refs", total=total, spread_by=["ref_table", "row_id"], hot_rows=hot_rows, hot_share=hot_share)
+    joined = join_hot(refs, suspects(refs, there), ["kind", "key"], count="refs", total=about_rows(refs), spread_by=["ref_table", "row_id"], hot_rows=hot_rows, hot_share=hot_share)
     reason = (
         F.when(F.col("missing"), F.lit("missing"))
         .when(F.col("first_at") > F.col("at"), F.lit("late"))

@@ -87,16 +87,16 @@ def cite_located(spark: SparkSession, d: str) -> DataFrame:
     """All evidence on documents that are there, cited again from what was read of them, with the page and rectangle of each value."""
     asked = table(spark, d, "evidence_items").select("row_id", "document_id", "field_path")
     keys = asked.where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.collect_set("field_path").alias("asked_paths"))
-    parts, places = [], []
+    parts = []
     for name, (_, columns) in W.PRINTERS.items():
         first = table(spark, d, name).where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.min_by(F.struct("row_id", *columns), F.struct("ingested_at", "row_id")).alias("x"))
         read = extract.records(W.printed_documents(first.join(keys.select("k"), "k", "left_semi").select("k", "x.*"), name, "k"))
         fields = [c for c in extract.RECORD if c != "removed_duplicates"]
-        parts.append(E.fields(read.select("doc_id", *fields).join(keys.withColumnRenamed("k", "doc_id"), "doc_id"), ["doc_id"], wanted="asked_paths"))
-        places.append(extract.positions(read).join(keys, F.col("doc_id") == F.col("k")).where(F.array_contains("asked_paths", F.col("field_path"))).select(F.col("doc_id").alias("document_id"), "field_path", "page", "bounding_box"))
-    of = reduce(DataFrame.unionByName, parts).withColumnRenamed("doc_id", "document_id")
-    cited = E.cite(asked, of, reduce(DataFrame.unionByName, places)).where("bounding_box is not null")
-    return cited.select("row_id", "field_path", "page", *(F.round(f"bounding_box.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+        of = E.fields(read.select("doc_id", "positions", *fields).join(keys.withColumnRenamed("k", "doc_id"), "doc_id"), ["doc_id", "positions"], wanted="asked_paths")
+        place = F.get(F.filter("positions", lambda p: p["field_path"] == F.col("field_path")), F.lit(0))
+        parts.append(of.select(F.col("doc_id").alias("document_id"), "field_path", "value", place.alias("p")))
+    cited = E.cite(asked, reduce(DataFrame.unionByName, parts)).where("present and p is not null")
+    return cited.select("row_id", "field_path", "p.page", *(F.round(f"p.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def _twice(words: Words) -> Words:

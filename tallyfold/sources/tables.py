@@ -78,9 +78,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder (survives the loss of executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -43,6 +43,7 @@ def test_runs_equal_membership(spark, keys, asked, bucket):
     k = spark.createDataFrame([("PO", x) for x in keys], "kind string, key long")
     runs = orphans.key_runs(k, bucket)
     a = spark.createDataFrame([("PO", x, 1) for x in set(asked)], "kind string, key long, refs long")
+    assert orphans.beyond_run_end(a, runs, bucket).where("refs <> 1").count() == 0
     got = {r["key"]: r["missing"] for r in orphans.beyond_run_end(a, runs, bucket).collect()}
     assert got == {x: x not in keys for x in set(asked)}
     assert runs.agg(F.sum("keys")).first()[0] in (len(keys), None)
