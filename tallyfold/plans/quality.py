@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,23 +79,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.findings(cells, profile.FORMS, form_only={"purchase_orders"}, no_shift={"po_reference"})
 
 
-def _all_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Exact counts of the values of every column of every table, fields of structs and arrays included."""
-    parts = []
-    for name, (row_id, load) in PROFILED.items():
-        df = table(spark, d, name)
-        parts.append(profile.all_cells(df, name, [x for x in profile.leaf_columns(df.schema) if x.name not in (row_id, load)], load))
-    return profile.with_validity(profile.value_counts(reduce(DataFrame.unionByName, parts)), profile.FORMS)
+def _all_cells(spark: SparkSession, d: str, names: Iterable[str]) -> DataFrame:
+    """Every column of tables, fields of structs and arrays included."""
+    return reduce(DataFrame.unionByName, (profile.all_cells(table(spark, d, n), n, PROFILED[n][:1], PROFILED[n][1]) for n in names))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.profile(_all_counts(spark, d))
+    return profile.profile(profile.with_validity(profile.value_counts(_all_cells(spark, d, PROFILED)), profile.FORMS))
 
 
 def p5_shift(spark: SparkSession, d: str) -> DataFrame:
     """Change of distribution of every column of the tables that come in loads."""
-    with_loads = [name for name, (_, load) in PROFILED.items() if load]
-    counts = profile.categories(_all_counts(spark, d).where(F.col("table_name").isin(*with_loads)))
+    cells = _all_cells(spark, d, (name for name, (_, load) in PROFILED.items() if load))
+    counts = profile.categories(profile.with_validity(cells, profile.FORMS))
     return profile.shifts(counts).select("table_name", "column_name", "load_id", "n_valid", F.round("distance", 6).alias("distance"), F.round("psi", 4).alias("psi"), F.round("chi2", 2).alias("chi2"))
 
 
