@@ -9,7 +9,7 @@ owner's name is most like that on the row, then the more often referenced, then
 key. An entry that needs an edit must not contradict the row's name: a chance neighbour
 among many keys has another owner.
 
-The dictionary is broadcast while it has at most ``broadcast_entries`` entries (counted
+The dictionary is broadcast while it has at most ``broadcast_entries`` codes (counted
 first) and is shuffled by the deleted string beyond that. Only distinct values are matched;
 rows are joined with the result of their value, values that many rows share salted.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.similarity import name_bigrams, overlap, weighted_edits
-from tallyfold.operators.skew import join_hot
+from tallyfold.operators.skew import about_rows, join_hot
 
 UNMATCHED = "UNMATCHED"
 
@@ -79,18 +79,34 @@ def _distance(edits: int):  # noqa: ANN202
     return run
 
 
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings can be within ``edits`` edits, exchanged neighbours included: a built-in test that is never too strict.
+
+    An exchange of neighbours counts two in the built-in distance, so that a pair beyond
+    ``edits`` there must have two neighbours of one in the other order in the other.
+    """
+    plain = F.levenshtein(a, b, 2 * edits)
+    pair = lambda i: F.substr(a, i, F.lit(2))
+    exchanged = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: (F.reverse(pair(i)) != pair(i)) & F.contains(b, F.reverse(pair(i))))
+    return (plain >= 0) & ((plain <= edits) | exchanged)
+
+
 def neighbours(typed: DataFrame, listed: DataFrame, max_edits: int, broadcast_entries: int) -> DataFrame:
     """(code, entry, distance): pairs of distinct codes within the bound."""
     entries = listed.select(F.col("code").alias("entry")).distinct()
-    shuffled = entries.select("entry", F.explode(deletions(F.col("entry"), max_edits)).alias("part"))
+    parts = entries.select("entry", F.explode(deletions(F.col("entry"), max_edits)).alias("part"))
     asked = typed.select("code").distinct().select("code", F.explode(deletions(F.col("code"), max_edits)).alias("part"))
-    dictionary = F.broadcast(shuffled) if entries.limit(broadcast_entries + 1).count() <= broadcast_entries else shuffled
-    pairs = asked.join(dictionary, "part").select("code", "entry").distinct()
+    dictionary = F.broadcast(parts) if entries.limit(broadcast_entries + 1).count() <= broadcast_entries else parts
+    pairs = asked.join(dictionary, "part").select("code", "entry").where(may_be_near(F.col("code"), F.col("entry"), max_edits)).distinct()
     return pairs.withColumn("distance", _distance(max_edits)(F.col("code"), F.col("entry"))).where("distance is not null")
 
 
+#: Codes up to which the dictionary is broadcast: with one deletion in up to eleven figures under 800,000 short strings, some 60 MB.
+BROADCAST_CODES = 65_536
+
+
 def match_references(
-    rows: DataFrame, listed: DataFrame, *, row_id: str, value: str, name: str, key: str, owner: str, max_edits: int = 1, broadcast_entries: int = 32_768,
+    rows: DataFrame, listed: DataFrame, *, row_id: str, value: str, name: str, key: str, owner: str, max_edits: int = 1, broadcast_entries: int = BROADCAST_CODES,
 ) -> DataFrame:
     """(row_id, value, key, distance) of every row whose value is not null and not exactly a listed key.
 
@@ -112,7 +128,7 @@ def match_references(
         .groupBy("value").agg(F.collect_set(F.struct("distance", "key", "owner", "uses")).alias("meant"))
     )
     state = dirty.join(meant, "value", "left")
-    joined = join_hot(rows, state, ["value"], count="rows", total=rows.count(), spread_by=["row_id"])
+    joined = join_hot(rows, state, ["value"], count="rows", total=about_rows(rows), spread_by=["row_id"], hot_rows=50_000)
     alike = F.transform(
         "meant",
         lambda m: F.struct(m["distance"].alias("distance"), (-F.coalesce(overlap(m["owner"], F.col("name")), F.lit(NAME_AGREES))).alias("unlike"), (-m["uses"]).alias("unused"), m["key"].alias("key")),

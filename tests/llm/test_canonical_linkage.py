@@ -65,6 +65,15 @@ def test_neighbours_equal_brute_force(spark, codes, typed, edits):
     assert {(r["code"], r["entry"], round(r["distance"], 6)) for r in got} == {(t, c, round(w, 6)) for t in typed for w, c in brute(t, codes, edits)}
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.text("0123", max_size=6), st.text("0123", max_size=6)), min_size=40, max_size=120), st.sampled_from([1, 2]))
+def test_the_built_in_test_is_never_too_strict(spark, pairs, edits):
+    df = spark.createDataFrame(pairs + [("12", "21"), ("1233", "1323"), ("", "1"), ("2112", "1221")], "a string, b string")
+    kept = {(r["a"], r["b"]) for r in df.where(canonical.may_be_near(F.col("a"), F.col("b"), edits)).collect()}
+    assert all((a, b) in kept for a, b in pairs if similarity.weighted_edits(a, b, edits) is not None)
+    assert ("12", "21") in kept and not {("0000", "3333"), ("012301", "333333")} & kept
+
+
 def test_weights():
     w = similarity.weighted_edits
     assert w("12", "21", 1) == similarity.TRANSPOSED and w("1", "11", 1) == similarity.DOUBLED and w("12", "172", 1) == 1.0 and w("1", "7", 1) == similarity.ALIKE
