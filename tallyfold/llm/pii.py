@@ -75,19 +75,20 @@ _EMAIL = re.compile(
     re.I,
 )
 _AT = re.compile(r"@|[(\[{]\s?(?:a\u0308|[aä])t\s?[)\]}]|\sat\s", re.I)
-_PHONE = re.compile(r"(?<![\w.,/+-])\+?\(?\d+\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])\(?\d+\)?|(?<=\))\d+\)?)*(?!\w)")
+_PHONE = re.compile(r"(?<![\w.,/+-])(?=[+(\d][\d ()+./\-\xa0\n–]{4,}\d)\+?\(?\d+\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])\(?\d+\)?|(?<=\))\d+\)?)*(?!\w)")
 _DECIMAL, _DOTTED = re.compile(r"\d\.\d{2}(?=[ \n]|\Z)"), re.compile(r"\+?[\d. ]*\d{2}\.\d{2}\.\d{2}\Z")
 _DATE = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d|(?:19|20)\d\d-\d\d-\d\d)\Z")
-# Forms of identity numbers and passports.
+# Forms of identity numbers and passports; each is looked for from its first digit on, the two letters before that of the last two kinds after.
 _ID_FORMS = (
-    r"\d{3}[- ]\d{2}[- ]\d{4}",
-    r"[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]",
-    r"\d{6}[-+Aa]\d{3}[0-9A-Za-z]",
-    r"[12](?: \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{14})",
-    r"[A-Za-z]{2}\d{7}",
-    r"\d{8}-\d{4}",
+    r"(?<![\w/-]\d)\d{2}[- ]\d{2}[- ]\d{4}",
+    r"(?<![\w/-]\d)\d{5}[-+Aa]\d{3}[0-9A-Za-z]",
+    r"(?<![\w/-]\d)(?<=[12])(?: \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{14})",
+    r"(?<![\w/-]\d)\d{7}-\d{4}",
+    r"(?:(?<=[A-Za-z]{2}\d)|(?<=[A-Za-z]{2} \d))\d ?\d{2} ?\d{2} ?[A-Da-d]",
+    r"(?<=[A-Za-z]{2}\d)\d{6}",
 )
-_IDS = re.compile(rf"(?<![\w/-])(?=[A-Za-z]{{0,2}} ?\d)(?:{'|'.join(f'({x})' for x in _ID_FORMS)})(?![\w/-])")
+_IDS = re.compile(rf"\d(?:{'|'.join(f'({x})' for x in _ID_FORMS)})(?![\w/-])")
+_WITH_LETTERS = 5
 
 _WORD = r"[^\W\d_][\w\u0300-\u036f'’-]*"
 _TAIL_CODE = rf"(?:,[ \xa0]{{1,2}}|[ \xa0]?\r?\n[ \xa0]?)(?:\d{{5}}|\d{{3}} \d{{2}})[ \xa0]{_WORD}"
@@ -96,17 +97,12 @@ _FLAT = r"(?:,?[ ](?:as\.|lgh|apt\.?|suite|unit|flat|whg\.?|wohnung|bât\.?|app\
 _UNIT = r"\d{1,4}(?:[-–/]\d{1,4})?(?:[ ]?[A-Za-z](?![\w'’])(?:[ ]\d{1,3}(?!\w))?)?" + _FLAT
 _HINTS = {
     "en": re.compile(rf"\d[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?!\w)", re.I),
-    "one": re.compile(r"\.? {1,2}(?=\d)"),  # after a word that ends like a street
-    "am": re.compile(r"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)[ ]", re.I),
-    "fr": re.compile(rf"\d[^\n]{{0,9}}?[ ](?:{_both(STREETS_FR)})\.?[ ]", re.I),
+    "one": re.compile(r"[^\W\d_]\u0308?\.? {1,2}(?=\d)"),  # after a word that ends like a street
+    # beginnings that say no more than the next pattern needs, so that the search is quick
+    "am": re.compile(r"[AaIiZzUu](?<!\w[AaIiZzUu])(?:[mM]|[nN] [dD][eE][rRnN]|[uU][fF] [dD][eE][rRmM]|[uU][mMrR]|[nN][tT][eE][rR] [dD][eE][nN])[ ]"),
+    "fr": re.compile(rf" (?:{_both(STREETS_FR)})\.? ", re.I),
 }
-_STREET_LAST = frozenset(x[-2:] for x in STREETS_ONE.split("|"))
 _STREET_ENDS = tuple({f for x in STREETS_ONE.split("|") for f in (x, unicodedata.normalize("NFD", x))})
-#: Texts in which none of these stands have no address of the kind.
-_GATES = {
-    "en": tuple(f" {x}" for x in STREETS_EN.split("|")), "one": (" 1", " 2", " 3", " 4", " 5", " 6", " 7", " 8", " 9", " 0"), "am": tuple(f"{x} " for x in ("am", "an der", "an den", "auf der", "auf dem", "im", "in der", "zum", "zur", "unter den")),
-    "fr": tuple(f" {f}" for x in STREETS_FR.split("|") for f in {x, unicodedata.normalize("NFD", x)}),
-}
 #: Signs of a line before and after the hint that the whole of an address is looked for in.
 _BACK = 1_000
 _ADDRESSES = (
@@ -126,19 +122,24 @@ def _low(text: str) -> str:
 _NEXT = re.compile(r"\n?\s*([^\W_]*)")
 
 
-def _around(text: str, start: int, end: int, kind: str) -> list[str]:
-    """Features of what stands before and after a span."""
+def _before(text: str, start: int, kind: str) -> tuple[list[str], int]:
+    """Features of what stands before a span, and whether it begins a line."""
     before = text[max(0, start - 30) : start]
     words = before.split()
-    line = "\n" in before[len(before.rstrip()) :] or not words
+    line = int("\n" in before[len(before.rstrip()) :] or not words)
     p1 = _low(words[-1].lstrip("(<[\"'"))[-14:] if words else "^"
     p2 = _low(words[-2])[-14:] if len(words) > 1 else "^"
     if before[-1:] in ("(", "[", "<", '"') and len(before) > 1:
         p1 = before[-1] + p1
+    return [f"{kind}|p1={p1}", f"{kind}|p2={p2} {p1}", f"{kind}|l={line}"], line
+
+
+def _behind(text: str, end: int, kind: str) -> tuple[list[str], str]:
+    """Features of what stands after a span, and the sign there."""
     stripped = text[end : end + 24].lstrip(" \t\xa0\r")
     n1 = _low(_NEXT.match(stripped).group(1)[:12])
     sign = stripped[:1] if stripped[:1] and not stripped[:1].isalnum() else ""
-    return [f"{kind}|p1={p1}", f"{kind}|p2={p2} {p1}", f"{kind}|l={int(line)}", f"{kind}|n0={sign!r}", f"{kind}|n1={n1}", f"{kind}|l{int(line)}n0={sign!r}"]
+    return [f"{kind}|n0={sign!r}", f"{kind}|n1={n1}"], sign
 
 
 def _beside(text: str, end: int, start: int) -> str | None:
@@ -214,6 +215,8 @@ class Model:
         self.classes = _Classes(self.given)
         self.training = isinstance(weights, defaultdict)
         self.parts: dict[tuple, float] = {}
+        self.left: dict[tuple[int, str], tuple[float, int]] = {}
+        self.right: dict[tuple[int, str], tuple[float, str]] = {}
         self.shapes: dict[tuple, tuple[str, str, int] | None] = {}
         self.texts: dict[str, list[tuple[int, int, str]]] = {}
         most = lambda start: max([0.0, *(w for f, w in weights.items() if f.startswith(start))])
@@ -238,11 +241,16 @@ class Model:
     def _candidate(self, text: str, start: int, end: int, kind: str, key: tuple, features: Callable[[], list[str]], words: list[str] = (), around: bool = True) -> Iterator[tuple]:
         """(start, end, kind, features), or with a score in place of the features when the model is fitted.
 
-        What depends on ``key`` alone is scored once; segments that can't reach a score with
-        which they would ever be chosen are left out.
+        What depends on ``key`` alone is scored once, what stands before a place and behind one
+        once in each text; segments that can't reach a score with which they would ever be
+        chosen are left out.
         """
         if self.training:
-            yield start, end, kind, [*features(), *words, *(_around(text, start, end, kind) if around else ())]
+            out = [*features(), *words]
+            if around:
+                (before, line), (behind, sign) = _before(text, start, kind), _behind(text, end, kind)
+                out += [*before, *behind, f"{kind}|l{line}n0={sign!r}"]
+            yield start, end, kind, out
             return
         base = self.parts.get(key)
         if base is None:
@@ -254,12 +262,21 @@ class Model:
         if base + (self.most_around[kind] if around else 0.0) + self.most_beside <= 0:
             return
         if around:
-            base += self.score(_around(text, start, end, kind))
+            left = self.left.get((start, kind))
+            if left is None:
+                found, line = _before(text, start, kind)
+                left = self.left[start, kind] = (self.score(found), line)
+            right = self.right.get((end, kind))
+            if right is None:
+                found, sign = _behind(text, end, kind)
+                right = self.right[end, kind] = (self.score(found), sign)
+            base += left[0] + right[0] + self.weights.get(f"{kind}|l{left[1]}n0={right[1]!r}", 0.0)
         if base + self.most_beside > 0:
             yield start, end, kind, base
 
     def candidates(self, text: str) -> list[tuple]:
         """Segments that may be items, in no order."""
+        self.left, self.right = {}, {}
         return [*self._emails(text), *self._phones(text), *self._ids(text), *self._addresses(text), *self._names(text)]
 
     def _emails(self, text: str) -> Iterator[tuple]:
@@ -310,17 +327,19 @@ class Model:
 
     def _ids(self, text: str) -> Iterator[tuple]:
         for m in _IDS.finditer(text):
-            k, blank = m.lastindex, " " in m.group()
-            yield from self._candidate(text, *m.span(), "id_number", ("id_number", k, blank), lambda: ["id_number|b", f"id_number|f={k}", f"id_number|f={k}{blank}"])  # noqa: B023
+            (start, end), k = m.span(), m.lastindex
+            if k >= _WITH_LETTERS:
+                start -= 2 + (text[start - 1] == " ")
+                if start and (text[start - 1].isalnum() or text[start - 1] in "_/-"):
+                    continue
+            blank = " " in text[start:end]
+            yield from self._candidate(text, start, end, "id_number", ("id_number", k, blank), lambda: ["id_number|b", f"id_number|f={k}", f"id_number|f={k}{blank}"])  # noqa: B023
 
     def _addresses(self, text: str) -> Iterator[tuple]:
-        low_text = text.lower()
         for which, head, tail in _ADDRESSES:
-            if not any(x in low_text for x in _GATES[which]):
-                continue
             done = -1
             for h in _HINTS[which].finditer(text):
-                if which == "one" and (text[h.start() - 2 : h.start()].lower() not in _STREET_LAST or not text[max(0, h.start() - 14) : h.start()].lower().endswith(_STREET_ENDS)):
+                if which == "one" and not text[max(0, h.start() - 13) : h.start() + 1].lower().endswith(_STREET_ENDS):
                     continue
                 if h.end() <= done:
                     continue
@@ -335,13 +354,14 @@ class Model:
     def _names(self, text: str) -> Iterator[tuple]:
         """Runs around a place where a name may be; see the module for what they may hold."""
         token = _TOKEN if _ACCENT.search(text) else _TOKEN_PLAIN
-        kinds = list(map(self.classes.__getitem__, token.findall(text)))
+        words = token.findall(text)
+        kinds = list(map(self.classes.__getitem__, words))
         codes = "".join([k[1] for k in kinds])
         anchors = [a.start() for a in _ANCHOR.finditer(codes)]
         if not anchors:
             return
         cls, cases = "".join([k[0] for k in kinds]), "".join([k[2] for k in kinds])
-        tokens = [(text[a:b], a, b) for a, b in [m.span() for m in token.finditer(text)]]
+        tokens = [(w, *m.span()) for w, m in zip(words, token.finditer(text))]
         n, gaps = len(tokens), {}
 
         def join(k: int) -> str | None:
