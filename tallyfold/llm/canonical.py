@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.similarity import name_bigrams, overlap, weighted_edits
 from tallyfold.operators.skew import about_rows, join_hot
+from tallyfold.sources.tables import by_key
 
 UNMATCHED = "UNMATCHED"
 
@@ -97,7 +98,8 @@ def neighbours(typed: DataFrame, listed: DataFrame, max_edits: int, broadcast_en
     parts = entries.select("entry", F.explode(deletions(F.col("entry"), max_edits)).alias("part"))
     asked = typed.select("code").distinct().select("code", F.explode(deletions(F.col("code"), max_edits)).alias("part"))
     dictionary = F.broadcast(parts) if entries.limit(broadcast_entries + 1).count() <= broadcast_entries else parts
-    pairs = asked.join(dictionary, "part").select("code", "entry").where(may_be_near(F.col("code"), F.col("entry"), max_edits)).distinct()
+    # few and small, but costly: one partition for each core at least
+    pairs = by_key(asked.join(dictionary, "part").select("code", "entry").where(may_be_near(F.col("code"), F.col("entry"), max_edits)), "code", "entry").distinct()
     return pairs.withColumn("distance", _distance(max_edits)(F.col("code"), F.col("entry"))).where("distance is not null")
 
 
