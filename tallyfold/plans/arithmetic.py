@@ -78,9 +78,9 @@ docs AS (
   UNION ALL SELECT 'purchase_order', row_id, document_id, lines, false, NULL, NULL, NULL, order_value, document_type FROM purchase_orders
 ),
 every AS (SELECT stated_type AS document_type, doc_id, document_id FROM docs UNION ALL SELECT document_type, row_id, document_id FROM contracts),
-raw AS (SELECT stated_type AS document_type, doc_id, unnest(lines) AS l FROM docs),
+raw AS (SELECT stated_type AS document_type, doc_id, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM docs),
 figures AS (
-  SELECT document_type, doc_id, 'line[' || coalesce(CAST(l.line_number AS VARCHAR), '?') || '].' AS ref,
+  SELECT document_type, doc_id, i, 'line[' || coalesce(CAST(l.line_number AS VARCHAR), '?') || '].' AS ref,
     {_DEC('l.net_amount')} AS net, {_DEC('l.tax_rate')} AS rate, {_DEC('l.tax_amount')} AS tax, {_DEC('l.line_total')} AS total,
     {_C(f"CAST({_DEC('l.quantity')} AS DECIMAL(30,6)) * CAST({_DEC('l.unit_price')} AS DECIMAL(30,6))")} AS ext FROM raw
 ),
@@ -93,13 +93,13 @@ sums AS (
   FROM docs d LEFT JOIN (SELECT document_type, doc_id, sum(net_c) AS net, sum(tax_c) AS tax FROM counted GROUP BY ALL) s ON s.document_type = d.stated_type AND s.doc_id = d.doc_id
 ),
 made AS (
-  SELECT document_type, doc_id, 'line_extension' AS "check", ref || 'net_amount' AS location, ext AS expected, {_C('net')} AS stated FROM counted WHERE ext IS NOT NULL AND net IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'line_tax', ref || 'tax_amount', {_C("CAST(net_c AS DECIMAL(30,6)) * CAST(rate AS DECIMAL(30,6)) * CAST(0.01 AS DECIMAL(30,2))")}, {_C('tax')} FROM counted WHERE rate IS NOT NULL AND tax IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'line_total', ref || 'line_total', {_C('net_c + tax_c')}, {_C('total')} FROM counted WHERE total IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'subtotal', 'totals.subtotal', {_C('net')}, {_C('subtotal')} FROM sums WHERE subtotal IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'tax_total', 'totals.tax_total', {_C('tax')}, {_C('tax_total')} FROM sums WHERE tax_total IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'grand_total', 'totals.grand_total', {_C('coalesce(subtotal, net) + coalesce(tax_total, tax)')}, {_C('grand_total')} FROM sums WHERE grand_total IS NOT NULL
-  UNION ALL SELECT document_type, doc_id, 'order_value', 'order_value', {_C('net')}, {_C('order_value')} FROM sums WHERE NOT has_totals AND order_value IS NOT NULL
+  SELECT document_type, doc_id, 'line_extension' AS "check", ref || 'net_amount' AS location, ext AS expected, {_C('net')} AS stated, i AS i, 1 AS k FROM counted WHERE ext IS NOT NULL AND net IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'line_tax', ref || 'tax_amount', {_C("CAST(net_c AS DECIMAL(30,6)) * CAST(rate AS DECIMAL(30,6)) * CAST(0.01 AS DECIMAL(30,2))")}, {_C('tax')}, i AS i, 2 AS k FROM counted WHERE rate IS NOT NULL AND tax IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'line_total', ref || 'line_total', {_C('net_c + tax_c')}, {_C('total')}, i AS i, 3 AS k FROM counted WHERE total IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'subtotal', 'totals.subtotal', {_C('net')}, {_C('subtotal')}, 1000000000 AS i, 4 AS k FROM sums WHERE subtotal IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'tax_total', 'totals.tax_total', {_C('tax')}, {_C('tax_total')}, 1000000000 AS i, 5 AS k FROM sums WHERE tax_total IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'grand_total', 'totals.grand_total', {_C('coalesce(subtotal, net) + coalesce(tax_total, tax)')}, {_C('grand_total')}, 1000000000 AS i, 6 AS k FROM sums WHERE grand_total IS NOT NULL
+  UNION ALL SELECT document_type, doc_id, 'order_value', 'order_value', {_C('net')}, {_C('order_value')}, 1000000000 AS i, 7 AS k FROM sums WHERE NOT has_totals AND order_value IS NOT NULL
 ),
 graded AS (
   SELECT *, stated - expected AS difference,
@@ -119,6 +119,10 @@ def _pct(e: str = "expected", s: str = "stated") -> str:
 
 _COLUMNS = f"location, CAST(expected AS DOUBLE) AS expected, CAST(stated AS DOUBLE) AS stated, CAST(stated - expected AS DOUBLE) AS difference, {_pct()} AS percentage, severity"
 
+_TXT = lambda x: f"CAST({_C(x)} AS VARCHAR)"
+_PCT = f"CAST(CAST({_pct()} AS DECIMAL(24,2)) AS VARCHAR)"
+_Q = lambda x: f"coalesce('\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"', 'null')"
+
 ORACLE = {f"check_{name}": f"""WITH {_SQL} SELECT document_type, doc_id, {_COLUMNS} FROM graded WHERE "check" = '{name}'""" for name in A.CHECKS} | {
     "discrepancies": f"""WITH {_SQL} SELECT document_type, doc_id, "check", {_COLUMNS} FROM graded WHERE severity <> 'agrees'""",
     "sum_report": f"""WITH {_SQL} SELECT r.document_type, r.doc_id, CAST(checks_run AS INTEGER) AS checks_run, n_material + n_rounding = 0 AS balanced, CAST(n_material AS INTEGER) AS n_material, CAST(n_rounding AS INTEGER) AS n_rounding,
@@ -130,4 +134,16 @@ ORACLE = {f"check_{name}": f"""WITH {_SQL} SELECT document_type, doc_id, {_COLUM
       FROM made, (VALUES (0.00, 0.02), (0.02, 1.00), (0.05, 5.00), (1.00, 100.00)) t(a, b) GROUP BY ALL""",
     "population_rollup": f"""WITH {_SQL} SELECT document_type, count(*) AS documents, count(*) FILTER (WHERE checks_run = 0) AS not_applicable, count(*) FILTER (WHERE checks_run > 0 AND n_material + n_rounding = 0) AS agree,
       count(*) FILTER (WHERE n_material > 0) AS material, count(*) FILTER (WHERE n_material = 0 AND n_rounding > 0) AS rounding_only, CAST(sum(checks_run) AS BIGINT) AS checks_run FROM report GROUP BY ALL""",
+    "report_text": f"""WITH {_SQL}, named AS (SELECT stated_type AS document_type, doc_id, document_id FROM docs UNION ALL SELECT document_type, row_id, document_id FROM contracts),
+told AS (SELECT document_type, doc_id, count(*) AS n, string_agg('    [' || severity || '] ' || "check" || ' at ' || location || ': stated ' || {_TXT('stated')} || ', computed ' || {_TXT('expected')} || ', difference ' || {_TXT('stated - expected')} || coalesce('  (' || {_PCT} || '%)', ''), chr(10) ORDER BY i, k) AS lines
+  FROM graded WHERE severity <> 'agrees' GROUP BY ALL)
+SELECT e.doc_id, e.document_type, coalesce(e.document_id, '?') || '  (' || coalesce(e.document_type, '?') || ')  ' || r.checks_run || ' checks' || CASE WHEN t.n IS NULL THEN '  ·  all arithmetic agrees' ELSE '  ·  ' || t.n || ' discrepancy(ies)' || chr(10) || t.lines END AS summary
+FROM named e JOIN report r ON r.document_type IS NOT DISTINCT FROM e.document_type AND r.doc_id = e.doc_id LEFT JOIN told t ON t.document_type IS NOT DISTINCT FROM e.document_type AND t.doc_id = e.doc_id""",
+    "report_json": f"""WITH {_SQL}, named AS (SELECT stated_type AS document_type, doc_id, document_id FROM docs UNION ALL SELECT document_type, row_id, document_id FROM contracts),
+told AS (SELECT document_type, doc_id, string_agg('{{"check":"' || "check" || '","location":"' || location || '","expected":"' || {_TXT('expected')} || '","stated":"' || {_TXT('stated')} || '","difference":"' || {_TXT('stated - expected')} || '","percentage":' || coalesce('"' || {_PCT} || '"', 'null') || ',"severity":"' || severity || '"}}', ',' ORDER BY i, k) AS items
+  FROM graded WHERE severity <> 'agrees' GROUP BY ALL)
+SELECT e.doc_id, '{{"document_id":' || {_Q('e.document_id')} || ',"document_type":' || {_Q('e.document_type')} || ',"checks_run":' || r.checks_run || ',"balanced":' || CASE WHEN t.items IS NULL THEN 'true' ELSE 'false' END ||
+  ',"computed":{{"lines_net":"' || {_TXT('coalesce(s.net, 0)')} || '","lines_tax":"' || {_TXT('coalesce(s.tax, 0)')} || '","lines_gross":"' || {_TXT('coalesce(s.net, 0) + coalesce(s.tax, 0)')} || '"}},"discrepancies":[' || coalesce(t.items, '') || ']}}' AS report
+FROM named e JOIN report r ON r.document_type IS NOT DISTINCT FROM e.document_type AND r.doc_id = e.doc_id LEFT JOIN sums s ON s.document_type IS NOT DISTINCT FROM e.document_type AND s.doc_id = e.doc_id
+LEFT JOIN told t ON t.document_type IS NOT DISTINCT FROM e.document_type AND t.doc_id = e.doc_id""",
 }

@@ -132,6 +132,26 @@ _CANON = f"""'{{"bounding_box":' || CASE WHEN bounding_box IS NULL THEN 'null' E
  ',"confidence":' || {_NUM('confidence')} || ',"document_id":' || {_T('document_id')} || ',"document_type":' || {_T('document_type')} || ',"field_path":' || {_T('field_path')} || ',"note":' || {_T('note')} ||
  ',"page":' || coalesce(CAST(page AS VARCHAR), 'null') || ',"source_system":' || {_T('source_system')} || ',"value":' || {_T('value')} || '}}'"""
 
+_TWO = lambda x: f"CAST(CAST(round(TRY_CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)), 2) AS DECIMAL(24,2)) AS VARCHAR)"
+#: A double as both engines print it in JSON; NaN is text there.
+_DOUBLE = lambda x: f"CASE WHEN isnan({x}) THEN '\"NaN\"' ELSE CAST({x} AS VARCHAR) END"
+_NONE = lambda x: f"coalesce(CAST({x} AS VARCHAR), 'None')"
+_PACKED = f"""
+e AS (SELECT *, {_CANON} AS c FROM evidence_items WHERE pack_id IS NOT NULL),
+d AS (SELECT pack_id, document_id, min(ord) AS o FROM e WHERE document_id IS NOT NULL GROUP BY ALL),
+dd AS (SELECT pack_id, string_agg(document_id, ', ' ORDER BY o, document_id) AS documents, string_agg({_T('document_id')}, ',' ORDER BY o, document_id) AS document_list FROM d GROUP BY pack_id),
+ss AS (SELECT pack_id, string_agg(source_system, ', ' ORDER BY source_system) AS sources, string_agg({_T('source_system')}, ',' ORDER BY source_system) AS source_list FROM (SELECT DISTINCT pack_id, source_system FROM e WHERE source_system IS NOT NULL) GROUP BY pack_id),
+ii AS (
+  SELECT pack_id, left(sha256('[' || string_agg(c, ',' ORDER BY ord, c) || ']'), 16) AS integrity_hash, min(confidence) FILTER (WHERE NOT isnan(confidence)) AS weakest_confidence,
+    string_agg('| ' || {_NONE('source_system')} || ' | ' || {_NONE('document_id')} || ' | `' || {_NONE('field_path')} || '` | ' || {_NONE('value')} || ' | ' || coalesce({_TWO('confidence')}, '-') || ' |', chr(10) ORDER BY ord, c) AS rows,
+    string_agg('{{"source_system":' || {_T('source_system')} || ',"document_id":' || {_T('document_id')} || ',"document_type":' || {_T('document_type')} || ',"field_path":' || {_T('field_path')} || ',"value":' || {_T('value')} || ',"confidence":' || coalesce({_DOUBLE('confidence')}, 'null') ||
+      ',"page":' || coalesce(CAST(page AS VARCHAR), 'null') || ',"bounding_box":' || CASE WHEN bounding_box IS NULL THEN 'null' ELSE '{{"x0":' || coalesce({_DOUBLE('bounding_box.x0')}, 'null') || ',"y0":' || coalesce({_DOUBLE('bounding_box.y0')}, 'null') || ',"x1":' || coalesce({_DOUBLE('bounding_box.x1')}, 'null') || ',"y1":' || coalesce({_DOUBLE('bounding_box.y1')}, 'null') || '}}' END ||
+      ',"note":' || {_T('note')} || '}}', ',' ORDER BY ord, c) AS items
+  FROM e GROUP BY pack_id
+),
+p AS (SELECT ii.*, coalesce(dd.documents, '') AS documents, coalesce(dd.document_list, '') AS document_list, coalesce(ss.sources, '') AS sources, coalesce(ss.source_list, '') AS source_list FROM ii LEFT JOIN dd USING (pack_id) LEFT JOIN ss USING (pack_id))
+"""
+
 ORACLE = {
     "field_paths": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, field_path, value FROM ({of(t, 'row_id')})" for t, of in _OF.items()),
     "cite_fields": f"WITH {_CITED} SELECT row_id, document_type, document_id, field_path, value FROM cited WHERE present",
@@ -148,4 +168,12 @@ SELECT pack_id, left(sha256('[' || string_agg(c, ',' ORDER BY ord, c) || ']'), 1
     "item_descriptions": """
 SELECT row_id, source_system || '/' || document_id || '  ' || field_path || ' = ' || coalesce(value, 'None') ||
   CASE WHEN confidence IS NULL THEN '' ELSE '  (conf ' || coalesce(printf('%.2f', CAST(round(TRY_CAST(CAST(confidence AS VARCHAR) AS DECIMAL(24,6)), 2) AS DOUBLE)), 'null') || ')' END AS description FROM evidence_items""",
+    "pack_markdown": f"""
+WITH {_PACKED}
+SELECT p.pack_id, '### Evidence pack ' || p.pack_id || chr(10) || chr(10) || '**Conclusion.** Checked against the source documents.' || chr(10) || chr(10) || 'Documents: ' || documents || chr(10) || 'Sources: ' || sources ||
+  coalesce(chr(10) || 'Weakest citation confidence: ' || {_TWO('weakest_confidence')}, '') || chr(10) || chr(10) || '| Source | Document | Field | Value | Confidence |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || rows || chr(10) || chr(10) ||
+  'Integrity hash `' || integrity_hash || '`' AS markdown FROM p""",
+    "pack_json": f"""
+WITH {_PACKED}
+SELECT pack_id, '{{"pack_id":' || {_T('pack_id')} || ',"conclusion":null,"documents":[' || document_list || '],"sources":[' || source_list || '],"weakest_confidence":' || coalesce({_DOUBLE('weakest_confidence')}, 'null') || ',"integrity_hash":"' || integrity_hash || '","items":[' || items || ']}}' AS pack FROM p""",
 }
