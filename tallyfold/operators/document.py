@@ -48,7 +48,11 @@ Span = tuple[float, float, float, float]
 
 @dataclass(slots=True)
 class Words:
-    """Words in the order of extraction, as columns. ``pages``: how many there are, blank ones included."""
+    """Words in the order of extraction, as columns.
+
+    pages: how many there are, blank ones included; height: of the first page, if it is known;
+    status: why there are no words, if a file could not be opened.
+    """
 
     page: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
@@ -57,6 +61,8 @@ class Words:
     x1: list[float] = field(default_factory=list)
     y1: list[float] = field(default_factory=list)
     pages: int = 0
+    height: float | None = None
+    status: str | None = None
 
     def add(self, page: int, text: str, x0: float, y0: float, x1: float, y1: float) -> None:
         self.page.append(page), self.text.append(text), self.x0.append(x0), self.y0.append(y0), self.x1.append(x1), self.y1.append(y1)
@@ -127,6 +133,7 @@ class Document:
 
     def __init__(self, words: Words, height: float | None = None) -> None:
         self.words = words
+        height = height if words.height is None else words.height
         kept, self.repeats = single(words)
         self.all_rows = clustered(words, kept)
         self.texts = [words.joined(r) for r in self.all_rows]
@@ -387,7 +394,7 @@ def read(words: Words, height: float | None = None) -> tuple[str, dict, list[tup
     doc = Document(words, height)
     record: dict = {"page_count": doc.page_count}
     if not doc.all_rows:
-        return "NO_TEXT_LAYER", record, []
+        return words.status or "NO_TEXT_LAYER", record, []
     kind = doc.kind()
     if kind is None:
         return "UNKNOWN_LAYOUT", record, []

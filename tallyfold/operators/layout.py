@@ -129,7 +129,7 @@ def status(docs: Documents) -> DataFrame:
     def run(words: Words) -> Iterator[tuple]:
         doc = Document(words)
         kind = doc.kind()
-        yield doc.page_count, "OK" if kind else "UNKNOWN_LAYOUT" if doc.all_rows else "NO_TEXT_LAYER", kind
+        yield doc.page_count, "OK" if kind else "UNKNOWN_LAYOUT" if doc.all_rows else words.status or "NO_TEXT_LAYER", kind
 
     return docs.map(run, "page_count int, status string, document_type string")
 

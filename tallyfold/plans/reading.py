@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import evidence as E
-from tallyfold.operators import document, extract, layout
+from tallyfold.operators import document, extract, layout, lookup
 from tallyfold.operators.document import OVERLAID, SEAM, Words
 from tallyfold.sources import words as W
 from tallyfold.sources.tables import spread, table
@@ -83,8 +83,7 @@ def field_positions(spark: SparkSession, d: str) -> DataFrame:
     return _all(lambda n: _places(extract.positions(_read(spark, d, n))))
 
 
-def cite_located(spark: SparkSession, d: str) -> DataFrame:
-    """All evidence on documents that are there, cited again from what was read of them, with the page and rectangle of each value."""
+def _located(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "evidence_items").select("row_id", "document_id", "field_path")
     keys = asked.where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.collect_set("field_path").alias("asked_paths"))
     parts = []
@@ -95,8 +94,18 @@ def cite_located(spark: SparkSession, d: str) -> DataFrame:
         of = E.fields(read.select("doc_id", "positions", *fields).join(keys.withColumnRenamed("k", "doc_id"), "doc_id"), ["doc_id", "positions"], wanted="asked_paths")
         place = F.get(F.filter("positions", lambda p: p["field_path"] == F.col("field_path")), F.lit(0))
         parts.append(of.select(F.col("doc_id").alias("document_id"), "field_path", "value", place.alias("p")))
-    cited = E.cite(asked, reduce(DataFrame.unionByName, parts)).where("present and p is not null")
-    return cited.select("row_id", "field_path", "p.page", *(F.round(f"p.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return E.cite(asked, reduce(DataFrame.unionByName, parts)).where("present and p is not null").select("row_id", "document_id", "field_path", "p.page", "p.x0", "p.y0", "p.x1", "p.y1")
+
+
+def cite_located(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence on documents that are there, cited again from what was read of them, with the page and rectangle of each value."""
+    return _located(spark, d).select("row_id", "field_path", "page", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def citation_crops(spark: SparkSession, d: str) -> DataFrame:
+    """The crop rectangle of every located citation, clamped to its page."""
+    crops = lookup.crop(_located(spark, d), (W.WIDTH, W.HEIGHT))
+    return crops.select("row_id", "field_path", "page", *(F.round(c, 4).alias(c) for c in ("cx0", "cy0", "cx1", "cy1")))
 
 
 def _twice(words: Words) -> Words:
@@ -165,7 +174,7 @@ def layout_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    read_documents, read_invoices, read_invoice_lines, read_orders, read_parties, read_contracts, read_rate_schedule, field_positions, cite_located,
+    read_documents, read_invoices, read_invoice_lines, read_orders, read_parties, read_contracts, read_rate_schedule, field_positions, cite_located, citation_crops,
     overlaid_layers, overlaid_read, seam_rows, artefacts_removed, page_furniture, layout_status,
 )}
 
@@ -271,6 +280,9 @@ def _words_of(t: str) -> str:
     return " UNION ALL ".join(fixed)
 
 
+_PLACED = ", ".join(f"first_{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at, row_id) AS rn FROM {t} WHERE document_id IS NOT NULL) WHERE rn = 1)" for t, _, _ in _KINDS)
+_PLACED += f""", placed AS ({" UNION ALL ".join(_positions(t, f"first_{t}", "document_id") for t, _, _ in _KINDS)})"""
+
 ORACLE = {
     "read_invoices": f"""
 SELECT row_id AS doc_id, {_V('document_id')} AS document_id, {_V('issue_date')} AS issue_date, {_V('due_date')} AS due_date, coalesce({_V('currency')}, 'EUR') AS currency, {_V('currency')} IS NULL AS currency_defaulted,
@@ -309,9 +321,8 @@ SELECT row_id AS doc_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i)
         for t in ("invoices", "purchase_orders")
     ),
     "field_positions": " UNION ALL ".join(f"SELECT '{t}' AS table_name, doc_id, field_path, page, x0, y0, x1, y1 FROM ({_positions(t, t, 'row_id')})" for t, _, _ in _KINDS),
-    "cite_located": "WITH " + ", ".join(f"first_{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at, row_id) AS rn FROM {t} WHERE document_id IS NOT NULL) WHERE rn = 1)" for t, _, _ in _KINDS)
-    + f""", placed AS ({" UNION ALL ".join(_positions(t, f"first_{t}", "document_id") for t, _, _ in _KINDS)})
-SELECT e.row_id, e.field_path, p.page, p.x0, p.y0, p.x1, p.y1 FROM evidence_items e JOIN placed p ON p.doc_id = e.document_id AND p.field_path = e.field_path""",
+    "cite_located": f"WITH {_PLACED} SELECT e.row_id, e.field_path, p.page, p.x0, p.y0, p.x1, p.y1 FROM evidence_items e JOIN placed p ON p.doc_id = e.document_id AND p.field_path = e.field_path",
+    "citation_crops": f"WITH {_PLACED} SELECT e.row_id, e.field_path, p.page, round(greatest(0, p.x0 - 4), 4) AS cx0, round(greatest(0, p.y0 - 1.5), 4) AS cy0, round(least({W.WIDTH}, p.x1 + 4), 4) AS cx1, round(least({W.HEIGHT}, p.y1 + 1.5), 4) AS cy1 FROM evidence_items e JOIN placed p ON p.doc_id = e.document_id AND p.field_path = e.field_path",
     "layout_status": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, row_id AS doc_id, CAST({_PAGES} AS INTEGER) AS page_count, 'OK' AS status, '{k}' AS document_type FROM (SELECT row_id, coalesce(len({lines}), 0) AS n FROM {t})"
         for t, k, lines in _KINDS

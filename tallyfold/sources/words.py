@@ -198,65 +198,117 @@ def printed_documents(df: DataFrame, table: str, doc_id: str = "row_id", changed
     return Documents(df.select(F.col(doc_id).alias("_id"), *columns), printed, HEIGHT)
 
 
-PDF_SCHEMA = "path string, status string, page int, word_no bigint, text string, x0 double, y0 double, x1 double, y1 double, width double, height double"
+# Files. A decoder of PDF is used where one is installed; without it every file is a row that says so.
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in PDF_SCHEMA.split(", ")]
+def _decoder():  # noqa: ANN202
     try:
         import pymupdf
     except ImportError:
-        pymupdf = None
+        return None
+    return pymupdf
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_replace(F.regexp_extract("path", r"([^/]+)\z", 1), r"(?i)\.pdf\z", "").alias("doc_id"), "path", "content")
+
+
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, path) of all PDF files below a folder, by name; the files are not read, and those of no bytes are not there."""
+    return _files(spark, folder).select("doc_id", "path").orderBy("doc_id", "path")
+
+
+def words_of_pdf(content: bytes) -> Words:
+    """Words of one file; a file that gives none says why in ``status``."""
+    decoder = _decoder()
+    if decoder is None:
+        return Words(status="NO_DECODER")
+    words = Words()
+    try:
+        with decoder.open(stream=content, filetype="pdf") as file:
+            for n, page in enumerate(file):
+                if not n:
+                    words.height = float(page.rect.height)
+                words.pages = n + 1
+                for w in page.get_text("words"):
+                    words.add(n, w[4], *map(float, w[:4]))
+    except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
+        return Words(status=f"UNREADABLE: {type(e).__name__}")
+    return words
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[object, Words]]:
+    for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        yield doc, words_of_pdf(content or b"")
+
+
+def pdf_documents(spark: SparkSession, folder: str) -> Documents:
+    """All PDF files below a folder as documents, for every operator on documents: reading, checking, citing, searching."""
+    return Documents(_files(spark, folder).select("doc_id", "content"), _decoded)
+
+
+PDF_SCHEMA = "path string, status string, page int, word_no bigint, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in PDF_SCHEMA.split(", ")]
     for pdf in batches:
-        out = []
+        out: list[tuple] = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            if pymupdf is None:
-                out.append((path, "NO_DECODER", *[None] * 9))
-                continue
-            try:
-                with pymupdf.open(stream=bytes(content), filetype="pdf") as document:
-                    n = 0
-                    for k, page in enumerate(document):
-                        for w in page.get_text("words"):
-                            out.append((path, "OK", k, n, w[4], *map(float, w[:4]), page.rect.width, page.rect.height))
-                            n += 1
-                    if not n:
-                        out.append((path, "NO_TEXT_LAYER", *[None] * 9))
-            except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
-                out.append((path, f"UNREADABLE: {type(e).__name__}", *[None] * 9))
+            w = words_of_pdf(bytes(content))
+            out += [(path, "OK", page, k, *x) for k, (page, *x) in enumerate(zip(w.page, w.text, w.x0, w.y0, w.x1, w.y1))]
+            if not len(w):
+                out.append((path, w.status or "NO_TEXT_LAYER", *[None] * 7))
         yield pd.DataFrame(out, columns=columns)
 
 
 def pdf_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all PDF files below a folder, or one row with the reason where a file gives none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInPandas(_decode, PDF_SCHEMA)
+    return _files(spark, folder).select("path", "content").mapInPandas(_decode, PDF_SCHEMA)
 
 
 CROP_SCHEMA = "path string, page int, status string, png binary"
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    try:
-        import pymupdf
-    except ImportError:
-        pymupdf = None
+    decoder = _decoder()
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            if pymupdf is None:
+            if decoder is None:
                 out.append((r.path, r.page, "NO_DECODER", None))
                 continue
             try:
-                with pymupdf.open(stream=bytes(r.content), filetype="pdf") as document:
-                    clip = pymupdf.Rect(r.cx0, r.cy0, r.cx1, r.cy1)
-                    out.append((r.path, r.page, "OK", document[int(r.page)].get_pixmap(matrix=pymupdf.Matrix(r.zoom, r.zoom), clip=clip).tobytes("png")))
+                with decoder.open(stream=bytes(r.content), filetype="pdf") as file:  # a copy in memory
+                    page = file[int(r.page)]
+                    if r.outlined:
+                        page.draw_rect(decoder.Rect(r.x0, r.y0, r.x1, r.y1), color=(1, 0, 0), width=0.8)
+                    clip = decoder.Rect(r.cx0, r.cy0, r.cx1, r.cy1)
+                    out.append((r.path, r.page, "OK", page.get_pixmap(matrix=decoder.Matrix(r.zoom, r.zoom), clip=clip).tobytes("png")))
             except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
                 out.append((r.path, r.page, f"UNREADABLE: {type(e).__name__}", None))
         yield pd.DataFrame(out, columns=["path", "page", "status", "png"])
 
 
-def pdf_crops(spark: SparkSession, folder: str, rectangles: DataFrame, zoom: float = 2.5) -> DataFrame:
-    """(path, page, status, png) for rectangles (path, page, cx0, cy0, cx1, cy1); files are only read, never changed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return rectangles.select("path", "page", "cx0", "cy0", "cx1", "cy1").join(files, "path").withColumn("zoom", F.lit(zoom)).mapInPandas(_cut_out, CROP_SCHEMA)
+def pdf_crops(spark: SparkSession, folder: str, rectangles: DataFrame, zoom: float = 2.5, outlined: bool = False) -> DataFrame:
+    """(path, page, status, png) for crop rectangles (path, page, x0, y0, x1, y1, cx0, cy0, cx1, cy1), as ``lookup.crop`` gives them.
+
+    outlined: the hit itself (x0 to y1) is outlined in red, on a copy in memory; files are only read, never changed.
+    """
+    asked = rectangles.select("path", "page", *(f"{c}{f}" for c in ("", "c") for f in ("x0", "y0", "x1", "y1")))
+    return asked.join(_files(spark, folder).select("path", "content"), "path").withColumns({"zoom": F.lit(zoom), "outlined": F.lit(outlined)}).mapInPandas(_cut_out, CROP_SCHEMA)
+
+
+def priced_lines(spec: list[tuple[str, str, float, float, float]]) -> list[dict]:
+    """Line items that agree with themselves, of (description, unit, quantity, price, rate of tax)."""
+    out = []
+    for n, (description, unit, quantity, price, rate) in enumerate(spec, 1):
+        net = round(quantity * price, 2)
+        out.append({"line_number": n, "description": description, "unit_of_measure": unit, "quantity": float(quantity), "unit_price": price, "net_amount": net, "tax_rate": rate, "line_total": round(net * (1 + rate / 100), 2)})
+    return out
+
+
+def catalogue_lines(catalogue: list[tuple[str, str, float]], count: int, start: int = 0, rate: float = 24.0) -> list[dict]:
+    """``count`` priced lines from a catalogue of (description, unit, price), from entry ``start`` on and around."""
+    return priced_lines([(*catalogue[(start + n) % len(catalogue)][:2], 2 + (start + 3 * n) % 9, catalogue[(start + n) % len(catalogue)][2], rate) for n in range(count)])

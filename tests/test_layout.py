@@ -196,12 +196,58 @@ def test_a_row_on_a_page_seam_counts_once_and_a_true_duplicate_twice():
     assert [x[0] for x in twice["lines"]] == [1, 2, 3, 2] and twice["removed_duplicates"] == []
 
 
+# A catalogue of goods and services.
+CATALOGUE = [
+    ("RRU 4415 radio unit", "EA", 1250.00), ("Fibre trunk cable 500m", "EA", 1250.00), ("Installation services", "HR", 95.00), ("Site survey", "DAY", 640.00), ("Antenna mount bracket", "EA", 78.50),
+    ("Baseband module BB6630", "EA", 3180.00), ("Microwave link 80GHz", "EA", 4120.00), ("Power distribution unit", "EA", 890.00), ("Cabinet thermal kit", "EA", 445.00), ("Commissioning and test", "DAY", 720.00),
+    ("Tower climb crew", "DAY", 1180.00), ("Spare parts kit A", "EA", 336.00), ("Optical patch panel", "EA", 214.00), ("Grounding kit", "EA", 96.50), ("Remote monitoring licence", "YR", 1540.00),
+]
+#: Known documents: (table, lines, first entry, printed error of the subtotal or order value, sum of the lines, checks)
+KNOWN = {
+    "I1": ("invoices", 26, 0, 0.0, 136343.50, 81), "I2": ("invoices", 34, 3, -4000.0, 178532.00, 105), "I3": ("invoices", 21, 6, 0.0, 137287.00, 66), "I4": ("invoices", 48, 1, 0.0, 329751.00, 147), "I5": ("invoices", 30, 9, 0.0, 152262.00, 93),
+    "P1": ("purchase_orders", 26, 0, 0.0, 136343.50, 27), "P2": ("purchase_orders", 48, 1, 0.0, 329751.00, 49), "P3": ("purchase_orders", 33, 4, -2500.0, 225783.00, 34), "P4": ("purchase_orders", 19, 7, 0.0, 114192.00, 20),
+}
+
+
+def test_known_documents_are_read_and_checked(spark):
+    from tallyfold.operators import arithmetic
+
+    rows = []
+    for name, (table, count, start, error, *_) in KNOWN.items():
+        lines = W.catalogue_lines(CATALOGUE, count, start)
+        net = round(sum(x["net_amount"] for x in lines), 2)
+        tax = round(sum(x["line_total"] - x["net_amount"] for x in lines), 2)
+        record = dict.fromkeys(W.PRINTERS[table][1]) | {"document_id": name, "lines": lines, "totals": {"subtotal": net + error, "tax_total": tax, "grand_total": net + error + tax}, "order_value": net + error}
+        w = W.PRINTERS[table][0](record)
+        rows += [(name, p, k, *x) for k, (p, *x) in enumerate(zip(w.page, w.text, w.x0, w.y0, w.x1, w.y1))]
+    read = extract.records(layout.Documents.of_words(frame(spark, rows), W.HEIGHT)).cache()
+    for r in read.collect():
+        table, count, start, error, net, _ = KNOWN[r["doc_id"]]
+        want = W.catalogue_lines(CATALOGUE, count, start)
+        assert r["status"] == "OK" and r["document_id"] == r["doc_id"] and not r["removed_duplicates"]
+        fields = ("line_number", "description", "unit_of_measure", "quantity", "unit_price", "net_amount") + (("tax_rate", "line_total") if table == "invoices" else ())
+        assert [tuple(x[f] for f in fields) for x in r["lines"]] == [tuple(x[f] for f in fields) for x in want]
+    reports = {r["doc_id"]: r for r in arithmetic.reports(arithmetic.documents(read, "doc_id")).collect()}
+    for name, (table, _, _, error, net, checks) in KNOWN.items():
+        r = reports[name]
+        assert (r["checks_run"], float(r["lines_net"])) == (checks, net)
+        found = [(d["check"], d["severity"], float(d["difference"])) for d in r["discrepancies"]]
+        assert found == ([("subtotal" if table == "invoices" else "order_value", "material", error)] if error else [])
+    assert sum(k[5] for k in KNOWN.values()) == 622
+
+
 def test_no_decoder_is_a_row(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 broken")
-    got = W.pdf_words(spark, str(tmp_path)).collect()
-    assert len(got) == 1 and got[0]["status"] != "OK"
-    asked = spark.createDataFrame([(got[0]["path"], 0, 0.0, 0.0, 10.0, 10.0)], "path string, page int, cx0 double, cy0 double, cx1 double, cy1 double")
-    cut = W.pdf_crops(spark, str(tmp_path), asked).collect()
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 broken")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "A.PDF.pdf").write_bytes(b"%")
+    (tmp_path / "note.txt").write_text("no")
+    assert [r["doc_id"] for r in W.pdf_files(spark, str(tmp_path)).collect()] == ["A.PDF", "b"]
+    got = W.pdf_words(spark, str(tmp_path)).orderBy("path").collect()
+    assert len(got) == 2 and got[0]["status"] != "OK"
+    read = extract.records(W.pdf_documents(spark, str(tmp_path))).collect()
+    assert {r["doc_id"] for r in read} == {"A.PDF", "b"} and all(r["status"] == got[0]["status"] or r["status"].startswith("UNREADABLE") for r in read) and all(r["positions"] == [] for r in read)
+    asked = spark.createDataFrame([(got[0]["path"], 0, *[0.0, 0.0, 10.0, 10.0] * 2)], "path string, page int, x0 double, y0 double, x1 double, y1 double, cx0 double, cy0 double, cx1 double, cy1 double")
+    cut = W.pdf_crops(spark, str(tmp_path), asked, outlined=True).collect()
     assert len(cut) == 1 and cut[0]["png"] is None and cut[0]["status"] == got[0]["status"]
 
 
