@@ -2,7 +2,7 @@
 
 A file stream of parsed documents is checked batch by batch; each batch is written under
 its own number, so that a batch that is run again after a failure replaces itself and
-nothing is counted twice. Late deliveries are counted in event-time windows with a watermark.
+nothing is counted twice. Arrivals are counted in event-time windows; how late a delivery may be is a watermark.
 """
 
 from __future__ import annotations
@@ -34,5 +34,10 @@ def check_stream(stream: DataFrame, out: str, checkpoint: str, doc_id: str = "ro
 
 
 def arrivals(stream: DataFrame, at: str = "ingested_at", window: str = "7 days", lateness: str = "30 days") -> DataFrame:
-    """Documents per window of their arrival; deliveries later than the watermark are left out of closed windows."""
+    """Documents per window of their arrival.
+
+    Written in append mode, a window comes out once, when the watermark has passed its end, and
+    deliveries later than that are left out; in complete mode all windows come out each time
+    and nothing is left out.
+    """
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).groupBy(F.window(at, window), "document_type").agg(F.count(F.lit(1)).alias("documents")).select(F.col("window.start").alias("window_start"), "document_type", "documents")
