@@ -443,6 +443,26 @@ def read(words: Words, height: float | None = None) -> tuple[str, dict, list[tup
     return "OK", record, positions
 
 
+_STEP = re.compile(r"([a-z_]+)(?:\[([0-9]+)\])?")
+_MEMBERS = {
+    **dict.fromkeys(("seller", "buyer", "vendor", "counterparty"), PARTY_FIELDS), "lines": LINE_FIELDS, "rate_schedule": ("description", "unit_of_measure", "max_unit_price"), "totals": ("subtotal", "tax_total", "grand_total"),
+}
+
+
+def value_at(record: dict, path: str) -> str | None:
+    """The value of a field of a read record as text, figures without trailing zeros; None where it is not printed."""
+    first, _, member = path.partition(".")
+    name, number = _STEP.fullmatch(first).groups()
+    value = record.get(name)
+    if number is not None:
+        value = value[int(number)]
+    if member and value is not None:
+        value = value[_MEMBERS[name].index(member)]
+    if isinstance(value, float):
+        return f"{Decimal(repr(value)).quantize(Decimal('0.000001'), ROUND_HALF_UP):f}".rstrip("0").rstrip(".")
+    return None if value is None else str(value)
+
+
 # Places of texts in words; a hit is (text, page, x0, y0, x1, y1).
 Hit = tuple[str, int, float, float, float, float]
 

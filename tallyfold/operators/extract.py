@@ -49,6 +49,18 @@ def positions(read: DataFrame) -> DataFrame:
     return one.select("doc_id", "document_id", "p.field_path", "p.page", F.struct("p.x0", "p.y0", "p.x1", "p.y1").alias("bounding_box"))
 
 
+def located(docs: Documents) -> DataFrame:
+    """(doc_id, field_path, value, page, x0, y0, x1, y1): every field of a document that has a place, with its value as text."""
+    height = docs.height
+
+    def run(words: Words) -> Iterator[tuple]:
+        _, record, positions = document.read(words, height)
+        for path, *place in positions:
+            yield path, document.value_at(record, path), *place
+
+    return docs.map(run, "field_path string, value string, page int, x0 double, y0 double, x1 double, y1 double")
+
+
 def printed_lines(docs: Documents, header: tuple[str, ...], stop: str) -> DataFrame:
     """(doc_id, ord, *line, page, y0): line items of one table as printed, before repeats are removed."""
     height, end = docs.height, re.compile(stop, re.I)

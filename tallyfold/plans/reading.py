@@ -84,17 +84,14 @@ def field_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence on documents that are there, with the value, page and rectangle that its field has in the document as first delivered."""
     asked = table(spark, d, "evidence_items").select("row_id", "document_id", "field_path")
-    keys = asked.where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.collect_set("field_path").alias("asked_paths"))
+    known = asked.where("document_id is not null").select(F.col("document_id").alias("k")).distinct()
     parts = []
     for name, (_, columns) in W.PRINTERS.items():
-        first = table(spark, d, name).where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.min_by(F.struct("row_id", *columns), F.struct("ingested_at", "row_id")).alias("x"))
-        read = extract.records(W.printed_documents(first.join(keys.select("k"), "k", "left_semi").select("k", "x.*"), name, "k"))
-        fields = [c for c in extract.RECORD if c != "removed_duplicates"]
-        of = E.fields(read.select("doc_id", "positions", *fields).join(keys.withColumnRenamed("k", "doc_id"), "doc_id"), ["doc_id", "positions"], wanted="asked_paths")
-        place = F.get(F.filter("positions", lambda p: p["field_path"] == F.col("field_path")), F.lit(0))
-        parts.append(of.select(F.col("doc_id").alias("document_id"), "field_path", "value", place.alias("p")))
-    return E.cite(asked, reduce(DataFrame.unionByName, parts)).where("present and p is not null").select("row_id", "document_id", "field_path", "p.page", "p.x0", "p.y0", "p.x1", "p.y1")
+        first = table(spark, d, name).where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.min_by(F.struct(*columns), F.struct("ingested_at", "row_id")).alias("x"))
+        parts.append(extract.located(W.printed_documents(first.join(known, "k", "left_semi").select("k", "x.*"), name, "k")))
+    return E.cite(asked, reduce(DataFrame.unionByName, parts).withColumnRenamed("doc_id", "document_id")).where("present")
 
 
 def cite_located(spark: SparkSession, d: str) -> DataFrame:

@@ -177,6 +177,15 @@ def test_an_invoice_is_read_with_its_positions(spark):
     assert {"payment_terms", "po_reference", "seller.name", "lines[3].description", "lines[3].unit_of_measure"} <= set(place) and not {"due_date", "totals.tax_total", "lines[0].tax_amount", "lines[39].unit_price"} & set(place)
 
 
+def test_located_fields_have_their_values(spark):
+    _, record, positions = document.read(W.print_invoice(INVOICE), W.HEIGHT)
+    value = {p[0]: document.value_at(record, p[0]) for p in positions}
+    assert value["document_id"] == "INV-1" and value["seller.name"] == "A B Oy" and value["lines[1].unit_price"] == "1050.5" and value["lines[1].quantity"] == "2" and value["totals.grand_total"] == "26.04"
+    assert value["payment_terms"] is None and value["po_reference"] is None  # printed, but what is printed is that there is none
+    df = spark.createDataFrame([(1, INVOICE["document_id"], None, None, None, None, None, None, None, None, None)], "row_id long, document_id string, issue_date string, due_date string, currency string, payment_terms string, po_reference string, seller struct<name:string>, buyer struct<name:string>, lines array<struct<line_number:int>>, totals struct<subtotal:double>")
+    assert [(r["field_path"], r["value"], r["page"]) for r in extract.located(W.printed_documents(df, "invoices")).collect()] == [("document_id", "INV-1", 0)]
+
+
 def test_a_doubled_text_layer_reads_as_the_clean_document(spark):
     from tallyfold.plans import reading
 
