@@ -76,7 +76,7 @@ def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None
     if positions is not None:
         state = state.join(positions.select(*key, F.col("page").alias("at_page"), F.col("bounding_box").alias("at_box")), key, "left")
     spread_by = [c for c in requests.columns if c not in key][:2] or key
-    found = join_hot(requests, state, key, count="asked", total=about_rows(requests), spread_by=spread_by, how="left")
+    found = join_hot(requests, state, key, count="asked", total=about_rows(requests), spread_by=spread_by, how="left", counts=counted)
     present = F.coalesce(F.col("present"), F.lit(False)) & F.coalesce(valid_path(F.col("field_path")), F.lit(False))
     out = found.withColumns({"present": present, "value": F.when(present, F.col("value"))})
     note = F.col("note") if "note" in requests.columns else F.lit(None).cast("string")

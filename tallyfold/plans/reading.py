@@ -13,7 +13,7 @@ from tallyfold.operators import evidence as E
 from tallyfold.operators import document, extract, layout, lookup
 from tallyfold.operators.document import OVERLAID, SEAM, Words
 from tallyfold.sources import words as W
-from tallyfold.sources.tables import spread, table
+from tallyfold.sources.tables import by_key, spread, table
 
 _TABLES = tuple(W.PRINTERS)
 
@@ -90,7 +90,7 @@ def _located(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, (_, columns) in W.PRINTERS.items():
         first = table(spark, d, name).where("document_id is not null").groupBy(F.col("document_id").alias("k")).agg(F.min_by(F.struct(*columns), F.struct("ingested_at", "row_id")).alias("x"))
-        parts.append(extract.located(W.printed_documents(first.join(known, "k", "left_semi").select("k", "x.*"), name, "k")))
+        parts.append(extract.located(W.printed_documents(by_key(first.join(known, "k", "left_semi").select("k", "x.*"), "k"), name, "k")))
     return E.cite(asked, reduce(DataFrame.unionByName, parts).withColumnRenamed("doc_id", "document_id")).where("present")
 
 
