@@ -35,7 +35,7 @@ from tallyfold.llm.pii_examples import SURNAME_ENDS, Sentences
 from tallyfold.llm.similarity import LEGAL_FORMS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-SENTENCES, EPOCHS = 16_000, 5
+SENTENCES, EPOCHS = 9_000, 5
 #: Tokens of a name up to which every part of a run is a candidate.
 LONG_NAME = 12
 #: Segments with at most so many signs between them, none a letter or figure, are beside each other.

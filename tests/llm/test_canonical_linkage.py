@@ -182,3 +182,14 @@ def test_confidence_does_not_depend_on_batches(spark):
         got.append(linked(spark, orders, CON))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_the_field_finds_what_no_single_likeness_does(spark):
+    """A name so mistyped that likeness times name stays below the threshold; that the lines fit lifts the party, and the party the lines."""
+    vendor, party = "Zekiln Works Oy", "Zelkin Works Oy"
+    named = linkage.same_party(vendor, party, similarity.name_similarity(vendor, party))
+    assert named * 1.0 < linkage.ACCEPT  # no likeness of a line is greater than 1
+    got = linked(spark, [order(1, vendor, [("Junction box GE-374 500 mm", "EA", 31.0), ("threaded rod KC-817 25 kg", "L", 150.0)])], CON)
+    assert {k: v[:2] for k, v in got.items()} == {("PO-1", 1): ("C2", 1), ("PO-1", 2): ("C2", 2)}
+    # where the lines speak against the party, nothing is lifted
+    assert linked(spark, [order(1, vendor, [("Junction box GE-999 500 mm", "EA", 3.0)])], CON) == {}
