@@ -92,7 +92,8 @@ def described(description: Column) -> Column:
 
 def order_lines(orders: DataFrame, has_contract: Column, key: str = "document_id") -> DataFrame:
     """(po_id, line_pos, vendor, vendor_pairs, code, measure, words, unit, price) of the orders without a contract, each order once."""
-    first = orders.where(F.col(key).isNotNull() & ~F.coalesce(has_contract, F.lit(False))).groupBy(F.col(key).alias("po_id")).agg(F.min_by(F.struct("vendor.name", "lines"), F.struct("ingested_at", "row_id")).alias("o"))
+    asked = orders.where(F.col(key).isNotNull() & ~F.coalesce(has_contract, F.lit(False))).select(F.col(key).alias("po_id"), "vendor.name", "lines", "ingested_at", "row_id")
+    first = by_key(asked, "po_id").groupBy("po_id").agg(F.min_by(F.struct("name", "lines"), F.struct("ingested_at", "row_id")).alias("o"))
     lines = first.select("po_id", F.col("o.name").alias("vendor"), name_bigrams(F.col("o.name")).alias("vendor_pairs"), F.posexplode("o.lines").alias("pos", "l"))
     return lines.select(
         "po_id", (F.col("pos") + 1).alias("line_pos"), F.when(F.col("vendor_pairs").isNotNull(), F.col("vendor")).alias("vendor"), "vendor_pairs",
