@@ -12,6 +12,10 @@ without items does not exist; a hot document's requests are salted.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +121,25 @@ def packs(citations: DataFrame, pack_id: str = "pack_id", ord_: str = "ord") ->
     )
 
 
+def json_hashed(of_packs: DataFrame) -> DataFrame:
+    """(pack_id, integrity_hash): the first 16 hexadecimal digits of the SHA-256 of the items as JSON.
+
+    The spelling is that of Python's json module with sorted names and its own separators, so
+    that a hash made elsewhere from the same items can be compared byte by byte.
+    """
+
+    @F.pandas_udf("string")
+    def hashed(items: pd.Series) -> pd.Series:
+        def plain(i: dict) -> dict:
+            box = i["bounding_box"]
+            return {**i, "bounding_box": None if box is None else [box[c] for c in ("x0", "y0", "x1", "y1")]}
+
+        number = lambda x: None if x is None else int(x)
+        return pd.Series([hashlib.sha256(json.dumps([{**plain(i), "page": number(i["page"])} for i in pack], sort_keys=True).encode()).hexdigest()[:16] for pack in items], dtype="str")
+
+    return of_packs.select("pack_id", hashed("items").alias("integrity_hash"))
+
+
 def stamped(of_packs: DataFrame, conclusion: str | None = None) -> DataFrame:
     """Packs as written: with a random id, the time, and the conclusion; not reproducible by nature."""
     return of_packs.withColumns({"pack_id": F.concat(F.lit("EP-"), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(10))), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "conclusion": F.lit(conclusion).cast("string")})

@@ -64,6 +64,10 @@ def integrity_hash(spark: SparkSession, d: str) -> DataFrame:
     return _packs(spark, d).select("pack_id", "integrity_hash")
 
 
+def integrity_hash_json(spark: SparkSession, d: str) -> DataFrame:
+    return E.json_hashed(_packs(spark, d))
+
+
 def pack_markdown(spark: SparkSession, d: str) -> DataFrame:
     return render.pack_markdown(_packs(spark, d).withColumn("conclusion", F.lit("Checked against the source documents.")))
 
@@ -77,7 +81,7 @@ def item_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return df.select("row_id", E.described(df).alias("description"))
 
 
-QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, evidence_packs, integrity_hash, pack_markdown, pack_json, item_descriptions)}
+QUERIES = {f.__name__: f for f in (field_paths, cite_fields, try_cite_absent, evidence_packs, integrity_hash, integrity_hash_json, pack_markdown, pack_json, item_descriptions)}
 
 _D = lambda x: f"regexp_replace(regexp_replace(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)) AS VARCHAR), '0+$', ''), '\\.$', '')"
 _SCALARS = ("document_id", "document_type", "source_system", "source_file", "currency", "payment_terms", "issue_date", "due_date", "po_reference")
@@ -135,6 +139,9 @@ _CANON = f"""'{{"bounding_box":' || CASE WHEN bounding_box IS NULL THEN 'null' E
 _TWO = lambda x: f"CAST(CAST(round(TRY_CAST(CAST({x} AS VARCHAR) AS DECIMAL(24,6)), 2) AS DECIMAL(24,2)) AS VARCHAR)"
 #: A double as both engines print it in JSON; NaN is text there.
 _DOUBLE = lambda x: f"CASE WHEN isnan({x}) THEN '\"NaN\"' ELSE CAST({x} AS VARCHAR) END"
+_REPR = lambda x: f"CASE WHEN {x} IS NULL THEN 'null' WHEN isnan({x}) THEN 'NaN' ELSE CAST({x} AS VARCHAR) END"
+#: Text in JSON with everything beyond ASCII escaped.
+_ASCII = lambda x: f"coalesce('\"' || array_to_string(list_transform(string_split(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), ''), lambda ch: CASE WHEN ord(ch) > 126 THEN printf('\\u%04x', ord(ch)) ELSE ch END), '') || '\"', 'null')"
 _NONE = lambda x: f"coalesce(CAST({x} AS VARCHAR), 'None')"
 _PACKED = f"""
 e AS (SELECT *, {_CANON} AS c FROM evidence_items WHERE pack_id IS NOT NULL),
@@ -176,4 +183,9 @@ SELECT p.pack_id, '### Evidence pack ' || p.pack_id || chr(10) || chr(10) || '**
     "pack_json": f"""
 WITH {_PACKED}
 SELECT pack_id, '{{"pack_id":' || {_T('pack_id')} || ',"conclusion":null,"documents":[' || document_list || '],"sources":[' || source_list || '],"weakest_confidence":' || coalesce({_DOUBLE('weakest_confidence')}, 'null') || ',"integrity_hash":"' || integrity_hash || '","items":[' || items || ']}}' AS pack FROM p""",
+    "integrity_hash_json": f"""
+WITH c AS (SELECT pack_id, ord, {_CANON} AS c, '{{"bounding_box": ' || CASE WHEN bounding_box IS NULL THEN 'null' ELSE '[' || {_REPR('bounding_box.x0')} || ', ' || {_REPR('bounding_box.y0')} || ', ' || {_REPR('bounding_box.x1')} || ', ' || {_REPR('bounding_box.y1')} || ']' END ||
+  ', "confidence": ' || {_REPR('confidence')} || ', "document_id": ' || {_ASCII('document_id')} || ', "document_type": ' || {_ASCII('document_type')} || ', "field_path": ' || {_ASCII('field_path')} || ', "note": ' || {_ASCII('note')} || ', "page": ' || coalesce(CAST(page AS VARCHAR), 'null') ||
+  ', "source_system": ' || {_ASCII('source_system')} || ', "value": ' || {_ASCII('value')} || '}}' AS j FROM evidence_items WHERE pack_id IS NOT NULL)
+SELECT pack_id, left(sha256('[' || string_agg(j, ', ' ORDER BY ord, c) || ']'), 16) AS integrity_hash FROM c GROUP BY pack_id""",
 }

@@ -35,6 +35,17 @@ def test_packs(spark):
     assert "**Conclusion.** fine" in text and "Weakest citation confidence: 0.55" in text and text.count("\n| ") == 5
 
 
+def test_the_json_hash_is_that_of_the_json_module(spark):
+    import hashlib
+    import json
+
+    rows = [("p", 1, "SAP", "Ä-1", "invoice", "x", 'a"b\\c\n', 0.5, 2, (1.0, 2.5, 3.0, 4.0), None, "t"), ("p", 0, None, None, None, "y", None, None, None, None, "€", "t")]
+    names = ("source_system", "document_id", "document_type", "field_path", "value", "confidence", "page", "bounding_box", "note")
+    items = [dict(zip(names, r[2:11])) for r in sorted(rows, key=lambda r: r[1])]
+    want = hashlib.sha256(json.dumps(items, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    assert [tuple(r) for r in evidence.json_hashed(evidence.packs(spark.createDataFrame(rows, ITEM))).collect()] == [("p", want)]
+
+
 def test_agent_functions_never_raise(spark):
     docs = documents(spark)
     words = spark.createDataFrame([("INV-1", 0, 1, "Total", 10.0, 10.0, 40.0, 20.0), ("INV-1", 0, 2, "due", 45.0, 11.0, 60.0, 21.0), ("INV-1", 0, 3, "30.00", 90.0, 10.0, 120.0, 20.0)], "doc_id string, page int, word_no long, text string, x0 double, y0 double, x1 double, y1 double")
