@@ -217,6 +217,8 @@ def priced(line: dict, entry: dict) -> bool | None:
 TOLERANCE, LOOK_EVERY, MOST_ROUNDS = 1e-6, 10, 20_000
 #: Penalty on copies that differ; of the order of the weights, so that stiff rules settle as fast as soft ones.
 PENALTY = 15.0
+#: How much further than its own solution each part steps.
+RELAX = 0.7
 
 
 def solve(n_atoms: int, linear: tuple, groups: tuple, block: np.ndarray | None = None, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, rho: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +261,8 @@ def solve(n_atoms: int, linear: tuple, groups: tuple, block: np.ndarray | None =
             xg = z[atom] - ug
             over = np.maximum(np.bincount(group_, weights=xg) - 1.0, 0.0) / size
             xg = xg - over[group_]
+            # a step further than the solution of each part, which settles in fewer rounds
+            xi, xj, xg = xi + RELAX * (xi - z[i]), xj + RELAX * (xj - z[jj]), xg + RELAX * (xg - z[atom])
             # the copies are averaged
             total = np.bincount(i, weights=xi + ui, minlength=n) + np.bincount(jj, weights=np.where(one, 0.0, xj + uj), minlength=n) + np.bincount(atom, weights=xg + ug, minlength=n)
             new = np.clip(total / degree, 0.0, 1.0)
