@@ -6,8 +6,11 @@ packed on its own by best fit in order of falling size: open containers are kept
 of their residuals, and the search starts at the tightest one that has room and goes on from
 successor to successor until one is compatible, which is one that holds no text of the same
 source and none of the same cluster of copies (each container carries a bitmap of its sources
-and one of its clusters). Copies are texts that are equal but for case, white space and
-punctuation. Where no compatible container has room, and as many containers are open as the items need at least, the
+and one of its clusters). A cluster is of texts that are equal but for case, white space and
+punctuation, and of texts whose sets of five-word shingles are similar by 0.8 or more, as
+estimated from 32 minima of hashes (two texts at 0.8 meet in one of eight bands in 98 of 100
+cases; texts of fewer than five words have no shingles). Only copies that are dealt to one
+group can meet in a container, so clusters are formed within groups. Where no compatible container has room, and as many containers are open as the items need at least, the
 constraint on the source and then that on copies gives way, so that a source or a text
 that makes up a third of a corpus does not leave the containers half empty.
 
@@ -18,6 +21,7 @@ rows with the same doc_id are items of their own; an empty table gives no contai
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -137,29 +141,82 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
 
 
 def copies(text: Column) -> Column:
-    """Cluster of copies of a text: equal letters and figures in the same order; a text without any stands for itself."""
+    """Hash of what copies have in common: letters and figures in the same order; a text without any stands for itself."""
     text = F.coalesce(text, F.lit(""))
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
     return F.xxhash64(F.when(kept == "", text).otherwise(kept))
 
 
+#: Minima of hashes that describe a text, in bands of four, and the share of equal ones from which two texts are near copies.
+MINIMA, BAND, WORDS, SIMILAR = 32, 4, 5, 0.8
+_random = np.random.default_rng(20_000)
+_FACTORS = _random.integers(1, 1 << 63, MINIMA, np.uint64) | np.uint64(1)
+_PLACES = _random.integers(1, 1 << 63, WORDS, np.uint64) | np.uint64(1)
+
+
+def signature(text: str | None) -> bytes | None:
+    """The least hashes of the shingles of a text under ``MINIMA`` orders; None for a text of fewer than five words."""
+    words = text.split() if text else []
+    if len(words) < WORDS:
+        return None
+    w = np.fromiter(map(zlib.crc32, [x.encode("utf-8", "surrogatepass") for x in words]), np.uint64, len(words))
+    n = len(words) - WORDS + 1
+    with np.errstate(over="ignore"):
+        shingles = w[:n] * _PLACES[0]
+        for k in range(1, WORDS):
+            shingles = (shingles ^ (shingles >> np.uint64(29))) * _PLACES[k] + w[k : k + n]
+        shingles ^= shingles >> np.uint64(32)
+        least = np.full(MINIMA, (1 << 32) - 1, np.uint64)
+        for at in range(0, n, 4_096):  # a very long text in parts
+            least = np.minimum(least, ((shingles[at : at + 4_096, None] * _FACTORS) >> np.uint64(32)).min(axis=0))
+    return least.astype(np.uint32).tobytes()
+
+
+def clusters(hashes: np.ndarray, signatures: list[bytes | None]) -> np.ndarray:
+    """Number of the cluster of each text of a group: equal hashes, and near copies by their signatures, directly or through others."""
+    _, first, cluster = np.unique(hashes, return_index=True, return_inverse=True)
+    up = np.arange(len(first))
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    known = np.array([k for k, i in enumerate(first) if signatures[i] is not None], int)
+    if len(known):
+        matrix = np.frombuffer(b"".join(signatures[first[k]] for k in known), np.uint32).reshape(-1, MINIMA)
+        for b in range(0, MINIMA, BAND):
+            band = np.ascontiguousarray(matrix[:, b : b + BAND]).view(f"V{4 * BAND}").ravel()
+            order = np.argsort(band, kind="stable")
+            same = np.flatnonzero(np.r_[True, band[order][1:] != band[order][:-1], True])
+            for lo, hi in zip(same[:-1], same[1:]):
+                rest = order[lo:hi]
+                while len(rest) > 1:  # those near to the first one, then those near to the first of the others
+                    near = (matrix[rest] == matrix[rest[0]]).mean(axis=1) >= SIMILAR
+                    for k in rest[near]:
+                        up[top(known[k])] = top(known[rest[0]])
+                    rest = rest[~near]
+    return np.array([top(c) for c in range(len(first))], int)[cluster] if len(first) else cluster
+
+
 def pieces(df: DataFrame, vocab, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:  # noqa: ANN001
-    """(doc_id, piece, token_start, n_tokens, source, text_hash): what is to be placed."""
+    """(doc_id, piece, token_start, n_tokens, source, text_hash, signature): what is to be placed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_of(vocab)
         for batch in batches:
             rows = []
             for doc, x, src, h in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                total = e.count(x)
+                total, sig = e.count(x), signature(x)
                 for piece, start in enumerate(range(0, max(total, 1), capacity)):
-                    rows.append((doc, piece, start, min(capacity, total - start), src, h))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "token_start", "n_tokens", "source", "text_hash"])
+                    rows.append((doc, piece, start, min(capacity, total - start), src, h, sig))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "token_start", "n_tokens", "source", "text_hash", "signature"])
 
     picked = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), copies(F.col(text)).alias("text_hash"))
-    return picked.mapInArrow(run, "doc_id bigint, piece int, token_start int, n_tokens int, source string, text_hash bigint")
+    return picked.mapInArrow(run, "doc_id bigint, piece int, token_start int, n_tokens int, source string, text_hash bigint, signature binary")
 
 
 def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -172,7 +229,7 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group_items: int
         full = int((sizes == capacity).sum())  # they come first, each its own container
         where, same_source, same_text = np.arange(len(sizes)), np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
         rest = pdf.iloc[full:]
-        found = best_fit(sizes[full:], pd.factorize(rest["source"], use_na_sentinel=False)[0], pd.factorize(rest["text_hash"])[0], capacity)
+        found = best_fit(sizes[full:], pd.factorize(rest["source"], use_na_sentinel=False)[0], pd.factorize(clusters(rest["text_hash"].to_numpy(), rest["signature"].tolist()))[0], capacity)
         where[full:], same_source[full:], same_text[full:] = found[0] + full, found[1], found[2]
         order = np.argsort(where, kind="stable")
         out = pdf.loc[order, ["doc_id", "piece", "token_start", "n_tokens"]]

@@ -109,6 +109,35 @@ def test_a_group_of_many_sources_is_small_and_quick():
         assert check(sizes, where, 2048) <= -(-int(sizes.sum()) // 2048) * 1.002 + 2
 
 
+def test_near_copies_are_one_cluster():
+    import random
+
+    r = random.Random(4)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    similarity = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    texts = []
+    for _ in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(60, 300))]
+        texts.append(" ".join(words))
+        near = words[:]
+        near[r.randrange(len(near))] = "changed"  # five shingles
+        texts.append(" ".join(near))
+        far = words[:]
+        for k in range(0, len(far), 7):
+            far[k] = "other"
+        texts.append(" ".join(far))
+    hashes = np.arange(len(texts))
+    got = packing.clusters(hashes, [packing.signature(x) for x in texts])
+    close = [(similarity(texts[k], texts[k + 1]), got[k] == got[k + 1]) for k in range(0, len(texts), 3)]
+    assert sum(same for s, same in close if s >= 0.85) >= 0.95 * sum(s >= 0.85 for s, _ in close)
+    assert all(got[k] != got[k + 2] for k in range(0, len(texts), 3)) and len(set(got)) <= 2 * 60 + 6
+    assert packing.signature(None) is None and packing.signature("a b c d") is None and packing.signature("a b c d e") == packing.signature("a  b c\nd e")
+    assert len(packing.signature("word " * 100_000)) == 4 * packing.MINIMA
+    equal = packing.clusters(np.array([5, 5, 7]), [None, None, None])
+    assert equal[0] == equal[1] != equal[2] and packing.clusters(np.array([], int), []).size == 0
+
+
 def test_containers(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(i, f"text number {i} " * (i % 40), f"s{i % 3}") for i in range(300)] + [(1000 + i, "the same text again and again", "hot") for i in range(150)] + [(5000, long, None), (5001, None, "x"), (5002, "", "x"), (5002, "", "x")]
