@@ -68,12 +68,16 @@ def fields(df: DataFrame, keys: list[str], wanted: str | None = None) -> DataFra
     return df.select(*keys, F.explode(F.filter(parts, kept)).alias("f")).select(*keys, "f.field_path", "f.value")
 
 
-def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None = None, *, default_document: str | None = None, strict: bool = False) -> DataFrame:
     """Citations for requests (…, document_id, field_path, …): adds present, value, and note where absent.
 
     of_fields: (document_id, field_path, value), one row per path; positions: (document_id,
     field_path, page, bounding_box) fills page and box where the request has none.
+    default_document: the document that is meant where a request names none; strict: an absent
+    field ends the query with an error instead of being a row that says so.
     """
+    if default_document is not None:
+        requests = requests.withColumn("document_id", F.coalesce("document_id", F.lit(default_document)))
     key = ["document_id", "field_path"]
     counted = requests.where("document_id is not null and field_path is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
     state = counted.join(of_fields.withColumn("present", F.lit(True)), key, "left")
@@ -83,6 +87,10 @@ def cite(requests: DataFrame, of_fields: DataFrame, positions: DataFrame | None
     found = join_hot(requests, state, key, count="asked", total=about_rows(requests), spread_by=spread_by, how="left", counts=counted)
     present = F.coalesce(F.col("present"), F.lit(False)) & F.coalesce(valid_path(F.col("field_path")), F.lit(False))
     out = found.withColumns({"present": present, "value": F.when(present, F.col("value"))})
+    if strict:
+        missing = F.concat(F.lit("no field "), F.coalesce("field_path", F.lit("?")), F.lit(" in document "), F.coalesce("document_id", F.lit("?")))
+        out = out.withColumn("present", F.when(F.col("present"), True).otherwise(F.raise_error(missing).cast("boolean")))
+        present = F.col("present")
     note = F.col("note") if "note" in requests.columns else F.lit(None).cast("string")
     out = out.withColumn("note", F.when(present, note).otherwise(F.lit(ABSENT)))
     if positions is not None:

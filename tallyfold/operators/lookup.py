@@ -106,6 +106,14 @@ def widened_rows(docs: Documents, find: Find, width: float | None = None) -> Dat
     return docs.map(lambda w: (_row(document.widened(w, h, width)) for h in find(w)), HIT)
 
 
+def measured(hits: DataFrame) -> DataFrame:
+    """Adds width and height of each hit, and a line that describes it; pages count from 0 there."""
+    whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
+    place = F.concat(whole("x0"), F.lit(","), whole("y0"), F.lit(" "), whole("x1"), F.lit(","), whole("y1"))
+    line = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit("  '"), F.col("text"), F.lit("'  ["), place, F.lit("]"))
+    return hits.withColumns({"width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0"), "description": line})
+
+
 def crop(hits: DataFrame, pages: DataFrame | tuple[float, float], padding: float = CROP_X, vertical: float = CROP_Y) -> DataFrame:
     """Adds the crop rectangle of each hit (cx0, cy0, cx1, cy1), clamped to the page.
 

@@ -82,6 +82,11 @@ def crop_rectangles(spark: SparkSession, d: str) -> DataFrame:
     return lookup.crop(hits, (W.GRID_WIDTH, W.GRID_HEIGHT)).select("doc_id", "page", "text", "cx0", "cy0", "cx1", "cy1")
 
 
+def hit_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    hits = lookup.search_pattern(_with_key(spark, d), KEY)
+    return lookup.measured(hits).select("doc_id", "page", "width", "height", "description")
+
+
 def row_crops(spark: SparkSession, d: str) -> DataFrame:
     """The crop rectangle of the whole row of each hit, with the text of the row."""
     rows = lookup.widened_rows(_with_key(spark, d), lookup.pattern(KEY), W.GRID_WIDTH)
@@ -107,7 +112,7 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     document_words, row_cluster, document_text, bounding_boxes, parse_figures, first_row_containing, literal_search, pattern_search, reference_scan, value_beside_right, value_beside_below,
-    row_widening, crop_rectangles, row_crops, text_pages, text_layer_status, scalar_functions,
+    row_widening, crop_rectangles, row_crops, hit_descriptions, text_pages, text_layer_status, scalar_functions,
 )}
 
 _W = r"""
@@ -140,6 +145,7 @@ c AS (SELECT a.doc_id, a.page, w.text, w.x0, w.y0, w.x1, w.y1, first_value(w.x0)
 SELECT doc_id, page, string_agg(text, ' ' ORDER BY x0) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c WHERE y0 = fy AND x0 - f < 140 GROUP BY doc_id, page""",
     "row_widening": f"WITH {_W} SELECT w.doc_id, w.page, r.text, greatest(0, r.x0 - 8) AS x0, r.y0 - 8 AS y0, least(6000, r.x1 + 8) AS x1, r.y1 + 8 AS y1 FROM words w JOIN rows r USING (doc_id, line) WHERE regexp_matches(w.text, '{KEY}')",
     "crop_rectangles": f"WITH {_W} SELECT doc_id, page, text, greatest(0, x0 - 4) AS cx0, greatest(0, y0 - 1.5) AS cy0, least(6000, x1 + 4) AS cx1, least(800, y1 + 1.5) AS cy1 FROM words WHERE regexp_matches(text, '{KEY}')",
+    "hit_descriptions": f"WITH {_W} SELECT doc_id, page, x1 - x0 AS width, y1 - y0 AS height, 'page ' || page || '  ''' || text || '''  [' || CAST(x0 AS BIGINT) || ',' || CAST(y0 AS BIGINT) || ' ' || CAST(x1 AS BIGINT) || ',' || CAST(y1 AS BIGINT) || ']' AS description FROM words WHERE regexp_matches(text, '{KEY}')",
     "row_crops": f"WITH {_W} SELECT w.doc_id, w.page, r.text, greatest(0, greatest(0, r.x0 - 8) - 4) AS cx0, greatest(0, r.y0 - 9.5) AS cy0, least(6000, least(6000, r.x1 + 8) + 4) AS cx1, least(800, r.y1 + 9.5) AS cy1 FROM words w JOIN rows r USING (doc_id, line) WHERE regexp_matches(w.text, '{KEY}')",
     "text_pages": f"WITH {_W} SELECT doc_id, page, width, height FROM pages",
 }

@@ -124,6 +124,11 @@ def overlaid_read(spark: SparkSession, d: str) -> DataFrame:
     return _all(lambda n: _read(spark, d, n, _twice).select("doc_id", "document_id", items.alias("n_items"), F.size("removed_duplicates").alias("notes"), (note["words"] > 0).alias("counted"), note["reason"].alias("reason")))
 
 
+def scanned_read(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which only pictures of their pages are left: each is a row that says why it can't be read."""
+    return _all(lambda n: _read(spark, d, n, W.scanned).select("doc_id", "status", "page_count", "document_type", F.size("positions").alias("located")))
+
+
 def _seamed(words: Words) -> Words:
     """The last line of each page printed once more at the top of the next one."""
     last = {}
@@ -172,7 +177,7 @@ def layout_status(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     read_documents, read_invoices, read_invoice_lines, read_orders, read_parties, read_contracts, read_rate_schedule, field_positions, cite_located, citation_crops,
-    overlaid_layers, overlaid_read, seam_rows, artefacts_removed, page_furniture, layout_status,
+    overlaid_layers, overlaid_read, scanned_read, seam_rows, artefacts_removed, page_furniture, layout_status,
 )}
 
 _V = lambda x: f"nullif(trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' ', 'g')), '')"
@@ -313,6 +318,7 @@ SELECT row_id AS doc_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i)
     ),
     "overlaid_layers": " UNION ALL ".join(f"SELECT '{t}' AS table_name, doc_id, CAST(sum(w) AS BIGINT) AS words, CAST(sum(w) AS BIGINT) AS dropped FROM ({_words_of(t)}) GROUP BY doc_id" for t, _, _ in _KINDS),
     "overlaid_read": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id AS doc_id, {_V('document_id')} AS document_id, CAST({_GOOD if items == 'lines' else _GOOD_RATES} AS INTEGER) AS n_items, CAST(1 AS INTEGER) AS notes, true AS counted, '{OVERLAID}' AS reason FROM {t}" for t, _, items in _KINDS),
+    "scanned_read": " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id AS doc_id, 'NO_TEXT_LAYER' AS status, CAST({_PAGES} AS INTEGER) AS page_count, CAST(NULL AS VARCHAR) AS document_type, CAST(0 AS INTEGER) AS located FROM (SELECT row_id, coalesce(len({items}), 0) AS n FROM {t})" for t, _, items in _KINDS),
     "seam_rows": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, row_id AS doc_id, CAST({_GOOD} AS INTEGER) AS n_lines, CAST(coalesce(len(list_filter(range(0, CASE WHEN coalesce(len(lines), 0) + 4 < {_N1} THEN 0 ELSE (coalesce(len(lines), 0) + 4 - {_N1}) // {_N2} + 1 END), lambda b: {_N1} + b * {_N2} <= len(lines) AND lines[{_N1} + b * {_N2}].line_number >= 0 AND lines[{_N1} + b * {_N2}].quantity IS NOT NULL AND lines[{_N1} + b * {_N2}].unit_price IS NOT NULL)), 0) AS INTEGER) AS seams FROM {t}"
         for t in ("invoices", "purchase_orders")

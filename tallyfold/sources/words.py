@@ -178,6 +178,11 @@ def print_contract(r: dict) -> Words:
     return sheet
 
 
+def scanned(words: Words) -> Words:
+    """A copy of a document of which only pictures are left: its pages, without a word."""
+    return Words(pages=words.pages)
+
+
 #: Of each table: how its records are printed, and the columns that takes.
 PRINTERS: dict[str, tuple[Callable[[dict], Words], tuple[str, ...]]] = {
     "invoices": (print_invoice, ("document_id", "issue_date", "due_date", "currency", "payment_terms", "po_reference", "seller", "buyer", "lines", "totals")),

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tallyfold.api import ALL_TOOLS, Workbench
 from tallyfold.operators import evidence, render
 
@@ -15,6 +18,10 @@ def test_cite_and_absence(spark):
     gone = evidence.ABSENT
     assert got == {(1, True, "10.5", None), (2, True, None, None), (3, False, None, gone), (4, False, None, gone), (5, False, None, gone), (6, False, None, gone), (7, True, "30", None)}
     assert evidence.cite(asked, of).count() == 8
+    assert {r["ord"] for r in evidence.cite(asked.withColumn("document_id", F.lit(None).cast("string")), of, default_document="INV-1").where("present").collect()} == {1, 2, 5, 7}
+    assert evidence.cite(asked.where("ord in (1, 7)"), of, strict=True).where("present").count() == 3
+    with pytest.raises(Exception, match=r"no field lines\[9\].unit_price in document INV-1"):
+        evidence.cite(asked.where("ord = 3"), of, strict=True).collect()
 
 
 ITEM = "pack_id string, ord int, source_system string, document_id string, document_type string, field_path string, value string, confidence double, page int, bounding_box struct<x0:double,y0:double,x1:double,y1:double>, note string, created_at string"
