@@ -61,7 +61,8 @@ def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flat(child: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: nested.flat(_nodes(spark, d), child)
+    """The flat table, linked by record and ordinals; the identities of its rows are in p3_bridge."""
+    return lambda spark, d: nested.flat(_nodes(spark, d), child).drop("node_id", "parent_id")
 
 
 #: Tables that are profiled whole: the column that identifies a row, and that of its load, if there is one
@@ -196,6 +197,40 @@ counts AS (
 )
 """
 
+_MARKS = "".join(f"\\x{{{ord(c):x}}}" for c in nested.MARKS)
+_STEPS = rf"((?:\[\d+\]|\.\"?\d+\"?|\.(?:{'|'.join(nested.HOLDERS)}))*)"
+#: SQL of found(record_id, child, parent_ord, ord, value): children of records by their paths; JSON kept as text is opened once more.
+_TREE = rf"""
+texts AS (SELECT record_id, regexp_replace(raw, '^[{_MARKS}]+|[{_MARKS}]+$', '', 'g') AS j FROM raw_records WHERE raw IS NOT NULL),
+roots AS (SELECT record_id, CASE WHEN json_type(j) = 'VARCHAR' THEN trim(json_extract_string(j, '$')) ELSE j END AS j FROM texts WHERE json_valid(j)),
+outer_tree AS (SELECT r.record_id, t.* FROM roots r, LATERAL (SELECT * FROM json_tree(r.j)) t WHERE json_valid(r.j) AND json_type(r.j) IN ('OBJECT', 'ARRAY')),
+inner_texts AS (SELECT record_id, id, fullkey, trim(json_extract_string(value, '$')) AS j FROM outer_tree WHERE type = 'VARCHAR' AND left(trim(json_extract_string(value, '$')), 1) IN ('{{', '[')),
+nodes AS (
+  SELECT record_id, id * 1000000 AS o, CAST(parent AS BIGINT) * 1000000 AS up, key, value, type, substr(fullkey, 2) AS path FROM outer_tree
+  UNION ALL SELECT i.record_id, i.id * 1000000 + t.id + 1, i.id * 1000000 + t.parent + 1, t.key, t.value, t.type, substr(i.fullkey, 2) || substr(t.fullkey, 2) FROM inner_texts i, LATERAL (SELECT * FROM json_tree(i.j)) t WHERE json_valid(i.j)
+),
+named AS (
+  SELECT *, coalesce(nullif(regexp_extract(path, '\.(allocations){_STEPS}$', 1), ''), nullif(regexp_extract(path, '\.(lines|totals|rate_schedule){_STEPS}$', 1), '')) AS child FROM nodes WHERE type = 'OBJECT' AND len(json_keys(value)) > 0
+),
+holders AS (SELECT DISTINCT n.record_id, n.o FROM named n JOIN nodes c ON c.record_id = n.record_id AND c.up = n.o AND c.type IN ('OBJECT', 'ARRAY') AND (c.key = n.child OR c.key IN ({', '.join(f"'{h}'" for h in nested.HOLDERS)}))),
+children AS (
+  SELECT n.* FROM named n ANTI JOIN holders h ON h.record_id = n.record_id AND h.o = n.o
+  WHERE n.child IS NOT NULL AND NOT len(list_filter(json_keys(n.value), lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0
+),
+tops AS (SELECT *, row_number() OVER (PARTITION BY record_id, child ORDER BY o) AS ord FROM children WHERE child <> 'allocations'),
+found AS (
+  SELECT record_id, child, 0 AS parent_ord, ord, value FROM tops
+  UNION ALL SELECT a.record_id, 'allocations', l.ord, row_number() OVER (PARTITION BY a.record_id, l.ord ORDER BY a.o), a.value FROM children a JOIN tops l ON l.record_id = a.record_id AND l.child = 'lines' AND starts_with(a.path, l.path) AND substr(a.path, length(l.path) + 1, 1) IN ('.', '[') WHERE a.child = 'allocations'
+)
+"""
+_JT = lambda x: f"json_extract_string(value, '$.{x}')"
+_JF = lambda x: f"TRY_CAST(regexp_replace(regexp_replace(json_extract_string(value, '$.{x}'), '^[^0-9(-]+', ''), '[, ]', '', 'g') AS DOUBLE)"
+
+
+def _flat_sql(child: str, columns: str) -> str:
+    return f"WITH {_TREE} SELECT record_id, CAST(parent_ord AS INTEGER) AS parent_ord, CAST(ord AS INTEGER) AS ord, {columns} FROM found WHERE child = '{child}'"
+
+
 ORACLE = {
     "p2_found": f"WITH {_REFS} SELECT ref_table, strftime(seen_at, '%Y-%m') AS ref_month, row_id FROM found WHERE reason IS NOT NULL",
     "p2_report": f"WITH {_REFS} SELECT ref_table, strftime(seen_at, '%Y-%m') AS ref_month, reason, count(*) AS orphans, count(DISTINCT ref) AS keys FROM found WHERE reason IS NOT NULL GROUP BY ALL",
@@ -240,4 +275,10 @@ shares AS (
 )
 SELECT table_name, column_name, load_id, CAST(any_value(load_n) AS BIGINT) AS n_valid, round(sum(abs(p - q)) / 2, 6) AS distance, round(sum((CASE WHEN p = 0 THEN 1e-4 ELSE p END - q) * ln(CASE WHEN p = 0 THEN 1e-4 ELSE p END / q)), 4) AS psi,
   round(any_value(load_n) * sum((p - q) * (p - q) / q), 2) AS chi2 FROM shares GROUP BY table_name, column_name, load_id""",
+    "p3_found": f"WITH {_TREE} SELECT record_id, child, CAST(parent_ord AS INTEGER) AS parent_ord, CAST(ord AS INTEGER) AS ord FROM found",
+    "p3_lines": _flat_sql("lines", f"TRY_CAST({_JT('line_number')} AS INTEGER) AS line_number, {_JT('description')} AS description, {_JT('unit_of_measure')} AS unit_of_measure, {_JF('quantity')} AS quantity, {_JF('unit_price')} AS unit_price, {_JF('net_amount')} AS net_amount, "
+                          f"coalesce({_JF('tax_rate')}, {_JF('tax.rate')}) AS tax_rate, coalesce({_JF('tax_amount')}, {_JF('tax.amount')}) AS tax_amount, {_JF('line_total')} AS line_total"),
+    "p3_totals": _flat_sql("totals", f"{_JF('subtotal')} AS subtotal, {_JF('tax_total')} AS tax_total, {_JF('grand_total')} AS grand_total, {_JT('currency')} AS currency"),
+    "p3_rate_schedule": _flat_sql("rate_schedule", f"{_JT('description')} AS description, {_JT('unit_of_measure')} AS unit_of_measure, {_JF('max_unit_price')} AS max_unit_price"),
+    "p3_allocations": _flat_sql("allocations", f"{_JT('site')} AS site, {_JF('quantity')} AS quantity"),
 }
