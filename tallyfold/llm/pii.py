@@ -44,7 +44,9 @@ BESIDE = 4
 # Titles, particles of names, words that open a signature or name a person, and kinds of streets.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "hra", "rva", "herra", "rouva", "fru", "mme", "mlle", "monsieur", "madame")
 PARTICLES = ("de", "la", "van", "von", "der", "den", "du", "le", "af", "av", "zu", "di", "da", "ten", "el")
-OPENERS = ("by", "attn", "contact", "sgd", "for", "from", "neighbour", "driver", "sheets", "regards", "cordialement", "grüßen", "grüssen", "hälsningar", "terveisin", "durch", "vertretung", "ansprechpartner", "sijaisena", "on", "allekirjoitti", "hyväksyjä", "kontakta", "chaufför", "contacter", "par", "pour", "av", "och", "of", "to", "and", "was", "ask", "authorised", "call", "per")
+OPENERS = ("by", "attn", "contact", "sgd", "for", "from", "neighbour", "driver", "sheets", "regards", "cordialement", "grüßen", "grüssen", "hälsningar", "terveisin", "durch", "vertretung", "ansprechpartner", "sijaisena", "on", "allekirjoitti", "hyväksyjä", "kontakta", "chaufför", "contacter", "par", "pour", "av", "och", "of", "to", "and", "was", "ask", "authorised", "call", "per",
+           "dear", "hello", "hi", "ring", "wishes", "sincerely", "thanks", "signed", "written", "reviewed", "recorded", "prepared", "approved", "behalf", "sender", "with", "von", "unterschrieben", "freigegeben", "kontakt", "grüße", "vertritt",
+           "allekirjoittanut", "hyväksynyt", "tuuraa", "antaa", "kuski", "föraren", "fråga", "godkänd", "joindre", "signé", "vu", "et", "und", "ja", "moi")
 STREETS_EN = "road|rd|street|st|lane|ln|way|close|yard|ave|avenue|court|drive|place|square|terrace|row|hill|gardens"
 STREETS_ONE = (
     "straße|strasse|str|weg|gasse|platz|allee|ufer|damm|gatan|gata|vägen|väg|stigen|stig|gränd|gränden|torg|torget|plan|planen|backen|"
@@ -106,7 +108,7 @@ _STREET_ENDS = tuple({f for x in STREETS_ONE.split("|") for f in (x, unicodedata
 #: Signs of a line before and after the hint that the whole of an address is looked for in.
 _BACK = 1_000
 _ADDRESSES = (
-    ("en", re.compile(rf"(?<![\w-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d)|\.\d)\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
+    ("en", re.compile(rf"(?<![\w.,-])(?:(?:Flat|Unit|Bldg|Building|Apt|Suite|Block|Floor)[ ]\w{{1,4}},[ ])?\d{{1,4}}(?:[-–]\d{{1,4}})?[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?![\w/-]|[ ]\d{{3}}(?!\d)|\.\d)\.?{_FLAT}", re.I), re.compile(_TAIL_EN, re.I)),
     ("one", re.compile(rf"(?<![\w-])(?:{_WORD}[ ]{{1,2}}){{0,2}}(?:{_WORD})?(?<=\w)(?:{_both(STREETS_ONE)})\.?[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
     ("am", re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)(?:[ ]{_WORD}){{1,2}}[ ]{{1,2}}{_UNIT}(?!\w)", re.I), re.compile(_TAIL_CODE, re.I)),
     ("fr", re.compile(rf"(?<![\w-])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-D]))?,?[ ]{{1,2}}(?:{_both(STREETS_FR)})\.?[ ](?:(?:de la|de l['’]|du|des|de|d['’])[ ]?)?{_WORD}(?:[ ][A-ZÀ-Þ]{_WORD}){{0,2}}", re.I), re.compile(_TAIL_CODE, re.I)),
@@ -170,7 +172,7 @@ class _Classes(dict):
 
         code, for the search of places where a name may be: n given, or like a surname and capital, t title,
         m the M. that may be one, k other with a capital, K the same and an opener, p particle,
-        P the same and an opener, o opener, . nothing of this.
+        P the same and an opener, o opener, x like a surname in small letters, . nothing of this.
         """
         plain = token.lower()
         low = unicodedata.normalize("NFC", plain)
@@ -194,15 +196,15 @@ class _Classes(dict):
             return c, "n"
         if c == "T":
             return c, "t"
-        if plain == "m.":
+        if token == "M.":
             return c, "m"
         if c in "wI" and token[0].isupper():
             return c, "K" if opens else "k"
-        return c, ("P" if opens else "p") if c == "p" else "o" if opens else "."
+        return c, "x" if c == "s" else ("P" if opens else "p") if c == "p" else "o" if opens else "."
 
 
-#: A place where a name may be: a given name or one like a surname, a capital word after an opener with a capital or a particle behind it, a capital word after a title.
-_ANCHOR = re.compile(r"n|(?<=[oKPtm])[kKm](?=[nkKpPm])|(?<=[tm])[kKm]")
+#: A place where a name may be: a given name or one like a surname, one like a surname in small letters in the second place after an opener, a capital word after an opener with a capital or a particle behind it, a capital word after a title.
+_ANCHOR = re.compile(r"n|(?<=[oKPtm][.x])x|(?<=[oKPtm])[kKm](?=[nkKpPm])|(?<=[tm])[kKm]")
 _RUNS = re.compile(r"([Ipg])\1+")
 _TITLE_GAP = re.compile(r"\.?[ \xa0]{1,2}|[ \xa0]?\n")
 
@@ -407,7 +409,7 @@ class Model:
 
     def _name(self, text: str, tokens: list, cls: str, cases: str, join: Callable[[int], str | None], i: int, j: int) -> Iterator[tuple]:
         titled = 0
-        if i > 0 and (cls[i - 1] == "T" or tokens[i - 1][0] in ("M.", "m.")) and _TITLE_GAP.fullmatch(text, tokens[i - 1][2], tokens[i][1]):
+        if i > 0 and (cls[i - 1] == "T" or tokens[i - 1][0] == "M.") and _TITLE_GAP.fullmatch(text, tokens[i - 1][2], tokens[i][1]):
             titled = 1 if cls[i - 1] == "T" else 2  # M. may be an initial as well
         key = (cls[i : j + 1], cases[i : j + 1], "".join([join(k) for k in range(i, j)]), titled)
         known = self.shapes.get(key, 0)
@@ -473,6 +475,8 @@ class Model:
                 sign = text[end : end + 1]
                 f = lambda: [f"address|b={which}", f"address|{which}{case}", f"address|{which}t{tailed}{int(bool(t))}", f"address|{which}k={count}", f"address|len={size}", f"address|dot={dot}{sign!r}"]  # noqa: B023, E731
                 named = [f"address|w={w.lower()}" for w in words[: 4 if which == "en" else 1]]
+                if which != "en" and count > 1:
+                    named.append(f"address|e={words[0][-5:].lower()}")
                 named.append(f"address|end={words[-1].lower() if words else ''}{text[e - 1] == '.'}{text[e : e + 1] == '.'}")
                 yield from self._candidate(text, s, end, "address", ("address", which, case, tailed, bool(t), count, size, dot, sign), f, named)
 

@@ -59,6 +59,7 @@ Dear {NAME},
 Trip of {NAME}, passport no. {ID}, booked on {key}.
 Seen by {NAME} of {ADDRESS}.
 {Word} {ADDRESS}
+{Word}adresse {ADDRESS}
 {Word} {Word} {ADDRESS}
 {Word}adresse {ADDRESS}
 {Word}osoite {ADDRESS}
@@ -81,7 +82,10 @@ Seen by {NAME} of {ADDRESS}.
 {NAME} {word} {word} {word}.
 {NAME}: {word} {word}
 {NAME_R}: {word} {word}
-{Word} {NAME} {word} {NAME}.
+{Word} {word} {NAME} {word} {NAME}.
+{Word} av {NAME}
+{Word} av {NAME_R} {word} {word}
+{Word} {word} av {NAME}, {word}
 {Word} {word} {title} {SURNAME} {word}.
 {Word} {word} {titlede} {SURNAME}, {word}.
 {NAME_R} of {ADDRESS} was there.
@@ -107,6 +111,9 @@ Tel: {PHONE}
 Mobile {PHONE}
 Téléphone {PHONE}, courriel {EMAIL}.
 {company}\\n{NAME}\\n{EMAIL}\\n{town}
+{key}\\n{company}\\n{town}\\n{NAME}\\n{EMAIL}
+{company}\\n{town}\\n{NAME_R}\\n{EMAIL}
+{company}\\n{town}\\n{NAME_I}\\n{EMAIL}
 {company}\\n{town}\\n{PHONE}\\n{n} {article} {n} 4.20 61.75
 {company}\\n{ADDRESS}\\n{PHONE}
 {NAME}, geboren in {town}, wohnt {ADDRESS}.
@@ -315,7 +322,7 @@ Quality, Logistics and Purchasing were told. Nobody from Finance came.
 The {word} {word} the {word} {word}, and {word} {word} by {word} {word}.
 We sold the old Press Line to {company} in {town}.
 """
-LEADS = ("", "", "", "", "", "Note: ", "By the way: ", "As said, ", "Second: ", "> ", "* ", "- ", "2) ", "Übrigens: ", "Notiz: ", "Huomio: ", "Myös: ", "Obs: ", "Till sist: ", "À noter : ", "Enfin : ", "(", "Update ")
+LEADS = ("", "", "", "", "", "Note: ", "By the way: ", "As said, ", "FYI, ", "PS, ", "NB ",  "Second: ", "> ", "* ", "- ", "2) ", "Übrigens: ", "Notiz: ", "Huomio: ", "Myös: ", "Obs: ", "Till sist: ", "À noter : ", "Enfin : ", "(", "Update ")
 #: Endings that surnames of many countries have; a word that ends so is like a surname.
 SURNAME_ENDS = (
     "son", "sson", "sen", "nen", "inen", "lainen", "berg", "borg", "burg", "bury", "mann", "stein", "feld", "ström", "strom", "strömer", "quist", "qvist", "kvist", "lund", "gren", "gaard", "gård", "holm", "holt", "ski", "sky", "ovsky",
@@ -402,7 +409,7 @@ class Sentences:
             middle += r.choice(("von ", "van der ", "de "))
         gap = "  " if r.random() < 0.06 else "\n" if r.random() < 0.02 else "\xa0" if r.random() < 0.02 else " "
         # in small letters throughout only where the given name is one of the list
-        return self.cased(f"{first}{gap}{middle}{self.surname()}", 0.08 if first in self.given else 0.02)
+        return self.cased(f"{first}{gap}{middle}{self.surname()}", 0.08 if first in self.given else 0.05)
 
     def street(self) -> str:
         r = self.r
@@ -415,12 +422,12 @@ class Sentences:
             head = r.choice(("", "", "", "Flat 3, ", "Unit 6, ", "Bldg C, ", "Suite 12, ")) + f"{n}{r.choice(('', '', 'a', 'b'))} {named} {r.choice(STREETS_EN)}{r.choice(('', '', '', '', '', '', ', Suite 40', ', Flat 2'))}"
             tail = f"{self.word()}{r.choice(('', '', ' Heath', ' Green'))} {r.choice(('QX', 'B', 'LS', 'ZE', 'N'))}{self.digits('##')} {self.digits('#')}{r.choice(('ZZ', 'AB', 'QT'))}"
         elif kind == "de":
-            named = f"{r.choice(BEFORE_DE)} {self.word()}" if r.random() < 0.25 else r.choice(("", "", "", "Alte ", "Neue ")) + self.word(r.choice((1, 2))) + r.choice(STREETS_DE)
+            named = f"{r.choice(BEFORE_DE)} {self.word()}" if r.random() < 0.25 else r.choice(("", "", "", "", "", "", "Alte ", "Neue ", "Große ")) + self.word(r.choice((1, 2))) + r.choice(STREETS_DE)
             head, tail = f"{named} {n}{unit}", f"{self.digits('#####')} {self.word()}"
         elif kind == "sv":
-            head, tail = f"{r.choice(('', '', '', 'Gamla ', 'Lilla '))}{self.word(r.choice((1, 2)))}{r.choice(STREETS_SV)} {n}{unit}", f"{self.digits('### ##')} {self.word()}"
+            head, tail = f"{r.choice(('', '', '', '', '', 'Gamla ', 'Lilla '))}{self.word(r.choice((1, 2)))}{r.choice(STREETS_SV)} {n}{unit}", f"{self.digits('### ##')} {self.word()}"
         elif kind == "fi":
-            head, tail = f"{r.choice(('', '', '', 'Vanha ', 'Uusi '))}{self.word(r.choice((1, 2)))}{r.choice(STREETS_FI)} {n}{unit}", f"{self.digits('#####')} {self.word()}"
+            head, tail = f"{r.choice(('', '', '', '', '', 'Vanha ', 'Uusi '))}{self.word(r.choice((1, 2)))}{r.choice(STREETS_FI)} {n}{unit}", f"{self.digits('#####')} {self.word()}"
         else:
             named = r.choice((f"{r.choice(('du ', 'des ', 'de la ', 'de '))}{self.word()}", self.word(), f"de l'{self.word()}", f"du {self.word()}-{self.word()}", f"des {self.word()}-{self.word()}"))
             head, tail = f"{n}{r.choice(('', '', '', ' bis', ' ter', ' bis,', ',', ','))} {r.choice(STREETS_FR)} {named}", f"{self.digits('#####')} {self.word()}{r.choice(('', '', f'-sur-{self.word(1)}'))}"
@@ -514,6 +521,6 @@ class Sentences:
                         spans.append((len(text), len(text) + len(filled), kind))
                     text += filled
                 text += rest
-            if self.r.random() < 0.05 and len(text.upper()) == len(text):
+            if self.r.random() < 0.1 and len(text.upper()) == len(text):
                 text = text.upper()
             yield text, spans
