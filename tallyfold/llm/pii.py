@@ -76,7 +76,7 @@ _EMAIL = re.compile(
     r"[\w\u0300-\u036f-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[\w\u0300-\u036f-]+)*(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[^\W\d_]{2,}(?![\w@-])",
     re.I,
 )
-_AT = re.compile(r"@|[(\[{]\s?(?:a\u0308|[aä])t\s?[)\]}]|\sat\s", re.I)
+_AT = re.compile(r"@|[(\[{]\s?(?:[aA]\u0308|[aäAÄ])[tT]\s?[)\]}]|\s[aA][tT]\s")
 _PHONE = re.compile(r"(?<![\w.,/+-])(?=[+(\d][\d ()+./\-\xa0\n–]{4,}\d)\+?\(?\d+\)?(?:(?:[ \xa0]?[/.\-()–][ \xa0]?|[ \xa0\n])\(?\d+\)?|(?<=\))\d+\)?)*(?!\w)")
 _DECIMAL, _DOTTED = re.compile(r"\d\.\d{2}(?=[ \n]|\Z)"), re.compile(r"\+?[\d. ]*\d{2}\.\d{2}\.\d{2}\Z")
 _DATE = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d|(?:19|20)\d\d-\d\d-\d\d)\Z")
@@ -89,7 +89,7 @@ _ID_FORMS = (
     r"(?:(?<=[A-Za-z]{2}\d)|(?<=[A-Za-z]{2} \d))\d ?\d{2} ?\d{2} ?[A-Da-d]",
     r"(?<=[A-Za-z]{2}\d)\d{6}",
 )
-_IDS = re.compile(rf"\d(?:{'|'.join(f'({x})' for x in _ID_FORMS)})(?![\w/-])")
+_IDS = re.compile(rf"\d(?=[-\dAa +]{{6}})(?:{'|'.join(f'({x})' for x in _ID_FORMS)})(?![\w/-])")
 _WITH_LETTERS = 5
 
 _WORD = r"[^\W\d_][\w\u0300-\u036f'’-]*"
@@ -99,12 +99,12 @@ _FLAT = r"(?:,?[ ](?:as\.|lgh|apt\.?|suite|unit|flat|whg\.?|wohnung|bât\.?|app\
 _UNIT = r"\d{1,4}(?:[-–/]\d{1,4})?(?:[ ]?[A-Za-z](?![\w'’])(?:[ ]\d{1,3}(?!\w))?)?" + _FLAT
 _HINTS = {
     "en": re.compile(rf"\d[a-z]?[ ]{{1,2}}(?:{_WORD}[ ]{{1,2}}){{1,3}}(?:{STREETS_EN})(?!\w)", re.I),
-    "one": re.compile(r"[^\W\d_]\u0308?\.? {1,2}(?=\d)"),  # after a word that ends like a street
+    "one": re.compile(r" (?:(?<=[\w\u0308] )|(?<=[\w\u0308]\. )) ?(?=\d)"),  # after a word that ends like a street
     # beginnings that say no more than the next pattern needs, so that the search is quick
     "am": re.compile(r"[AaIiZzUu](?<!\w[AaIiZzUu])(?:[mM]|[nN] [dD][eE][rRnN]|[uU][fF] [dD][eE][rRmM]|[uU][mMrR]|[nN][tT][eE][rR] [dD][eE][nN])[ ]"),
-    "fr": re.compile(rf" (?:{_both(STREETS_FR)})\.? ", re.I),
+    "fr": re.compile(rf" (?=[racqpbis])(?:{_both(STREETS_FR)})\.? ", re.I),
 }
-_STREET_ENDS = tuple({f for x in STREETS_ONE.split("|") for f in (x, unicodedata.normalize("NFD", x))})
+_STREET_ENDS = tuple({f for x in STREETS_ONE.split("|") for f in (x, unicodedata.normalize("NFD", x)) for f in (f, f"{f}.")})
 #: Signs of a line before and after the hint that the whole of an address is looked for in.
 _BACK = 1_000
 _ADDRESSES = (
@@ -341,7 +341,7 @@ class Model:
         for which, head, tail in _ADDRESSES:
             done = -1
             for h in _HINTS[which].finditer(text):
-                if which == "one" and not text[max(0, h.start() - 13) : h.start() + 1].lower().endswith(_STREET_ENDS):
+                if which == "one" and not text[max(0, h.start() - 14) : h.start()].lower().endswith(_STREET_ENDS):
                     continue
                 if h.end() <= done:
                     continue
