@@ -93,7 +93,7 @@ def p5_shift(spark: SparkSession, d: str) -> DataFrame:
     """Change of distribution of every column of the tables that come in loads."""
     cells = _all_cells(spark, d, (name for name, (_, load) in PROFILED.items() if load))
     counts = profile.categories(profile.with_validity(cells, profile.FORMS))
-    return profile.shifts(counts).select("table_name", "column_name", "load_id", "n_valid", F.round("distance", 6).alias("distance"), F.round("psi", 4).alias("psi"), F.round("chi2", 2).alias("chi2"))
+    return profile.shifts(counts).select("table_name", "column_name", "load_id", "n_valid", F.round("distance", 6).alias("distance"), F.round("psi", 4).alias("psi"), F.round("chi2", 3).alias("chi2"))
 
 
 QUERIES = {
@@ -274,7 +274,7 @@ shares AS (
   LEFT JOIN bins b ON b.table_name = l.table_name AND b.column_name = l.column_name AND b.load_id = l.load_id AND b.bin = w.bin
 )
 SELECT table_name, column_name, load_id, CAST(any_value(load_n) AS BIGINT) AS n_valid, round(sum(abs(p - q)) / 2, 6) AS distance, round(sum((CASE WHEN p = 0 THEN 1e-4 ELSE p END - q) * ln(CASE WHEN p = 0 THEN 1e-4 ELSE p END / q)), 4) AS psi,
-  round(any_value(load_n) * sum((p - q) * (p - q) / q), 2) AS chi2 FROM shares GROUP BY table_name, column_name, load_id""",
+  round(any_value(load_n) * sum((p - q) * (p - q) / q), 3) AS chi2 FROM shares GROUP BY table_name, column_name, load_id""",
     "p3_found": f"WITH {_TREE} SELECT record_id, child, CAST(parent_ord AS INTEGER) AS parent_ord, CAST(ord AS INTEGER) AS ord FROM found",
     "p3_lines": _flat_sql("lines", f"TRY_CAST({_JT('line_number')} AS INTEGER) AS line_number, {_JT('description')} AS description, {_JT('unit_of_measure')} AS unit_of_measure, {_JF('quantity')} AS quantity, {_JF('unit_price')} AS unit_price, {_JF('net_amount')} AS net_amount, "
                           f"coalesce({_JF('tax_rate')}, {_JF('tax.rate')}) AS tax_rate, coalesce({_JF('tax_amount')}, {_JF('tax.amount')}) AS tax_amount, {_JF('line_total')} AS line_total"),
