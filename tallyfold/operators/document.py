@@ -70,26 +70,35 @@ class Words:
     def __len__(self) -> int:
         return len(self.text)
 
-    def box(self, words: Iterable[int]) -> Box:
-        words = list(words)
+    def box(self, words: list[int]) -> Box:
+        """The union of the boxes of some words."""
+        if len(words) == 1:
+            return self.at(words[0])
         return self.page[words[0]], min(self.x0[w] for w in words), min(self.y0[w] for w in words), max(self.x1[w] for w in words), max(self.y1[w] for w in words)
 
+    def at(self, word: int) -> Box:
+        """The box of one word."""
+        return self.page[word], self.x0[word], self.y0[word], self.x1[word], self.y1[word]
+
     def joined(self, words: Iterable[int]) -> str:
         return " ".join([self.text[w] for w in words])
 
 
 def single(words: Words) -> tuple[list[int], int]:
     """Positions of the words that count, and how many are repeats of one at the same place."""
-    seen: dict[tuple, None] = {}
+    seen: set[tuple] = set()
     kept, repeats = [], 0
+    tenth: dict[float, float] = {}
     for w, (page, text, x, y) in enumerate(zip(words.page, words.text, words.x0, words.y0)):
         if page is None or text is None or x is None or y is None:
             continue
-        key = (page, text, round(x, 1), round(y, 1))
+        if (top := tenth.get(y)) is None:
+            top = tenth[y] = round(y, 1)
+        key = (page, text, round(x, 1), top)
         if key in seen:
             repeats += 1
         else:
-            seen[key] = None
+            seen.add(key)
             kept.append(w)
     return kept, repeats
 
@@ -99,7 +108,9 @@ def clustered(words: Words, kept: Iterable[int]) -> list[list[int]]:
     page, x0, y0 = words.page, words.x0, words.y0
     rows: list[list[int]] = []
     at, anchor = None, 0.0
-    for w in sorted(kept, key=lambda w: (page[w], round(y0[w], 1), x0[w])):
+    kept = list(kept)
+    tenth = {y: round(y, 1) for y in {y0[w] for w in kept}}
+    for w in sorted(kept, key=lambda w: (page[w], tenth[y0[w]], x0[w])):
         if page[w] != at or abs(y0[w] - anchor) > ROW_TOLERANCE:
             at, anchor = page[w], y0[w]
             rows.append([w])
@@ -211,7 +222,7 @@ class Document:
         at = self.row_with(label)
         for k in reversed(self.rows[at] if at is not None else []):
             if (value := figure(self.words.text[k])) is not None:
-                return value, self.words.box([k])
+                return value, self.words.at(k)
         return None
 
     def party(self, label: str) -> dict[str, tuple[str, Box]]:
@@ -291,7 +302,7 @@ class Document:
             if value["tax_rate"] is not None and value["net_amount"] is not None and value["line_total"] is not None:
                 tax = float((_cents(value["line_total"]) - _cents(value["net_amount"])).quantize(Decimal("0.01"), ROUND_HALF_UP))
             record = (int(first), w.joined(described) if others else None, w.text[unit[0]] if unit else None, *value.values(), tax)
-            places = {c: w.box([figures[n][0]]) for c, n in given.items()}
+            places = {c: w.at(figures[n][0]) for c, n in given.items()}
             if others:
                 places["description"] = w.box(others)
             if unit:
@@ -311,7 +322,7 @@ class Document:
             figures, others = self._parted(row, zone)
             if not figures:
                 continue
-            places = {"max_unit_price": w.box([figures[-1][0]])}
+            places = {"max_unit_price": w.at(figures[-1][0])}
             if others:
                 places["description"] = w.box(others)
             out.append(((w.joined(others[:-1]) or w.text[others[0]] if others else None, w.text[others[-1]] if others else None, figures[-1][1]), places))
