@@ -32,6 +32,20 @@ def test_business_is_no_item(model):
     assert items(model, text) == []
 
 
+def test_wording_of_the_documents(model):
+    """Inputs in the wording of the project's documents, which the patterns of the training no longer have."""
+    text = "Prepared by Hedda J. Quergaard, +44 7700 900 123\nDeliver to Flat 3, 14 Tallow Lane, Brackwell Heath QX17 5ZZ, attn. Kaisu  Osksbury.\nRückfragen an silke.falholt (at) grauwerk dot example oder mailto:AP@HARVIK.EXAMPLE.\nSSN 666-41-7426 must not appear on the invoice again."
+    assert items(model, text) == [
+        ("address", "Flat 3, 14 Tallow Lane, Brackwell Heath QX17 5ZZ"), ("email", "AP@HARVIK.EXAMPLE"), ("email", "silke.falholt (at) grauwerk dot example"), ("id_number", "666-41-7426"),
+        ("name", "Hedda J. Quergaard"), ("name", "Kaisu  Osksbury"), ("phone", "+44 7700 900 123"),
+    ]
+    text = "Mark the cartons with PO-00762389398 and the line number.\nLot 40 671 9613 was blocked by quality on 2.10.2025.\nWill the remaining goods be shipped before 6.8.?\nKolvane Handling Oyj will send a credit note of EUR 1,311.20.\nGrant from the fund, Art. no. 040-9010-304, waybill LOT7084338.\n3 Stud bar KC 817 25 kg 79 4.42 349.18"
+    assert items(model, text) == []
+    assert items(model, "I spoke to Mr Kovnière and to Onni Stavecke yesterday.") == [("name", "Kovnière"), ("name", "Onni Stavecke")]
+    apart = unicodedata.normalize("NFD", "Leverans till Bruksgränd 123, 281 16 Norrhamra.\nAdresse de livraison : 142, allée Maubrel\nContact hedda98(ät)fjellmar.test.")
+    assert [(k, unicodedata.normalize("NFC", x)) for k, x in items(model, apart)] == [("address", "142, allée Maubrel"), ("address", "Bruksgränd 123, 281 16 Norrhamra"), ("email", "hedda98(ät)fjellmar.test")]
+
+
 @pytest.mark.parametrize("name", [
     "Hedda J. K. von der Quergaard", "Maria Onni Kaisu Hedda Quergaard", "Onni de la van der Falholt", "Hedda Onni Silke Kaisu Callum J. K. L. von der Quergaard", "J. K. L. M. N. Quergaard", "Hedda " + "A. " * 20 + "Quergaard", "Hedda Onni " * 12 + "Quergaard",
 ])
