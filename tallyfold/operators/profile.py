@@ -64,11 +64,13 @@ def _split(kind: T.DataType, name: str, path: str) -> tuple[list[Leaf], list[tup
     return [Leaf(name, f"cast({path} as string)", isinstance(kind, T.NumericType))], []
 
 
-def all_cells(df: DataFrame, table: str, leave_out: tuple[str, ...] = (), load: str | None = "load_id") -> DataFrame:
+def all_cells(df: DataFrame, table: str, leave_out: tuple[str, ...] = (), load: str | None = "load_id", *, load_too: bool = False) -> DataFrame:
     """Unpivot of all leaves: (table_name, column_name, load_id, value, number) with every value as a string.
 
     Times count as numbers (microseconds). The items of each array are unpivoted in a pass of their own.
+    The column of the load is unpivoted like the others only with ``load_too``.
     """
+    without = leave_out if load_too else (load, *leave_out)
     parts: list[DataFrame] = []
 
     def unpivot(rows: DataFrame, leaves: list[Leaf], arrays: list[tuple[str, str, T.DataType]]) -> None:
@@ -78,7 +80,7 @@ def all_cells(df: DataFrame, table: str, leave_out: tuple[str, ...] = (), load:
         for name, path, kind in arrays:
             unpivot(rows.select("load_id", F.expr(f"explode({path}) as item")), *_split(kind, name, "item"))
 
-    rows = df.select((F.col(load) if load else F.lit(None)).cast("int").alias("load_id"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (load, *leave_out))).alias("row"))
+    rows = df.select((F.col(load) if load else F.lit(None)).cast("int").alias("load_id"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("row"))
     fields = [_split(f.dataType, f.name, f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields]
     unpivot(rows, [x for p, _ in fields for x in p], [x for _, p in fields for x in p])
     out = parts[0]

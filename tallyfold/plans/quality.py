@@ -65,11 +65,14 @@ def _flat(child: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: nested.flat(_nodes(spark, d), child).drop("node_id", "parent_id")
 
 
-#: Tables that are profiled whole: the column that identifies a row, and that of its load, if there is one
+#: Tables of p5_profile: the column that identifies a row, and that of its load, if there is one; their SQL says nothing of these two
 PROFILED = {
     "invoices": ("row_id", "load_id"), "purchase_orders": ("row_id", "load_id"), "evidence_items": ("row_id", "load_id"),
     "contracts": ("row_id", None), "raw_records": ("record_id", None), "documents": ("doc_id", None),
 }
+#: All tables; p5_profile_all and p5_shift_all have every column of them
+EVERY = PROFILED | {"given_names": (None, None)}
+LOADED = [name for name, (_, load) in PROFILED.items() if load]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,27 +83,44 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.findings(cells, profile.FORMS, form_only={"purchase_orders"}, no_shift={"po_reference"})
 
 
-def _all_cells(spark: SparkSession, d: str, names: Iterable[str]) -> DataFrame:
-    """Every column of tables, fields of structs and arrays included."""
-    return reduce(DataFrame.unionByName, (profile.all_cells(table(spark, d, n), n, PROFILED[n][:1], PROFILED[n][1]) for n in names))
+def _all_cells(spark: SparkSession, d: str, names: Iterable[str], keys: bool = True) -> DataFrame:
+    """Every column of tables, fields of structs and arrays included; without ``keys``, all but those that identify rows and loads."""
+    return reduce(DataFrame.unionByName, (profile.all_cells(table(spark, d, n), n, () if keys else EVERY[n][:1], EVERY[n][1], load_too=keys) for n in names))
+
+
+def _profiled(cells: DataFrame) -> DataFrame:
+    return profile.profile(profile.with_validity(profile.value_counts(cells), profile.FORMS))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.profile(profile.with_validity(profile.value_counts(_all_cells(spark, d, PROFILED)), profile.FORMS))
+    return _profiled(_all_cells(spark, d, PROFILED, keys=False))
 
 
-def p5_shift(spark: SparkSession, d: str) -> DataFrame:
-    """Change of distribution of every column of the tables that come in loads."""
-    cells = _all_cells(spark, d, (name for name, (_, load) in PROFILED.items() if load))
+def p5_profile_all(spark: SparkSession, d: str) -> DataFrame:
+    """p5_profile with the columns that its SQL has not: identities, loads, given names."""
+    return _profiled(_all_cells(spark, d, EVERY))
+
+
+def _shifted(cells: DataFrame) -> DataFrame:
     counts = profile.categories(profile.with_validity(cells, profile.FORMS))
     return profile.shifts(counts).select("table_name", "column_name", "load_id", "n_valid", F.round("distance", 6).alias("distance"), F.round("psi", 4).alias("psi"), F.round("chi2", 3).alias("chi2"))
 
 
+def p5_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Change of distribution of the columns of the tables that come in loads."""
+    return _shifted(_all_cells(spark, d, LOADED, keys=False))
+
+
+def p5_shift_all(spark: SparkSession, d: str) -> DataFrame:
+    """p5_shift with the columns that its SQL has not: identities and loads."""
+    return _shifted(_all_cells(spark, d, LOADED))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p2_runs": p2_runs,
     "p3_found": p3_found, "p3_records": p3_records, "p3_objects": p3_objects, "p3_bridge": p3_bridge,
     "p3_lines": _flat("lines"), "p3_totals": _flat("totals"), "p3_rate_schedule": _flat("rate_schedule"), "p3_allocations": _flat("allocations"),
-    "p5_found": p5_found, "p5_profile": p5_profile, "p5_shift": p5_shift,
+    "p5_found": p5_found, "p5_profile": p5_profile, "p5_shift": p5_shift, "p5_profile_all": p5_profile_all, "p5_shift_all": p5_shift_all,
 }
 
 _REFS = r"""
@@ -282,3 +302,10 @@ SELECT table_name, column_name, load_id, CAST(any_value(load_n) AS BIGINT) AS n_
     "p3_rate_schedule": _flat_sql("rate_schedule", f"{_JT('description')} AS description, {_JT('unit_of_measure')} AS unit_of_measure, {_JF('max_unit_price')} AS max_unit_price"),
     "p3_allocations": _flat_sql("allocations", f"{_JT('site')} AS site, {_JF('quantity')} AS quantity"),
 }
+
+#: SQL of the cells that p5_profile_all and p5_shift_all have besides those of the SQL above, which stands as it is
+_KEY_CELLS = " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, '{c}' AS column_name, {load or 'CAST(NULL AS INTEGER)'} AS load_id, CAST(NULL AS VARCHAR) AS t, CAST({c} AS DOUBLE) AS x FROM {t}" for t, (key, load) in PROFILED.items() for c in (key, load) if c]
+    + [f"SELECT 'given_names', '{c}', CAST(NULL AS INTEGER), {c}, CAST(NULL AS DOUBLE) FROM given_names" for c in ("given_name", "lang")]
+)
+ORACLE |= {f"{name}_all": ORACLE[name].replace("every AS (", f"every AS ({_KEY_CELLS} UNION ALL ", 1) for name in ("p5_profile", "p5_shift")}

@@ -81,3 +81,21 @@ def test_every_column_has_its_shift(spark, tiny):
     found = quality.p5_profile(spark, tiny).where("load_id is not null and n_nulls + n_violations < n_rows")
     assert loads(quality.p5_shift(spark, tiny)) == loads(found)
     assert {("invoices", "currency"), ("evidence_items", "field_path"), ("purchase_orders", "source_system"), ("invoices", "po_reference"), ("invoices", "lines[].unit_price"), ("invoices", "removed_duplicates[].reason")} <= {x[:2] for x in loads(found)}
+
+
+def test_no_column_is_left_out(spark, tiny):
+    from tallyfold.plans import quality
+
+    names = ["invoices", "purchase_orders", "evidence_items", "contracts", "raw_records", "documents", "given_names"]
+    held = {(n, c) for n in names for c in spark.read.parquet(f"{tiny}/{n}.parquet").columns}
+    top = lambda df: {(r["table_name"], r["column_name"].split(".")[0].removesuffix("[]")) for r in df.select("table_name", "column_name").distinct().collect()}
+    assert top(quality._all_cells(spark, tiny, names)) == held == top(quality.p5_profile_all(spark, tiny))
+    assert top(quality.p5_shift_all(spark, tiny)) - top(quality.p5_shift(spark, tiny)) == {(n, c) for n in names[:3] for c in ("row_id", "load_id")}
+
+
+def test_identities_and_loads_are_columns(spark):
+    df = spark.createDataFrame([(1, 7, "a"), (1, 7, "b"), (None, 7, "c"), (5, None, "d")], "row_id long, load_id int, v string")
+    rows = profile.profile(profile.with_validity(profile.value_counts(profile.all_cells(df, "t", load_too=True)), {})).collect()
+    got = {(r["column_name"], r["load_id"]): (r["n_rows"], r["n_nulls"], r["n_distinct"], r["min_number"], r["n_mode"]) for r in rows if r["column_name"] != "v"}
+    assert got == {("row_id", 7): (3, 1, 1, 1.0, 2), ("row_id", None): (1, 0, 1, 5.0, 1), ("load_id", 7): (3, 0, 1, 7.0, 3), ("load_id", None): (1, 1, 0, None, None)}
+    assert {r["column_name"] for r in profile.all_cells(df, "t", ("row_id",)).collect()} == {"v"}
