@@ -151,6 +151,8 @@ def categories(marked: DataFrame) -> DataFrame:
     finite = "try_cast(if(number, bin, null) as double)"
     finite = f"if(abs({finite}) < double('inf'), {finite}, null)"
     seen = valid.groupBy(*col).agg(F.expr(f"min({finite})").alias("least"), F.expr(f"max({finite})").alias("most"), F.expr(f"approx_top_k(bin, {FOLLOWED}, {TRACKED})").alias("top"), F.approx_count_distinct("bin").alias("about"))
+    # true of every column; since both uses of it need all four figures so, they share one pass
+    seen = seen.where("size(top) >= 0 and about > 0 and (least is null or least <= most)")
     follow = seen.select(*col, F.explode("top").alias("x")).select(*col, F.col("x.item").alias("bin"), F.lit(True).alias("followed"))
     # about half as many values or fewer: the sketch has them all, and none of them will need another category
     wide = seen.select(*col, "least", "most", (F.col("about") > MOST_VALUES // 2).alias("wide"))

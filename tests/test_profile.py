@@ -99,3 +99,11 @@ def test_identities_and_loads_are_columns(spark):
     got = {(r["column_name"], r["load_id"]): (r["n_rows"], r["n_nulls"], r["n_distinct"], r["min_number"], r["n_mode"]) for r in rows if r["column_name"] != "v"}
     assert got == {("row_id", 7): (3, 1, 1, 1.0, 2), ("row_id", None): (1, 0, 1, 5.0, 1), ("load_id", 7): (3, 0, 1, 7.0, 3), ("load_id", None): (1, 1, 0, None, None)}
     assert {r["column_name"] for r in profile.all_cells(df, "t", ("row_id",)).collect()} == {"v"}
+
+
+def test_values_that_are_all_different_have_a_shift(spark):
+    n = 20_000  # more than the sketch follows, which then proposes none
+    df = spark.range(n).selectExpr("id as row_id", "cast(if(id < 5000, 1, 2) as int) as load_id")
+    marked = profile.with_validity(profile.all_cells(df, "t", load_too=True), {})
+    got = {(r["column_name"], r["load_id"]): round(r["distance"], 6) for r in profile.shifts(profile.categories(marked)).collect()}
+    assert got == {("row_id", 1): 0.7, ("row_id", 2): 0.233333, ("load_id", 1): 0.75, ("load_id", 2): 0.25}
